@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +49,15 @@ def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[slice]:
         size += len(t)
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def filter_texts(docs: DataFrame, judge: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of docs whose text `judge` keeps (it gets UTF-8 texts, null as b""), with all columns: one pass, no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(at))
+            yield batch.filter(pa.array([k for part in blocks(texts) for k in judge(texts[part])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

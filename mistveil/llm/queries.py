@@ -43,6 +43,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 
@@ -50,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repetition_rules, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op10_token_files)}
+    return {f.__name__: f for f in (op3_repetition_rules, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import quality_rules
 
@@ -56,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repetition_rules, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op2_toxicity, op3_repetition_rules, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,6 +29,12 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import repeated_lines
+
+    return repeated_lines(_documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -62,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_repetition_rules, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

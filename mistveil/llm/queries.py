@@ -41,6 +41,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -68,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

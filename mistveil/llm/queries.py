@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rp_forest import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify
 
@@ -74,7 +80,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_rp_forest, op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

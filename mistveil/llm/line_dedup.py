@@ -15,9 +15,12 @@ from .shared import cut
 #: Jaccard similarity of token sets, as a fraction, from which lines match.
 SIMILARITY = (4, 5)
 #: Cells of the rarity table (tokens share a cell by hash; its count, in 3 steps for each doubling, orders them), and of the
-#: table of documents that hold candidates. Both have a fixed size, one byte for each cell.
-RARITY_CELLS, DOC_CELLS = 1 << 20, 1 << 17
+#: tables that mark lines and documents by hash. All have a fixed size, one byte for each cell.
+RARITY_CELLS, LINE_CELLS, DOC_CELLS = 1 << 20, 1 << 20, 1 << 17
 _HASH_BITS = 56
+#: Bits of a class id, and largest count of tokens, that a posting carries; larger counts pass the filters unseen.
+_ID_BITS, _MOST = 40, (1 << 12) - 1
+_SPACES = r"[ \t\n\x0B\f\r]+"
 
 
 def _byte_table(cells: DataFrame, size: int) -> bytes:
@@ -37,25 +40,24 @@ def _cell(table: bytes, index: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """Words of a text: runs without ASCII white space, lower-cased."""
-    return F.array_remove(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), "")
+    return F.array_remove(F.split(F.lower(text), _SPACES), "")
 
 
 def _rarity(docs: DataFrame) -> bytes:
     """The rarity table of all words of all texts."""
-    words = docs.select(F.explode(F.transform(_words(F.col("text")), lambda x: F.pmod(F.xxhash64(x), F.lit(RARITY_CELLS)).cast("int"))).alias("cell"))
-    counts = words.groupBy("cell").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.split(F.lower("text"), _SPACES)).alias("word")).where("word <> ''")
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
     return _byte_table(counts.select("cell", F.least(F.lit(127), F.ceil(3 * F.log2(F.col("n") + 1)) + 1).alias("value")), RARITY_CELLS)
 
 
 def _codes(line: Column, rarity: bytes) -> Column:
     """Distinct tokens of a line as numbers in order of rarity: the cell's value, then 56 bits of the token's hash."""
 
-    def code(x: Column) -> Column:
-        h = F.xxhash64(x)
+    def code(h: Column) -> Column:
         cell = F.pmod(h, F.lit(RARITY_CELLS)).cast("int")
         return F.shiftleft(_cell(rarity, cell).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    return F.sort_array(F.transform(F.array_distinct(_words(line)), code))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x))), code))
 
 
 def _once(value: Column) -> Column:
@@ -90,42 +92,50 @@ def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     sketch = F.aggregate("codes", F.lit(0).cast("long"), flip)
     lines = cut(lines.select("doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), sketch.alias("sketch"), F.slice("codes", F.lit(1), prefix).alias("prefix")), "lines")
 
-    # classes of lines with the same token set
-    classes = cut(
-        lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "n", "sketch", "prefix")).alias("c"), F.count("*").alias("copies"))
-        .select("k1", "k2", "copies", "c.doc_id", "c.line_no", "c.n", "c.sketch", "c.prefix"), "line-classes",
+    # classes of lines with the same token set: all but the first line of each are repeats
+    classes = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("c"), F.count("*").alias("copies")).select("k1", "k2", "copies", "c.doc_id", "c.line_no"), "line-classes")
+    firsts = classes.where("copies > 1").select("k1", "k2", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    repeats = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).where("doc_id <> first_doc_id or line_no <> first_line_no")
+    repeats = cut(repeats.select("doc_id", "line_no", F.lit("repeat").alias("kind"), "first_doc_id", "first_line_no"), "line-repeats")
+    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(LINE_CELLS)).cast("int")
+    repeated = _byte_table(repeats.select(cell.alias("cell"), F.lit(2).alias("value")).distinct(), LINE_CELLS)
+    may_repeat = _cell(repeated, cell) == 2
+    kept = lines.where(~may_repeat).unionByName(lines.where(may_repeat).join(repeats.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
+
+    # candidates: classes that share a token of their prefixes and pass the filters; the shortest only match their own set.
+    # A posting is three numbers: the token, the class with its count and the token's place, and the sketch
+    low = F.col("k1").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    postings = kept.where(F.col("n") * (den - num) >= num).select("k1", "n", "sketch", F.posexplode("prefix").alias("i", "token")).select(
+        "token", F.shiftleft(low, 24).bitwiseOR(F.shiftleft(F.least("n", F.lit(_MOST)).cast("long"), 12)).bitwiseOR(F.least("i", F.lit(_MOST)).cast("long")).alias("place"), "sketch"
     )
-
-    # candidates: classes that share a token of their prefixes and pass the filters; the shortest only match their own set
-    postings = classes.where(F.col("n") * (den - num) >= num).select("doc_id", "line_no", "n", "sketch", F.posexplode("prefix").alias("i", "token"))
-    x, y = postings.alias("x"), postings.select(*[F.col(c).alias(f"{c}2") for c in postings.columns]).alias("y")
-    total = F.col("n") + F.col("n2")
-    overlap = F.least("i", "i2") + F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))  # the shared token, and at most these
-    earlier = (F.col("doc_id2") < F.col("doc_id")) | ((F.col("doc_id2") == F.col("doc_id")) & (F.col("line_no2") < F.col("line_no")))
-    close = (
-        (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
+    x, y = postings.alias("x"), postings.alias("y")
+    id_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 24)
+    n_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 12).bitwiseAND(F.lit(_MOST))
+    i_of = lambda side: F.col(f"{side}.place").bitwiseAND(F.lit(_MOST))
+    total = n_of("x") + n_of("y")
+    overlap = F.least(i_of("x"), i_of("y")) + F.least(n_of("x") - i_of("x"), n_of("y") - i_of("y"))  # the shared token, and at most these
+    unseen = F.greatest(n_of("x"), n_of("y")) >= _MOST
+    close = unseen | (
+        (n_of("y") * den >= n_of("x") * num) & (n_of("x") * den >= n_of("y") * num)
         & (overlap * (num + den) >= total * num)
-        & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) * (num + den) <= total * (den - num))
+        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (num + den) <= total * (den - num))
     )
-    pairs = cut(x.join(y, (F.col("token") == F.col("token2")) & earlier & close).select("doc_id", "line_no", "doc_id2", "line_no2").distinct(), "line-pairs")
-
-    # verification: the token sets of the candidates' lines, from the documents that hold them
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no"))).distinct()
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(DOC_CELLS)).cast("int")
-    held = _byte_table(ends.select(cell.alias("cell"), F.lit(2).alias("value")).distinct(), DOC_CELLS)
-    wanted = ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")).select(F.col("doc_id").alias("of"), "wanted")
-    texts = rows.where(_cell(held, cell) == 2).join(wanted, F.col("doc_id") == F.col("of"))
-    picked = texts.select("doc_id", F.explode(F.arrays_zip(F.col("wanted").alias("line_no"), F.transform("wanted", lambda k: F.get(F.split("text", "\n", -1), k)).alias("line"))).alias("l"))
-    words = picked.select("doc_id", F.col("l.line_no").alias("line_no"), F.array_distinct(_words(F.col("l.line"))).alias("words")).groupBy("doc_id", "line_no").agg(F.first("words").alias("words"))
-    one = words.select("doc_id", "line_no", "words")
+    ids = x.join(y, (F.col("x.token") == F.col("y.token")) & (id_of("x") < id_of("y")) & close).select(id_of("x").alias("a"), id_of("y").alias("b")).distinct()
+    at = classes.select(low.alias("id"), "doc_id", "line_no")
+    pairs = ids.join(at, F.col("a") == F.col("id")).select("b", "doc_id", "line_no").join(at.select("id", F.col("doc_id").alias("doc_id2"), F.col("line_no").alias("line_no2")), F.col("b") == F.col("id")).drop("b", "id")
+    pairs = cut(pairs, "line-pairs")
+
+    # verification: the token sets of the candidates' lines, read again from the texts
+    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")))
+    wanted = _byte_table(ends.select(cell.alias("cell"), F.lit(2).alias("value")).distinct(), LINE_CELLS)
+    words = cut(_lines(rows).where(_cell(wanted, cell) == 2).select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).where("size(words) > 0"), "line-words")
     two = words.select(F.col("doc_id").alias("doc_id2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
     shared = F.size(F.array_intersect("words", "words2"))
-    verified = pairs.join(one, ["doc_id", "line_no"]).join(two, ["doc_id2", "line_no2"]).where(shared * (num + den) >= (F.size("words") + F.size("words2")) * num)
-    similar = verified.groupBy("doc_id", "line_no").agg(F.min(F.struct("doc_id2", "line_no2")).alias("f")).select("doc_id", "line_no", F.lit("similar").alias("kind"), F.col("f.doc_id2").alias("first_doc_id"), F.col("f.line_no2").alias("first_line_no"))
-
-    firsts = classes.where("copies > 1").select("k1", "k2", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    repeats = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).where("doc_id <> first_doc_id or line_no <> first_line_no")
-    return repeats.select("doc_id", "line_no", F.lit("repeat").alias("kind"), "first_doc_id", "first_line_no").unionByName(similar)
+    verified = pairs.join(words, ["doc_id", "line_no"]).join(two, ["doc_id2", "line_no2"]).where(shared * (num + den) >= (F.size("words") + F.size("words2")) * num)
+    one, other = F.struct("doc_id", "line_no"), F.struct(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no"))
+    ordered = verified.select(F.greatest(one, other).alias("later"), F.least(one, other).alias("first")).where("later <> first")
+    similar = ordered.groupBy("later").agg(F.min("first").alias("first")).select("later.doc_id", "later.line_no", F.lit("similar").alias("kind"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
+    return repeats.unionByName(similar)
 
 
 def remove_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

@@ -67,7 +67,7 @@ def _pattern_filter(key: str, options: dict) -> _Filter:
 
     def raw(text: Column) -> Column:
         found = F.concat(*[S.find(text, p.java, i) for i, p in enumerate(d.patterns)])
-        return F.when(text.contains(d.needs), found).otherwise(S.none_of(S.MATCH)) if d.needs else found
+        return F.when(text.rlike(catalog.needs(key, options)), found).otherwise(S.none_of(S.MATCH))
 
     p = d.patterns
     return _Filter(key, options, d.name, d.terms, [x.confidence for x in p], [x.classification for x in p], [x.format for x in p], [x.always_valid for x in p], p[0].modifiers, (d.valid or "").split("+") if d.valid else [], d.valid_first, d.trims, d.drops_overlaps, None if search else raw, search)
@@ -180,7 +180,8 @@ class Redactor:
 
         seen = F.filter(raw, lambda m: ~dropped(m["t"]) & m["t"].rlike(r"(?U)\S"))
         out = F.filter(F.transform(F.transform(seen, rated), span), lambda y: y["r"].isNotNull())
-        out = S.first_of_range(F.transform(out, built))
+        single = f.raw is not None and len(f.confidences) == 1  # matches of one pattern neither repeat nor overlap
+        out = F.transform(out, built) if single else S.first_of_range(F.transform(out, built))
         for name in f.valid if f.valid_first else []:
             out = self._keep(out, name, options)
         if f.trims:
@@ -193,7 +194,7 @@ class Redactor:
         if f.key == "identifiers" and options.get("validator"):
             check = validators.named(options["validator"]["name"], options["validator"].get("params"))
             out = F.filter(out, lambda x: F.coalesce(check(x["text"]), F.lit(False)))
-        return S.resolved(out) if f.drops else out
+        return S.resolved(out) if f.drops and not single else out
 
     def _keep(self, spans: Column, name: str, options: dict) -> Column:
         return F.filter(spans, lambda x: self._valid(name, x, options))

@@ -128,7 +128,8 @@ def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     # verification: the token sets of the candidates' lines, read again from the texts
     ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")))
     wanted = _byte_table(ends.select(cell.alias("cell"), F.lit(2).alias("value")).distinct(), LINE_CELLS)
-    words = cut(_lines(rows).where(_cell(wanted, cell) == 2).select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).where("size(words) > 0"), "line-words")
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)))  # 64 bits stand for a word
+    words = cut(_lines(rows).where(_cell(wanted, cell) == 2).select("doc_id", "line_no", hashes.alias("words")), "line-words")
     two = words.select(F.col("doc_id").alias("doc_id2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
     shared = F.size(F.array_intersect("words", "words2"))
     verified = pairs.join(words, ["doc_id", "line_no"]).join(two, ["doc_id2", "line_no2"]).where(shared * (num + den) >= (F.size("words") + F.size("words2")) * num)

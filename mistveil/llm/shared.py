@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,11 +28,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later uses don't compute it again, and lost executors cost nothing."""
-    spark = df.sparkSession
+    """Write df to the shared folder and read it back: later uses don't compute it again, and lost executors cost nothing.
+
+    What led to it isn't needed from then on: a collection of the driver's garbage lets Spark delete its shuffle files.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

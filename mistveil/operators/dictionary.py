@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .kernel import word_spans
 
 
 def _normal(text: Column) -> Column:
@@ -12,19 +18,16 @@ def _normal(text: Column) -> Column:
 
 def word_ngrams(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n, character_start, character_end, ngram: all runs of 1 to `most` words, with what lies between them."""
-    words = F.filter(F.split(F.col(text), r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)"), lambda w: w != "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        e = (acc["at"] + F.length(w)).cast("int")
-        own = F.struct(acc["at"].cast("int").alias("s"), e.alias("e"))
-        return F.struct(e.alias("at"), F.when(w.rlike(r"(?U)^\s"), acc["out"]).otherwise(F.array_append(acc["out"], own)).alias("out"))
-
-    placed = df.select(key, F.col(text).alias("__t"), F.explode(F.array(F.aggregate(words, zero, step, lambda a: a["out"]))).alias("w"))
-    grams = F.transform("w", lambda x, i: F.struct(i.alias("i"), x["s"].alias("s")))
-    rows = placed.select(key, "__t", "w", F.explode(grams).alias("g")).select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
-    rows = rows.where(F.col("g.i") + F.col("n") <= F.size("w")).select(key, "n", F.col("g.s").alias("character_start"), F.get("w", F.col("g.i") + F.col("n") - 1)["e"].alias("character_end"), "__t")
-    return rows.select(key, "n", "character_start", "character_end", F.expr("substring(__t, character_start + 1, character_end - character_start)").alias("ngram"))
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(n, T.IntegerType()) for n in ("n", "character_start", "character_end")), T.StructField("ngram", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k, t in zip(rows.iloc[:, 0], rows.iloc[:, 1], strict=True):
+                words = word_spans(t) if t else []
+                out = [(k, n, words[i][0], words[i + n - 1][1]) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
+                yield pd.DataFrame([(*x, t[x[2] : x[3]]) for x in out], columns=schema.names)
+
+    return df.select(key, text).mapInPandas(run, schema).withColumnRenamed("key", key)
 
 
 def exact_matches(df: DataFrame, terms: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ counts by cosine. The whole input is learned from before anything is resolved, s
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,29 +15,33 @@ VECTORS = "context string, filter_type string, bucket int, n double"
 STOP_WORDS = "a about above after all am an and any are as at be because been before being below but by can did do does for from had has have he her his how i if in into is it its me my no not of off on or our out over own she so some such than that the their them then there these they this those to too under until up very was we were what when where which while who why will with you your".split()
 
 
+def murmur3_32(data: bytes, seed: int = 0) -> int:
+    """Murmur3 x86 32-bit, as a signed int: the published algorithm."""
+    mask, h = 0xFFFFFFFF, seed
+
+    def mixed(k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h ^= mixed(int.from_bytes(data[i : i + 4], "little"))
+        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & mask
+    if whole < len(data):
+        h ^= mixed(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def murmur3(text: Column) -> Column:
-    """Murmur3 x86 32-bit, seed 0, of a string's UTF-8 bytes, as a signed int."""
-    mask = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
-    times = lambda a, b: mask((a.bitwiseAND(F.lit(0xFFFF)) * b) + F.shiftleft(mask(F.shiftrightunsigned(a, 16) * b).bitwiseAND(F.lit(0xFFFF)), 16))
-    rotate = lambda c, r: mask(F.shiftleft(c, r)).bitwiseOR(F.shiftrightunsigned(c, 32 - r))
-    c1, c2 = F.lit(0xCC9E2D51), F.lit(0x1B873593)
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    n = (F.length(hexed) / 2).cast("int")
-    byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    word = lambda i: byte(i * 4).bitwiseOR(F.shiftleft(byte(i * 4 + 1), 8)).bitwiseOR(F.shiftleft(byte(i * 4 + 2), 16)).bitwiseOR(F.shiftleft(byte(i * 4 + 3), 24))
-    mixed = lambda k: times(rotate(times(k, c1), 15), c2)
-    blocks = F.when(n >= 4, F.sequence(F.lit(0), (F.floor(n / 4) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    body = F.aggregate(blocks, F.lit(0).cast("long"), lambda h, i: mask(rotate(h.bitwiseXOR(mixed(word(i))), 13) * 5 + 0xE6546B64))
-    at = (F.floor(n / 4) * 4).cast("int")
-    rest = n % 4
-    tail = F.when(rest >= 1, byte(at)).otherwise(F.lit(0).cast("long"))
-    tail = F.when(rest >= 2, tail.bitwiseXOR(F.shiftleft(byte(at + 1), 8))).otherwise(tail)
-    tail = F.when(rest == 3, tail.bitwiseXOR(F.shiftleft(byte(at + 2), 16))).otherwise(tail)
-    h = F.when(rest > 0, body.bitwiseXOR(mixed(tail))).otherwise(body).bitwiseXOR(n.cast("long"))
-    h = times(h.bitwiseXOR(F.shiftrightunsigned(h, 16)), F.lit(0x85EBCA6B))
-    h = times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), F.lit(0xC2B2AE35))
-    h = h.bitwiseXOR(F.shiftrightunsigned(h, 16))
-    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
+    @F.pandas_udf("int")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: murmur3_32(w.encode()))
+
+    return run(text)
 
 
 def polynomial(text: Column) -> Column:

@@ -1,19 +1,357 @@
-"""Registered queries of the redaction engine and their SQL counterparts."""
+"""Registered queries of the redaction engine and their SQL counterparts. Each runs over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import spans as S
+from .functions import strategies, validators
+from .operators import catalog, context, dictionary, disambiguation, evaluation, generators, splitting, tables
+from .plans.policy import Policy, from_text
+from .plans.redactor import Redactor, explain, explode_spans, redact
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+EMAIL = r"\b[A-Za-z0-9!#$%&''*+/=?^_`{|}~.\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
+#: Letters outside ASCII count as word characters, as they do for the detectors.
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
+
+
+def _query(oracle: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _policy(**identifiers) -> Policy:
+    return Policy({"identifiers": identifiers})
+
+
+def _places(pattern: str, key: str = "doc_id", text: str = "text", table: str = "documents", clean: str | None = None) -> str:
+    """SQL for the matches of a pattern with their places: lengths of what stands between them, added up."""
+    return (
+        f"WITH m AS (SELECT {key}, {text} AS t, regexp_extract_all({clean or text}, '{pattern}') AS h, regexp_split_to_array({clean or text}, '{pattern}') AS g FROM {table}),"
+        f" e AS (SELECT {key}, t, h, g, unnest(generate_series(1, len(h))) AS i FROM m WHERE len(h) > 0),"
+        f" p AS (SELECT {key}, t, h[i] AS hit, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS s FROM e)"
+        f" SELECT {key}, s AS character_start, CAST(s + length(hit) AS INTEGER) AS character_end, substr(t, s + 1, length(hit)) AS text FROM p"
+    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every pattern detector over all documents: redacted text, and what was found."""
+    found = redact(_docs(spark, sf_dir), _policy(**{k: {} for k in catalog.PATTERN_KEYS}))
+    return found.select("doc_id", "filtered_text", F.size("spans").alias("n_spans"), F.array_join(F.array_distinct(F.transform("spans", lambda s: s["filter_type"])), ",").alias("types"))
+
+
+@_query()
+def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+@_query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '{{{{{{REDACTED-email-address}}}}}}', 'g') AS filtered_text FROM documents")
+def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_docs(spark, sf_dir), _policy(emailAddress={})).select("doc_id", "filtered_text")
+
+
+@_query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '{{{{{{REDACTED-email-address}}}}}}', 'g') AS filtered_text FROM documents")
+def redact_email_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Policy({"identifiers": {"emailAddress": {}}, "config": {"splitting": {"enabled": True, "threshold": 500, "method": "newline", "overlap": 64}}})
+    return redact(_docs(spark, sf_dir), policy).select("doc_id", "filtered_text")
+
+
+@_query(f"SELECT doc_id, regexp_replace(text, '{IPV4}', '{{{{{{REDACTED-ip-address}}}}}}', 'g') AS filtered_text FROM documents")
+def redact_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_docs(spark, sf_dir), _policy(ipAddress={})).select("doc_id", "filtered_text")
+
+
+@_query(r"SELECT page_id, regexp_replace(url, '(?i)\b(?:https?|ftp)://[^\s/$.?#].[^\s]*[\w/#&=~+$*@%-]', '[link]', 'g') AS filtered_text FROM pages")
+def redact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_docs(spark, sf_dir, "pages"), _policy(url={"urlFilterStrategies": [{"redactionFormat": "[link]"}]}), text="url").select("page_id", "filtered_text")
+
+
+@_query(f"SELECT page_id, regexp_replace(html, '{EMAIL}', 'x@x', 'g') AS filtered_text FROM pages")
+def redact_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_docs(spark, sf_dir, "pages"), _policy(emailAddress={"emailAddressFilterStrategies": [{"strategy": "STATIC_REPLACE", "staticReplacement": "x@x"}]}), text="html").select("page_id", "filtered_text")
+
+
+@_query(_places(EMAIL))
+def spans_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={})), "doc_id").select("doc_id", "character_start", "character_end", "text")
+
+
+@_query(_places(IPV4))
+def spans_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_spans(redact(_docs(spark, sf_dir), _policy(ipAddress={})), "doc_id").select("doc_id", "character_start", "character_end", "text")
+
+
+@_query(f"WITH q AS ({_places(rf'\b({catalog.STATES})\b', clean=_ASCII)}) SELECT * FROM q WHERE lower(text) NOT IN ('in', 'or') AND NOT regexp_matches(text, '^A')")
+def spans_state_ignoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Policy({"identifiers": {"stateAbbreviation": {"ignored": ["in"]}}, "ignored": [{"terms": ["or"]}], "ignoredPatterns": [{"pattern": "^A"}]})
+    return explode_spans(redact(_docs(spark, sf_dir), policy), "doc_id").select("doc_id", "character_start", "character_end", "text")
+
+
+_LUHN = "(list_sum(list_transform(generate_series(1, len(d)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[len(d) - i + 1] AS INT) ELSE (CAST(d[len(d) - i + 1] AS INT) * 2) // 10 + (CAST(d[len(d) - i + 1] AS INT) * 2) % 10 END)) % 10 = 0)"
+
+
+@_query(
+    f"WITH q AS ({_places(r'\b(?:[0-9][ -]*?){13,16}\b')}), n AS (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS num FROM q), l AS (SELECT *, string_split(num, '') AS d FROM n)"
+    f" SELECT doc_id, character_start, character_end, text FROM l WHERE regexp_matches(num, '{catalog.CARD_BRANDS}') AND {_LUHN}"
+)
+def spans_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_spans(redact(_docs(spark, sf_dir), _policy(creditCard={})), "doc_id").select("doc_id", "character_start", "character_end", "text")
+
+
+@_query(
+    f"WITH q AS ({_places(EMAIL)}) SELECT doc_id, character_start, text AS token, repeat('#', length(text)) AS masked, repeat('*', 3) AS masked_3, right(text, 4) AS last_4, sha256(text) AS hashed,"
+    " left(text, 4) || repeat('*', length(text) - 4) AS truncated, repeat('-', length(text) - 2) || right(text, 2) AS truncated_trailing, upper(left(text, 1)) AS abbreviated, 'gone' AS static, text AS same,"
+    " '<email-address>' AS formatted FROM q"
+)
+def strategy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={})), "doc_id").withColumnRenamed("text", "token")
+    policy = Policy({})
+    value = lambda **o: strategies.one(o, "email-address", F.col("token"), F.lit(None).cast("string"), F.lit(0).cast("long"), policy)["value"]
+    return found.select(
+        "doc_id", "character_start", "token", value(strategy="MASK", maskCharacter="#").alias("masked"), value(strategy="MASK", maskLength="3").alias("masked_3"), value(strategy="LAST_4").alias("last_4"),
+        value(strategy="HASH_SHA256_REPLACE").alias("hashed"), value(strategy="TRUNCATE").alias("truncated"), value(strategy="TRUNCATE", truncateLeaveCharacters=2, truncateDirection="TRAILING", truncateCharacter="-").alias("truncated_trailing"),
+        value(strategy="ABBREVIATE").alias("abbreviated"), value(strategy="STATIC_REPLACE", staticReplacement="gone").alias("static"), value(strategy="SAME").alias("same"), value(redactionFormat="<%t>").alias("formatted"),
+    )
+
+
+@_query(f"WITH q AS ({_places(EMAIL)}) SELECT doc_id, character_start, text AS token, text AS decrypted FROM q")
+def crypto_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = "000102030405060708090a0b0c0d0e0f"
+    policy = Policy({"crypto": {"key": key}, "identifiers": {"emailAddress": {"emailAddressFilterStrategies": [{"strategy": "CRYPTO_REPLACE"}]}}})
+    found = explode_spans(redact(_docs(spark, sf_dir), policy), "doc_id")
+    sealed = F.unbase64(F.regexp_extract("replacement", r"^\{\{(.*)\}\}$", 1))
+    return found.select("doc_id", "character_start", F.col("text").alias("token"), F.aes_decrypt(sealed, F.unhex(F.lit(key)), F.lit("GCM")).cast("string").alias("decrypted"))
+
+
+@_query(f"WITH q AS ({_places(r'\b(?:[0-9][ -]*?){13,16}\b')}), l AS (SELECT *, string_split(regexp_replace(text, '[^0-9]', '', 'g'), '') AS d FROM q) SELECT doc_id, character_start, length(text) AS n, TRUE AS same_shape, TRUE AS changed FROM l WHERE regexp_matches(array_to_string(d, ''), '{catalog.CARD_BRANDS}') AND {_LUHN}")
+def fpe_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Policy({"fpe": {"key": "EF4359D8D580AA4F7F036D6F04FC6A94", "tweak": "D8E7920AFA330A73"}, "identifiers": {"creditCard": {"creditCardFilterStrategies": [{"strategy": "FPE_ENCRYPT_REPLACE"}]}}})
+    found = explode_spans(redact(_docs(spark, sf_dir), policy), "doc_id")
+    shape = lambda c: F.regexp_replace(c, "[0-9]", "9")
+    return found.select("doc_id", "character_start", F.length("text").cast("long").alias("n"), (shape(F.col("text")) == shape(F.col("replacement"))).alias("same_shape"), (F.col("text") != F.col("replacement")).alias("changed"))
+
+
+@_query(f"WITH q AS ({_places(EMAIL)}) SELECT doc_id, character_start, text, CASE WHEN starts_with(lower(text), 'th') THEN 'T' ELSE repeat('*', length(text)) END AS replacement FROM q WHERE text < 's' OR starts_with(lower(text), 'th')")
+def conditions_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = [{"strategy": "STATIC_REPLACE", "staticReplacement": "T", "condition": 'token startswith "th" and confidence >= 0.5'}, {"strategy": "MASK", "condition": 'token < "s"'}]
+    found = explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={"emailAddressFilterStrategies": chosen})), "doc_id")
+    return found.select("doc_id", "character_start", "text", "replacement")
+
+
+@_query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n_steps, sha256(regexp_replace(text, '{EMAIL}', '{{{{{{REDACTED-email-address}}}}}}', 'g')) AS last_hash FROM documents WHERE regexp_matches(text, '{EMAIL}')")
+def incremental_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = redact(_docs(spark, sf_dir), _policy(emailAddress={}), incremental=True).where("size(spans) > 0")
+    return found.select("doc_id", F.size("incremental_redactions").cast("long").alias("n_steps"), F.element_at("incremental_redactions", -1)["hash"].alias("last_hash"))
+
+
+@_query(r"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(text, '\s+')) END AS BIGINT) AS tokens FROM documents")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", S.token_count(F.col("text")).alias("tokens"))
+
+
+@_query("SELECT doc_id, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(length(trim(l))) AS BIGINT) AS characters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY doc_id")
+def split_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _docs(spark, sf_dir).select("doc_id", F.explode(splitting.pieces_of(F.col("text"), "newline", 0, 0)).alias("p"))
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.length("p.text")).cast("long").alias("characters"))
+
+
+@_query(
+    f"WITH q AS (SELECT source, len(regexp_extract_all(text, '{EMAIL}')) AS e, len(regexp_extract_all(text, '{IPV4}')) AS i FROM documents),"
+    " u AS (SELECT source, 'email-address' AS filter_type, sum(e) AS n FROM q GROUP BY source UNION ALL SELECT source, 'ip-address', sum(i) FROM q GROUP BY source)"
+    " SELECT source, filter_type, CAST(n AS BIGINT) AS n FROM u WHERE n > 0"
+)
+def span_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={}, ipAddress={})), "source")
+    return found.groupBy("source", "filter_type").agg(F.count("*").alias("n"))
+
+
+_LENIENT = r"\b[\w.\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
+
+
+@_query(
+    f"WITH d AS ({_places(EMAIL)}), t AS ({_places(_LENIENT)}), b AS (SELECT d.doc_id AS a, t.doc_id AS b FROM d FULL JOIN t ON d.doc_id = t.doc_id AND d.character_start = t.character_start AND d.character_end = t.character_end),"
+    " c AS (SELECT CAST(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS tp, CAST(count(*) FILTER (b IS NULL) AS BIGINT) AS fp, CAST(count(*) FILTER (a IS NULL) AS BIGINT) AS fn FROM b)"
+    " SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c"
+)
+def evaluate_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lambda strict: explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={"onlyStrictMatches": strict})), "doc_id")
+    out = evaluation.evaluate(spans(True), spans(False))
+    return out.select("true_positives", "false_positives", "false_negatives", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Ordered on "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" by mail")).alias("text"))
+
+
+@_query("SELECT o_orderkey, 'Ordered on ' || strftime(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY + INTERVAL 2 MONTH, '%-m/%-d/%Y') || ' by mail' AS filtered_text FROM orders")
+def date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = _policy(date={"dateFilterStrategies": [{"strategy": "SHIFT", "shiftDays": 10, "shiftMonths": 2}]})
+    return redact(_orders(spark, sf_dir), policy).select("o_orderkey", "filtered_text")
+
+
+@_query("SELECT o_orderkey, 'Ordered on ' || CAST(year(o_orderdate) AS VARCHAR) || ' by mail' AS filtered_text FROM orders")
+def date_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_orders(spark, sf_dir), _policy(date={"dateFilterStrategies": [{"strategy": "TRUNCATE_TO_YEAR"}]})).select("o_orderkey", "filtered_text")
+
+
+@_query(
+    "WITH p AS (SELECT o_orderkey, o_orderkey % 1000 AS a, (o_orderkey // 1000) % 100 AS g, (o_orderkey * 7) % 10000 AS s FROM orders)"
+    " SELECT o_orderkey, CASE WHEN a IN (0, 666) OR a >= 900 OR g = 0 OR s = 0 THEN printf('no. %03d-%02d-%04d', a, g, s) ELSE 'no. ***********' END AS filtered_text FROM p"
+)
+def ssn_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.format_string("no. %03d-%02d-%04d", k % 1000, F.floor(k / 1000) % 100, (k * 7) % 10000)
+    return redact(_docs(spark, sf_dir, "orders").select(k, text.alias("text")), _policy(ssn={"ssnFilterStrategies": [{"strategy": "MASK"}]})).select("o_orderkey", "filtered_text")
+
+
+@_query(
+    "WITH p AS (SELECT c_custkey, printf('%09d', (c_custkey * 7919) % 1000000000) AS n FROM customer), d AS (SELECT *, list_transform(string_split(n, ''), lambda x: CAST(x AS INT)) AS d FROM p)"
+    " SELECT c_custkey, CASE WHEN (3 * (d[1] + d[4] + d[7]) + 7 * (d[2] + d[5] + d[8]) + d[3] + d[6] + d[9]) % 10 = 0 THEN 'account [R] end' ELSE 'account ' || n || ' end' END AS filtered_text FROM d"
+)
+def routing_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("account "), F.lpad(((F.col("c_custkey") * 7919) % 1000000000).cast("string"), 9, "0"), F.lit(" end"))
+    policy = _policy(bankRoutingNumber={"bankRoutingNumberFilterStrategies": [{"redactionFormat": "[R]"}]})
+    return redact(_docs(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), policy).select("c_custkey", "filtered_text")
+
+
+@_query(
+    "WITH p AS (SELECT c_custkey, printf('%018d', c_custkey * 104729) AS b FROM customer), k AS (SELECT *, 98 - CAST((b || '131400')::HUGEINT % 97 AS INT) AS c FROM p)"
+    " SELECT c_custkey, c_custkey % 3 <> 0 AS valid FROM k WHERE c < 97"
+)
+def iban_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.lpad((F.col("c_custkey") * 104729).cast("string"), 18, "0")
+    check = 98 - (F.concat(body, F.lit("131400")).cast("decimal(38,0)") % 97).cast("int")
+    shown = F.when(F.col("c_custkey") % 3 == 0, check + 1).otherwise(check)
+    rows = _docs(spark, sf_dir, "customer").select("c_custkey", check.alias("c"), F.concat(F.lit("DE"), F.lpad(shown.cast("string"), 2, "0"), body).alias("iban"))
+    return rows.where("c < 97").select("c_custkey", validators.iban(F.col("iban")).alias("valid"))
+
+
+@_query("WITH p AS (SELECT o_orderkey, string_split(CAST(o_orderkey * 31 + 7 AS VARCHAR), '') AS d FROM orders) SELECT o_orderkey, " + _LUHN + " AS valid FROM p")
+def luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, "orders").select("o_orderkey", validators.luhn((F.col("o_orderkey") * 31 + 7).cast("string")).alias("valid"))
+
+
+@_query()
+def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number: Callable[[int], Column] = lambda n: F.lpad((F.col("o_orderkey") * 7919).cast("string"), n, "0")
+    checks = {"cpf": validators.cpf(number(11)), "cnpj": validators.cnpj(number(14)), "verhoeff": validators.verhoeff(number(8)), "damm": validators.damm(number(8)), "steuer_id": validators.steuer_id(number(11)), "nir": validators.nir(number(15)), "nif": validators.nif(F.concat(number(8), F.lit("A"))), "cif": validators.cif(F.concat(F.lit("A"), number(8))), "ausweis": validators.personalausweis(number(10))}
+    return _docs(spark, sf_dir, "orders").select("o_orderkey", *[v.alias(k) for k, v in checks.items()])
+
+
+_TERMS = ["idiot", "clown", "und", "les", "wher", "the", "for"]
+
+
+@_query(
+    "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), b AS (SELECT doc_id, lower(regexp_replace(w, '^[^\\p{L}\\p{Nd}]+|[^\\p{L}\\p{Nd}]+$', '', 'g')) AS term FROM w)"
+    f" SELECT doc_id, term, CAST(count(*) AS BIGINT) AS n FROM b WHERE term IN ({', '.join(repr(t) for t in _TERMS)}) GROUP BY doc_id, term"
+)
+def dictionary_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
+    return dictionary.exact_matches(_docs(spark, sf_dir), terms, 1).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "SELECT a.p_partkey, b.p_type AS term, CAST(levenshtein(lower(replace(a.p_type, 'I', 'Y')), lower(b.p_type)) AS INTEGER) AS distance FROM part a JOIN (SELECT DISTINCT p_type FROM part) b"
+    " ON levenshtein(lower(replace(a.p_type, 'I', 'Y')), lower(b.p_type)) <= 2 AND len(string_split(a.p_type, ' ')) = len(string_split(b.p_type, ' '))"
+)
+def dictionary_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _docs(spark, sf_dir, "part")
+    most = 3
+    found = dictionary.fuzzy_matches(part.select("p_partkey", F.replace("p_type", F.lit("I"), F.lit("Y")).alias("text")), part.select(F.col("p_type").alias("term")).distinct(), 2, "p_partkey", "text", most)
+    whole = found.join(part.select("p_partkey", F.length("p_type").alias("len")), "p_partkey").where("character_start = 0 and character_end = len")
+    return whole.select("p_partkey", "term", "distance")
+
+
+@_query("WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM w WHERE regexp_matches(lower(w), '^[^a-z0-9\\x80-\\x{10FFFF}]*(idiot|clown|scum)[^a-z0-9\\x80-\\x{10FFFF}]*$') GROUP BY doc_id")
+def dictionary_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = _policy(dictionaries=[{"classification": "insult", "terms": ["idiot", "clown", "scum"], "customFilterStrategies": [{"redactionFormat": "<%l>"}]}])
+    found = redact(_docs(spark, sf_dir), policy).where("size(spans) > 0")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n"))
+
+
+@_query("SELECT event_id, regexp_replace(props, '\"([a-z]+)\"', '\"K\"', 'g') AS filtered_text FROM events")
+def identifier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = _policy(identifiers=[{"pattern": '"([a-z]+)"', "groupNumber": 1, "identifierFilterStrategies": [{"strategy": "STATIC_REPLACE", "staticReplacement": "K"}]}])
+    return redact(_docs(spark, sf_dir, "events"), policy, text="props").select("event_id", "filtered_text")
+
+
+@_query(r"SELECT conv_id, turn, regexp_replace(text, '(?:The\s)(.*?)(?:\sthe)', '[S]', 'g') AS filtered_text FROM conversations")
+def section_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = _policy(sections=[{"startPattern": r"The\s", "endPattern": r"\sthe", "sectionFilterStrategies": [{"redactionFormat": "[S]"}]}])
+    return redact(_docs(spark, sf_dir, "conversations"), policy).select("conv_id", "turn", "filtered_text")
+
+
+@_query("SELECT s_suppkey, '{{{REDACTED}}}' AS s_name, 'write to {{{REDACTED-email-address}}} now' AS contact, s_nationkey FROM supplier")
+def redact_table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("write to s"), F.col("s_suppkey").cast("string"), F.lit("@example.com now")).alias("contact"), "s_nationkey")
+    return tables.redact_columns(rows, _policy(emailAddress={}), ["contact"], ["s_name"])
+
+
+@_query(f"WITH q AS ({_places(EMAIL)}), i AS ({_places(IPV4)}), u AS (SELECT text FROM q UNION ALL SELECT text FROM i) SELECT CAST(count(*) AS BIGINT) AS n_spans, CAST(count(DISTINCT text) AS BIGINT) AS n_tokens, TRUE AS consistent FROM u")
+def context_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={}, ipAddress={}), context="corpus"), "doc_id")
+    values = context.consistent(found, seed=1)
+    per = values.groupBy("context", "text").agg(F.count("*").alias("n"), F.count_distinct("replacement").alias("r"))
+    return per.agg(F.sum("n").cast("long").alias("n_spans"), F.count("*").alias("n_tokens"), (F.max("r") == 1).alias("consistent"))
+
+
+@_query()
+def random_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = _policy(emailAddress={"emailAddressFilterStrategies": [{"strategy": "RANDOM_REPLACE"}]}, creditCard={"creditCardFilterStrategies": [{"strategy": "RANDOM_REPLACE", "anonymizationMethod": "uuid"}]})
+    return explode_spans(redact(_docs(spark, sf_dir), policy, seed=7), "doc_id").select("doc_id", "character_start", "text", "replacement")
+
+
+@_query()
+def disambiguated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Redactor(_policy(bankRoutingNumber={}, driversLicense={}, passportNumber={}, phoneNumber={}, creditCard={})).detect(_docs(spark, sf_dir), context="c", windows=True)
+    spans = explode_spans(found, "doc_id")
+    return disambiguation.resolve(spans, disambiguation.train(spans)).select("doc_id", "character_start", "character_end", "filter_type")
+
+
+@_query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', repeat('*', 5), 'g') AS filtered_text FROM documents")
+def policy_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = from_text("POLICY mail DESCRIPTION 'addresses'; REDACT EMAIL_ADDRESS WITH MASK (mask_length = '5') WHERE confidence > 0.5;")
+    return redact(_docs(spark, sf_dir), policy).select("doc_id", "filtered_text")
+
+
+@_query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{IPV4}')) AS BIGINT) AS n_ignored, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n_applied FROM documents")
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = _policy(emailAddress={}, ipAddress={"ipAddressFilterStrategies": [{"strategy": "SAME"}]})
+    found = explain(_docs(spark, sf_dir), policy)
+    return found.select("doc_id", F.size("ignored_spans").cast("long").alias("n_ignored"), F.size("applied_spans").cast("long").alias("n_applied"))
+
+
+@_query(f"WITH q AS ({_places(EMAIL)}) SELECT doc_id, character_start, text, CASE WHEN lower(text) LIKE 'the%' THEN 'mapped' ELSE '***' END AS replacement FROM q")
+def map_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = explode_spans(redact(_docs(spark, sf_dir), _policy(emailAddress={"emailAddressFilterStrategies": [{"strategy": "STATIC_REPLACE", "staticReplacement": "***"}]})), "doc_id")
+    mapping = found.where(F.lower("text").startswith("the")).select(F.col("text").alias("token"), F.lit("mapped").alias("replacement"))
+    return dictionary.map_tokens(found, mapping).select("doc_id", "character_start", "text", "replacement")
+
+
+@_query()
+def generated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.table(spark, 1000, {k.replace("-", "_"): k for k in generators.KINDS}, seed=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)

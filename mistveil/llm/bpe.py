@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 
 #: Code points of a chunk, and of its overlap with the next. Texts of at most one chunk are encoded where they are read.
 CHUNK, OVERLAP = 32_768, 512
@@ -163,7 +163,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHU
     """
     if overlap <= _UNSURE or chunk <= 2 * overlap:
         raise ValueError("a chunk must be longer than two overlaps")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = rows.where(~is_long).mapInArrow(_whole(path, pattern), _RESULT)
     long = cut(rows.where(is_long).select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "long-texts")

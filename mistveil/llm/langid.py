@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filter_texts, utf8
+from .shared import filter_texts, small_batches, utf8
 
 #: Buckets of the subword hash, size of an embedding, lengths of subwords in bytes.
 BUCKETS, SIZE, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = S
     """
     source = docs if labelled is None else labelled
     model = train(source.where(_remainder(3) != 1), sample)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (_remainder(3) == 1).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (_remainder(3) == 1).alias("held_out"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, shuffles_freed
 
 #: Jaccard similarity of token sets, as a fraction, from which lines match.
 SIMILARITY = (4, 5)
@@ -31,7 +31,8 @@ def _byte_table(cells: DataFrame, size: int) -> bytes:
     most = cells.select(F.col("cell").cast("long"), F.col("value").cast("int")).unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
     letters = lambda column: F.concat_ws("", F.transform(F.sort_array(F.collect_list(column)), lambda x: x["s"]))
     rows = most.groupBy(F.floor(F.col("cell") / step).alias("block")).agg(letters(F.struct("cell", F.char("value").alias("s"))).alias("s"))
-    return bytes(rows.agg(letters(F.struct("block", "s")).alias("s")).select(F.col("s").cast("binary")).first()[0])
+    with shuffles_freed(spark):
+        return bytes(rows.agg(letters(F.struct("block", "s")).alias("s")).select(F.col("s").cast("binary")).first()[0])
 
 
 def _cell(table: bytes, index: Column) -> Column:

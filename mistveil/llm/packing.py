@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, cut, utf8
+from .shared import blocks, cut, small_batches, utf8
 from .word_encoder import encoder
 
 #: Tokens of a sequence; id that ends each document; bins at least this full leave the tree; groups that meet in a node of
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     underfull, up to a root. A node gets at most fan * (fan + 1) bins or so, whatever the size of the corpus.
     """
     enough = int(np.ceil(capacity * nearly_full))
-    pieces = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECES), "pieces")
+    pieces = cut(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECES), "pieces")
     bins = pieces.where("place = 0").select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("base"), F.col("bin_load").alias("load"), F.shiftright("bin", 24).alias("block"))
     parts = pieces.select(F.shiftright("bin", 38).alias("part")).agg(F.max("part")).first()[0]
     schema = "bin long, top long, base long, load long, node long, open boolean"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filter_texts, utf8
+from .shared import filter_texts, small_batches, utf8
 
 #: Words of the window of n_repeat_words; least words; most repeated words in a hundred.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -133,7 +133,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     orders = ", ".join(f"dup_{k}gram_chars long" for k in MOST_COVERED)
     schema = f"doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_chars long, {orders}"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rules, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rules, schema)
 
 
 def _judge(texts: list[bytes]) -> list[bool]:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts handled together inside a task, in bytes: bounds the memory of the numpy stages.
 BLOCK_BYTES = 4 << 20
+#: Largest Arrow batches that operators on texts ask for.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,17 +32,40 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later uses don't compute it again, and lost executors cost nothing.
 
-    What led to it isn't needed from then on: a collection of the driver's garbage lets Spark delete its shuffle files.
+    What led to it isn't needed from then on, so its shuffle files are deleted.
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions in here delete their shuffle files when they end, for results that aren't computed twice from the same plan."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded to BATCH_ROWS rows and BATCH_BYTES bytes where they were larger.
+
+    A Python worker holds a few batches at a time; with long texts, batches of the default 10,000 rows would not be bounded.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null gives b""."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -67,4 +92,4 @@ def filter_texts(docs: DataFrame, judge: Callable[[list[bytes]], list[bool]], te
             texts = utf8(batch.column(at))
             yield batch.filter(pa.array([k for part in blocks(texts) for k in judge(texts[part])], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

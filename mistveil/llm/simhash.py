@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, utf8
+from .shared import cut, small_batches, utf8
 
 #: Words of a shingle, seed of its hash, bits by which linked fingerprints differ at most, segments of a fingerprint.
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 2, 2
@@ -54,7 +54,7 @@ def _fingerprints(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of every whole text. Null texts: 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long")
 
 
 def _segment(fp: Column, k: int, n: int) -> Column:

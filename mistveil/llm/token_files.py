@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks, new_path, utf8
+from .shared import blocks, new_path, small_batches, utf8
 from .word_encoder import encoder
 
 END_ID = 1
@@ -76,7 +76,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     The manifest has one row for each file; its prefix sums are taken on the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     if n_files is None:
         n_files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     done = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_writer(folder, tokenizer_path, end_id, width), _FILES)

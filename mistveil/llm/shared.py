@@ -60,8 +60,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     """
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(key, "0")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = conf.get(key).rstrip("bB")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
 

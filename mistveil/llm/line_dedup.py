@@ -15,8 +15,9 @@ from .shared import cut, shuffles_freed
 #: Jaccard similarity of token sets, as a fraction, from which lines match.
 SIMILARITY = (4, 5)
 #: Cells of the rarity table (tokens share a cell by hash; its count, in 3 steps for each doubling, orders them), and of the
-#: tables that mark lines and documents by hash. All have a fixed size, one byte for each cell.
-RARITY_CELLS, LINE_CELLS, DOC_CELLS = 1 << 20, 1 << 20, 1 << 17
+#: tables that mark lines and documents by hash. All have a fixed size, one byte for each
+#: cell; they are literals of the plan, so they are kept small (Spark writes plans to its event log, again and again).
+RARITY_CELLS, LINE_CELLS, DOC_CELLS = 1 << 18, 1 << 18, 1 << 16
 _HASH_BITS = 56
 #: Bits of a class id, and largest count of tokens, that a posting carries; larger counts pass the filters unseen.
 _ID_BITS, _MOST = 40, (1 << 12) - 1

@@ -62,7 +62,7 @@ def test_columns(spark):
     got = tables.redact_columns(rows, Policy({"identifiers": {"ssn": {}, "emailAddress": {}}}), ["ssn", "note"], ["name"]).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "{{{REDACTED-ssn}}}", "{{{REDACTED}}}", None), (2, "none", "{{{REDACTED}}}", "{{{REDACTED-email-address}}}")]
     spans = tables.cell_spans(rows, Policy({"identifiers": {"ssn": {}}}), "ssn", header="SSN").where("id = 1").first().spans
-    assert (spans[0].character_start, spans[0].confidence) == (0, 0.9)
+    assert (spans[0].character_start, spans[0].confidence) == (0, 0.95)
 
 
 def test_combine_and_saved_spans(spark):

@@ -100,7 +100,7 @@ def test_population_needs_a_table(spark):
 
 def test_dates(spark):
     shift = {"dateFilterStrategies": [{"strategy": "SHIFT_DATE", "shiftDays": 1, "shiftMonths": 1}]}
-    assert [g[0] for g in run(spark, {"date": shift}, ["01/31/2020", "2020-12-31", "May 1, 2020", "31 Jan. 2020", "3rd Sept 2020"])] == ["3/1/2020", "2021-02-01", "June 2, 2020", "31 Jan. 2020", "4th Oct 2020"]
+    assert [g[0] for g in run(spark, {"date": shift}, ["01/31/2020", "2020-12-31", "May 1, 2020", "31 Jan. 2020", "3rd Sept 2020"])] == ["3/1/2020", "2021-02-01", "June 2, 2020", "01 Mar. 2020", "4th Oct 2020"]
     assert run(spark, {"date": {"dateFilterStrategies": [{"strategy": "RELATIVE"}]}}, ["01/01/2024", "01/01/2030"])[0][0] == "2 years 0 months ago"
     assert run(spark, {"date": {"dateFilterStrategies": [{"strategy": "TRUNCATE_TO_YEAR"}]}}, ["01/01/2024"])[0][0] == "2024"
 
@@ -118,8 +118,8 @@ def test_dictionaries_identifiers_sections(spark):
 
 
 def test_slow_pattern_runs_out_of_time(spark):
-    rows = spark.createDataFrame([("the id is " + "a" * 40 + "!",)], "text string")
-    r = Redactor(Policy({"identifiers": {"identifiers": [{"pattern": "(.*a){16}b"}]}}), budget_ms=200).redact(rows).first()
+    rows = spark.createDataFrame([("the id is " + "a" * 40 + "c b",)], "text string")
+    r = Redactor(Policy({"identifiers": {"identifiers": [{"pattern": "(?:a|a)+b"}]}}), budget_ms=200).redact(rows).first()
     assert r["spans"] == [] and len(r["regex_timeouts"]) == 1
 
 

@@ -2,7 +2,7 @@
 
 Tokens of a line are ordered by rarity over the whole corpus. Lines that reach the similarity share a token among the first
 few (prefix filter); pairs found so must agree in length, leave enough tokens behind the shared one (positional filter) and
-differ in few cells of a 64-cell parity sketch, before their token sets are compared. Later lines that match go.
+differ in few cells of a 128-cell parity sketch, before their token sets are compared. Later lines that match go.
 """
 
 from __future__ import annotations
@@ -90,9 +90,12 @@ def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     lines = _lines(rows).select("doc_id", "line_no", _once(_codes(F.col("line"), rarity)).alias("codes")).where("size(codes) > 0")
     n = F.size("codes")
     prefix = n - _least_overlap(n, num, den) + 1
-    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    sketch = F.aggregate("codes", F.lit(0).cast("long"), flip)
-    lines = cut(lines.select("doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), sketch.alias("sketch"), F.slice("codes", F.lit(1), prefix).alias("prefix")), "lines")
+    def sketch(half: int) -> Column:
+        """64 of the 128 cells: the parity of the tokens that fall into each."""
+        own = F.filter("codes", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    lines = cut(lines.select("doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), sketch(0).alias("sketch"), sketch(1).alias("sketch1"), F.slice("codes", F.lit(1), prefix).alias("prefix")), "lines")
 
     # classes of lines with the same token set: all but the first line of each are repeats
     classes = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("c"), F.count("*").alias("copies")).select("k1", "k2", "copies", "c.doc_id", "c.line_no"), "line-classes")
@@ -105,10 +108,10 @@ def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     kept = lines.where(~may_repeat).unionByName(lines.where(may_repeat).join(repeats.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
 
     # candidates: classes that share a token of their prefixes and pass the filters; the shortest only match their own set.
-    # A posting is three numbers: the token, the class with its count and the token's place, and the sketch
+    # A posting is four numbers: the token, the class with its count and the token's place, and the sketch
     low = F.col("k1").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    postings = kept.where(F.col("n") * (den - num) >= num).select("k1", "n", "sketch", F.posexplode("prefix").alias("i", "token")).select(
-        "token", F.shiftleft(low, 24).bitwiseOR(F.shiftleft(F.least("n", F.lit(_MOST)).cast("long"), 12)).bitwiseOR(F.least("i", F.lit(_MOST)).cast("long")).alias("place"), "sketch"
+    postings = kept.where(F.col("n") * (den - num) >= num).select("k1", "n", "sketch", "sketch1", F.posexplode("prefix").alias("i", "token")).select(
+        "token", F.shiftleft(low, 24).bitwiseOR(F.shiftleft(F.least("n", F.lit(_MOST)).cast("long"), 12)).bitwiseOR(F.least("i", F.lit(_MOST)).cast("long")).alias("place"), "sketch", "sketch1"
     )
     x, y = postings.alias("x"), postings.alias("y")
     id_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 24)
@@ -117,10 +120,11 @@ def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     total = n_of("x") + n_of("y")
     overlap = F.least(i_of("x"), i_of("y")) + F.least(n_of("x") - i_of("x"), n_of("y") - i_of("y"))  # the shared token, and at most these
     unseen = F.greatest(n_of("x"), n_of("y")) >= _MOST
+    odd = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) + F.bit_count(F.col("x.sketch1").bitwiseXOR(F.col("y.sketch1")))  # at most the tokens that only one side has
     close = unseen | (
         (n_of("y") * den >= n_of("x") * num) & (n_of("x") * den >= n_of("y") * num)
         & (overlap * (num + den) >= total * num)
-        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (num + den) <= total * (den - num))
+        & (odd * (num + den) <= total * (den - num))
     )
     ids = x.join(y, (F.col("x.token") == F.col("y.token")) & (id_of("x") < id_of("y")) & close).select(id_of("x").alias("a"), id_of("y").alias("b")).distinct()
     at = classes.select(low.alias("id"), "doc_id", "line_no")

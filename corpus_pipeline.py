@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mistveil.llm import langid, line_dedup, packing, repetition, simhash
+from mistveil.llm import langid, line_dedup, near_copies, packing, repetition
 from mistveil.llm.shared import cut
 
 
@@ -26,8 +26,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies (0.8 of the 5-word shingles in common) stays, the one of the smallest doc_id."""
+    return near_copies.deduplicate(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,20 +22,30 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
 
     A-Z are lower-cased, words are runs without ASCII white space; fewer words than a shingle: the whole sequence; none: 0.
     """
+    hashes = shingles(text, words, seed)
+    if not len(hashes):
+        return 0
+    return _majority(hashes)
+
+
+def shingles(text: bytes, words: int, seed: int) -> np.ndarray:
+    """Hashes of all shingles of a text, in order."""
     from xxhash import xxh64_intdigest
 
     own = text.lower().split()
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     if len(own) <= words:
-        hashes = np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        ends = (starts + lengths)[words - 1 :].tolist()
-        shingles = map(joined.__getitem__, map(slice, starts.tolist(), ends))
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(ends))
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    ends = (starts + lengths)[words - 1 :].tolist()
+    parts = map(joined.__getitem__, map(slice, starts.tolist(), ends))
+    return np.fromiter(map(xxh64_intdigest, parts, repeat(seed)), np.uint64, len(ends))
+
+
+def _majority(hashes: np.ndarray) -> int:
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

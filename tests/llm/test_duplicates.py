@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from mistveil.llm import line_dedup, rp_forest, simhash
+import corpus_pipeline
+from mistveil.llm import line_dedup, near_copies, rp_forest, simhash
 from mistveil.llm.components import components
 from tests.conftest import SF
 
@@ -94,6 +95,32 @@ def test_simhash(spark):
         simhash.links(odd, distance=5)
 
 
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \n", "one TWO", "one two", "one two three"]
+    for _ in range(40):
+        w = [f"w{k}" for k in rng.integers(0, 4000, 150)]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3, 4, 6, 9):  # 5-word Jaccard from 0.93 to 0.5
+            v = list(w)
+            for at in rng.integers(0, 150, edits):
+                v[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append("\n".join(" ".join(v[i : i + 11]) for i in range(0, 150, 11)))
+    sets = [plain_shingles(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if not (sets[a] or sets[b]) or (sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    expected = groups(range(len(texts)), links)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, own string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(expected.values())
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == expected
+    assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
 def plain_lines(rows):
     lines = [(i, k, frozenset(re.findall("[^\x20\x09-\x0d]+", x.lower()))) for i, t in sorted(rows) if t is not None for k, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if x[2]]

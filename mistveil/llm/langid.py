@@ -15,8 +15,9 @@ from .shared import filter_texts, small_batches, utf8
 
 #: Buckets of the subword hash, size of an embedding, lengths of subwords in bytes.
 BUCKETS, SIZE, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
-#: Labelled documents to learn from at most, by language: those of the smallest hash of doc_id. Languages at most.
-SAMPLE, LANGUAGES = 600, 64
+#: Labelled documents to learn from at most: of a language (those of the smallest hash of doc_id), and of all languages together.
+#: Where languages are so many that the sum is reached, each has an equal part of it, but LEAST_SAMPLE at least.
+SAMPLE, BUDGET, LEAST_SAMPLE = 600, 38400, 5
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.05, 7
 UNKNOWN = "und"
 #: A prediction is rejected where it is more likely wrong than right, as calibrated on held-back labelled documents.
@@ -57,8 +58,9 @@ def has_letter(text: bytes) -> bool:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # scores of each bucket: embedding times the softmax weights, divided by the temperature
+    table: np.ndarray  # of each bucket: scores (embedding times softmax weights, divided by the temperature), or its embedding
     bias: np.ndarray
+    weights: np.ndarray | None = None  # softmax weights, divided by the temperature, where the table holds embeddings
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Language and calibrated probability of each text; UNKNOWN and 0 where a text has no letter."""
@@ -67,12 +69,13 @@ class LanguageModel:
             if not self.languages or not has_letter(t):
                 names.append(UNKNOWN)
                 continue
-            total, n = np.zeros(len(self.languages)), 0
+            total, n = np.zeros(self.table.shape[1]), 0
             for at in range(0, max(1, len(t)), 1 << 20):  # n-grams across these cuts are left out; bounds the memory of long texts
                 own = subwords(t[at : at + (1 << 20)])
                 total += self.table[own].sum(axis=0, dtype=np.float64)
                 n += len(own)
-            z = total / max(1, n) + self.bias
+            z = total / max(1, n)
+            z = (z if self.weights is None else z @ self.weights) + self.bias
             p = np.exp(z - z.max())
             k = int(np.argmax(p))
             names.append(self.languages[k])
@@ -91,34 +94,37 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(labelled: DataFrame, by: str, most: int) -> DataFrame:
-    """doc_id of at most `most` rows of each value of `by`, those of the smallest hash of doc_id: a bounded sample.
+    """doc_id of at most `most` rows of each value of `by`, those of the smallest hash of doc_id: a bounded sample of every value.
 
-    The threshold on the hash comes from the counts; what is over is cut off by rank among the few rows left.
+    The threshold on the hash comes from the counts; what is over is cut off by rank among the few rows left. Counts stay in Spark.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy(by).count().orderBy(F.desc("count"), by).limit(LANGUAGES).collect()}
     top = (1 << 62) - 1
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
-    near = [F.when((F.col(by) == v) & (chance <= min(top, int(top * 1.2 * most / n))), chance) for v, n in counts.items()]
-    rows = labelled.select("doc_id", by, F.coalesce(*near).alias("chance") if near else F.lit(None).cast("long").alias("chance")).where("chance is not null")
+    counts = labelled.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("of")).agg(F.count("*").alias("n"))
+    limits = counts.select("of", F.least(F.lit(float(top)), F.lit(top * 1.2 * most) / F.col("n")).cast("long").alias("limit"))
+    rows = labelled.select("doc_id", by, F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("chance"))
+    rows = rows.join(F.broadcast(limits), (F.col(by) == F.col("of")) & (F.col("chance") <= F.col("limit")))
     picked = rows.groupBy(by).agg(F.slice(F.sort_array(F.collect_set(F.struct("chance", "doc_id"))), 1, most).alias("rows"))
     return picked.select(F.explode("rows.doc_id").alias("doc_id"))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from labelled (doc_id, text, lang): at most `sample` documents of each language, counted where they lie.
+    """Learn from labelled (doc_id, text, lang): at most `sample` documents of each language, counted where they lie; fewer of
+    each, but of every language, where they would be over BUDGET together.
 
     Only hashed counts of the sample reach the driver. A fifth of it is held back to calibrate: the temperature that divides
     the scores makes the softmax's probability the share of right predictions. Rows without lang or text teach nothing.
     """
     rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    chosen = sampled(rows, "lang", sample).distinct()
-    got = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_counts, "lang string, index binary, weight binary").collect()  # bounded by sample * LANGUAGES
+    most = min(sample, max(LEAST_SAMPLE, BUDGET // max(1, rows.select("lang").distinct().count())))
+    chosen = sampled(rows, "lang", most).distinct()
+    got = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_counts, "lang string, index binary, weight binary").collect()  # bounded by BUDGET, or LEAST_SAMPLE a language
     names = sorted({r["lang"] for r in got})
     rng = np.random.default_rng(SEED)
     order = sorted(range(len(got)), key=lambda i: (zlib.crc32(bytes(got[i]["index"])), i))
     index = [np.frombuffer(got[i]["index"], "<u2") for i in order]
     weight = [np.frombuffer(got[i]["weight"], "<f4") for i in order]
-    y = np.array([names.index(got[i]["lang"]) for i in order], np.int64)
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[got[i]["lang"]] for i in order], np.int64)
     n, k = len(y), len(names)
     if k < 2:
         return LanguageModel(names, np.zeros((BUCKETS, max(1, k)), np.float32), np.zeros(max(1, k)))
@@ -151,9 +157,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             for value, g2, g in zip((embedding, w, bias), grads, steps, strict=True):  # stochastic gradient steps, scaled as AdaGrad does
                 g2 += g * g
                 value -= RATE * g / np.sqrt(g2)
-    table = embedding @ w
+    wide = k > SIZE  # then embeddings are the smaller table
+    table = embedding if wide else embedding @ w
     check = np.flatnonzero(held) if held.sum() >= 10 else np.arange(n)
-    z = np.stack([(table[index[i]] * weight[i][:, None]).sum(axis=0) + bias for i in check])
+    z = np.stack([(table[index[i]] * weight[i][:, None]).sum(axis=0) for i in check])
+    z = (z @ w if wide else z) + bias
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 60):
         s = z / t
@@ -161,7 +169,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         loss = float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(check)), y[check]]))
         if loss < best - 1e-9:
             best, temperature = loss, float(t)
-    return LanguageModel(names, (table / temperature).astype(np.float32), (bias / temperature).astype(np.float64))
+    bias = (bias / temperature).astype(np.float64)
+    return LanguageModel(names, table, bias, w / temperature) if wide else LanguageModel(names, (table / temperature).astype(np.float32), bias)
 
 
 def _predict(model: LanguageModel):

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,18 @@ def test_language(spark):
     assert not kept & {9001, 9002, 9003} and len(kept) >= 0.99 * docs.count()
 
 
+def test_language_of_many_labels(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(80):  # each language has its own syllables; the last ones have the fewest documents
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(20)]
+        rows += [(k * 100 + i, " ".join(rng.choice(words, 60)), f"l{k:02}") for i in range(24 if k < 64 else 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    late = [r for r in held if r.lang >= "l64"]
+    assert len(late) > 50 and sum(r.lang == r.lang_pred for r in late) >= 0.95 * len(late) and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet(f"{SF1}/documents.parquet"), spark.read.parquet(f"{SF1}/labels.parquet")
     both = toxicity.classify(docs, labels).where("held_out").join(labels, "doc_id")

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import cut
 
-#: Cosine from which vectors link; trees; rows of a leaf, about; share of a node's rows on each side of a split that go to both.
+#: Cosine from which vectors link; trees at least; rows of a leaf, about; share of a node's rows on each side of a split that go to both.
 COSINE, TREES, LEAF, SPILL = 0.9, 10, 512, 0.05
 #: Vectors that the trees are fitted on at most (those of the smallest hash of vec_id); least of them in a leaf.
 SAMPLE, LEAST_SAMPLE = 8192, 8
 #: A node isn't split further where so large a share of its sampled pairs link: a dense group stays together.
 DENSE = 0.1
+#: Trees are added until this share of pairs made at the bound meet in a leaf; such pairs at most.
+MEET, PAIRS = 0.995, 2048
 #: Rows of a block; larger leaves are compared block by block. Rows of a tile of the comparison.
 BLOCK, TILE, SEED = 2048, 1024, 5
 
@@ -62,12 +64,50 @@ def _unit(vectors: list, size: int | None = None) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 5e-324)
 
 
+def hard_pairs(sample: np.ndarray, cosine: float, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the sample, and for each another one made at `cosine` to it that varies about the sample's mean as the sample does."""
+    rng = np.random.default_rng(SEED + 1)
+    x = sample[rng.choice(len(sample), min(most, len(sample)), replace=False)]
+    mean = sample.mean(axis=0)
+    own, other = x - mean, sample[rng.choice(len(sample), len(x))] - mean
+    norm2 = (own * own).sum(axis=1, keepdims=True)
+    other -= own * (own * other).sum(axis=1, keepdims=True) / np.maximum(norm2, 1e-300)
+    other *= np.sqrt(norm2 / np.maximum((other * other).sum(axis=1, keepdims=True), 1e-300))
+
+    def mixed(part: np.ndarray) -> np.ndarray:
+        y = mean + part * own + np.sqrt(1 - part * part) * other
+        return y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-300)
+
+    low, high = np.zeros((len(x), 1)), np.ones((len(x), 1))
+    for _ in range(40):
+        part = (low + high) / 2
+        near = (x * mixed(part)).sum(axis=1, keepdims=True) >= cosine
+        low, high = np.where(near, low, part), np.where(near, part, high)
+    return x, mixed(high)
+
+
+def meeting(tree: Tree, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether x[i] and y[i] share a leaf."""
+    keys = [rows * len(tree.leaf) + np.searchsorted(np.unique(tree.leaf), leaves) for rows, leaves in (tree.route(x), tree.route(y))]
+    out = np.zeros(len(x), bool)
+    out[np.intersect1d(*keys) // len(tree.leaf)] = True
+    return out
+
+
 def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE) -> list[Tree]:
-    """Trees for `rows` vectors from a sample of unit vectors: random directions, split at the sample's median."""
+    """Trees for `rows` vectors from a sample of unit vectors: random directions, split at the sample's median.
+
+    At least `trees`; more where pairs made at the bound do not meet often enough (deep trees, vectors with a common mean). Where
+    so many would be needed that comparing everything costs less, one leaf takes all.
+    """
     rng = np.random.default_rng(SEED)
     least = max(LEAST_SAMPLE, int(leaf * len(sample) / max(1, rows)))
     out, number = [], 0
-    for _ in range(trees):
+    x, y = hard_pairs(sample, cosine)
+    met, work = np.zeros(len(x), bool), 0.0  # work: comparisons, as a share of all pairs
+    while len(out) < trees or met.mean() < MEET:
+        if len(out) >= trees and work >= 1:
+            return [Tree(np.zeros((1, sample.shape[1])), *np.zeros((2, 1)), *np.full((2, 1), -1), np.zeros(1, np.int64))]
         nodes: list[list] = []
 
         def grow(own: np.ndarray) -> int:
@@ -94,6 +134,8 @@ def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spi
         grow(np.arange(len(sample)))
         d, low, high, left, right, leaves = zip(*nodes, strict=True)
         out.append(Tree(np.array(d), np.array(low), np.array(high), np.array(left), np.array(right), np.array(leaves)))
+        met |= meeting(out[-1], x, y)
+        work += float(((np.unique(out[-1].route(sample)[1], return_counts=True)[1] / len(sample)) ** 2).sum())
     return out
 
 

@@ -71,6 +71,27 @@ def test_rp_forest_compares_large_leaves_in_blocks(spark, vectors, monkeypatch):
     assert {(r.vec_id, r.n_links, r.component_id) for r in rp_forest.near_duplicates(vectors, leaf=2000, trees=2).collect()} == whole
 
 
+@pytest.mark.parametrize("common", [0.0, 0.7])
+def test_rp_forest_is_deep_and_meets_in_a_cone(common):
+    rng = np.random.default_rng(8)
+    mean = np.eye(64)[0] * np.sqrt(common)
+
+    def cone(e):
+        v = mean + np.sqrt(1 - common) * e / np.linalg.norm(e, axis=1, keepdims=True)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    e = rng.normal(size=(4000, 64))
+    own = (0.91 - common) / (1 - common)  # cosine of the parts beside the mean
+    pairs = cone(e), cone(own * e + np.sqrt(1 - own * own) * rng.normal(size=e.shape))
+    near = (pairs[0] * pairs[1]).sum(axis=1)
+    near = (near >= 0.9) & (near <= 0.92)
+    forest = rp_forest.fit(cone(rng.normal(size=(1024, 64))), 1_000_000)
+    met = np.any([rp_forest.meeting(t, pairs[0][near], pairs[1][near]) for t in forest], axis=0)
+    first = np.any([rp_forest.meeting(t, pairs[0][near], pairs[1][near]) for t in forest[: rp_forest.TREES]], axis=0)
+    print("common", common, "pairs", near.sum(), "trees", len(forest), "meet", met.mean(), "of ten trees", first.mean())
+    assert near.sum() > 100 and met.mean() >= 0.99
+
+
 def plain_print(text):
     import xxhash
 

@@ -1,43 +1,32 @@
 """Line deduplication: an exact set-similarity self-join of lines, in DataFrame functions only.
 
 Tokens of a line are ordered by rarity over the whole corpus. Lines that reach the similarity share a token among the first
-few (prefix filter); pairs found so must agree in length, leave enough tokens behind the shared one (positional filter) and
-differ in few cells of a 128-cell parity sketch, before their token sets are compared. Later lines that match go.
+few (prefix filter); of a pair's lines, what follows the first shared token must still be long enough (positional filter, which
+bounds the lengths too), and a parity sketch must not show too many differing tokens, before token sets are compared.
+
+Only the earliest match of a line is asked for. So lines are first compared with one early line for each of two token hashes;
+those that match look through the lists of their prefix tokens only for lines before that one. A group of near copies
+therefore makes about as many candidate pairs as it has lines, not their square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, shuffles_freed
+from . import shared
+from .shared import Scratch, fresh, shuffles_freed, small
 
 #: Jaccard similarity of token sets, as a fraction, from which lines match.
 SIMILARITY = (4, 5)
-#: Cells of the rarity table (tokens share a cell by hash; its count, in 3 steps for each doubling, orders them), and of the
-#: tables that mark lines and documents by hash. All have a fixed size, one byte for each
-#: cell; they are literals of the plan, so they are kept small (Spark writes plans to its event log, again and again).
-RARITY_CELLS, LINE_CELLS, DOC_CELLS = 1 << 18, 1 << 18, 1 << 16
+#: Cells of the rarity table: tokens share a cell by hash, and the cell's count (in 3 steps for each doubling) orders them. Any
+#: order of the tokens gives the same matches, so the table's size is fixed, one byte for each cell.
+RARITY_CELLS = 1 << 21
 _HASH_BITS = 56
-#: Bits of a class id, and largest count of tokens, that a posting carries; larger counts pass the filters unseen.
-_ID_BITS, _MOST = 40, (1 << 12) - 1
 _SPACES = r"[ \t\n\x0B\f\r]+"
-
-
-def _byte_table(cells: DataFrame, size: int) -> bytes:
-    """`size` bytes from rows (cell, value): the value (1 to 127) of each cell, 1 where there is none. Joined natively, in two steps."""
-    spark = cells.sparkSession
-    step = 1024
-    every = spark.range(size).select(F.col("id").alias("cell"), F.lit(1).alias("value"))
-    most = cells.select(F.col("cell").cast("long"), F.col("value").cast("int")).unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
-    letters = lambda column: F.concat_ws("", F.transform(F.sort_array(F.collect_list(column)), lambda x: x["s"]))
-    rows = most.groupBy(F.floor(F.col("cell") / step).alias("block")).agg(letters(F.struct("cell", F.char("value").alias("s"))).alias("s"))
-    with shuffles_freed(spark):
-        return bytes(rows.agg(letters(F.struct("block", "s")).alias("s")).select(F.col("s").cast("binary")).first()[0])
-
-
-def _cell(table: bytes, index: Column) -> Column:
-    return F.ascii(F.substring(F.lit(table), index + 1, F.lit(1)).cast("string"))
+#: Classes of copies, or lists, with at least this part of all rows are joined by broadcast (there are this many at most).
+HOT_PARTS = 10_000
+_NULL_ID = -(1 << 63)
 
 
 def _words(text: Column) -> Column:
@@ -45,21 +34,20 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _SPACES), "")
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """The rarity table of all words of all texts."""
-    words = docs.select(F.explode(F.split(F.lower("text"), _SPACES)).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    return _byte_table(counts.select("cell", F.least(F.lit(127), F.ceil(3 * F.log2(F.col("n") + 1)) + 1).alias("value")), RARITY_CELLS)
-
-
-def _codes(line: Column, rarity: bytes) -> Column:
-    """Distinct tokens of a line as numbers in order of rarity: the cell's value, then 56 bits of the token's hash."""
-
-    def code(h: Column) -> Column:
-        cell = F.pmod(h, F.lit(RARITY_CELLS)).cast("int")
-        return F.shiftleft(_cell(rarity, cell).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+def _rarity(scratch: Scratch, rows: DataFrame) -> Column:
+    """The rarity table of all words of all texts: a binary of RARITY_CELLS bytes, each 1 to 127.
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x))), code))
+    It is built natively, in two steps, written, and read as a scalar subquery.
+    """
+    spark, step = rows.sparkSession, 1024
+    words = rows.select(F.explode(F.split(F.lower("text"), _SPACES)).alias("word")).where("word <> ''")
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS)).alias("cell")).agg(F.count("*").alias("n"))
+    value = F.least(F.lit(127), F.ceil(3 * F.log2(F.col("n") + 1)) + 1).cast("int")
+    every = spark.range(RARITY_CELLS).select(F.col("id").alias("cell"), F.lit(1).alias("value"))
+    cells = counts.select("cell", value.alias("value")).unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
+    letters = lambda column: F.concat_ws("", F.transform(F.sort_array(F.collect_list(column)), lambda x: x["s"]))
+    blocks = cells.groupBy(F.floor(F.col("cell") / step).alias("block")).agg(letters(F.struct("cell", F.char("value").alias("s"))).alias("s"))
+    return scratch.cut(blocks.agg(letters(F.struct("block", "s")).cast("binary").alias("cells")), "rarity").scalar()
 
 
 def _once(value: Column) -> Column:
@@ -71,91 +59,172 @@ def _least_overlap(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * num / F.lit(float(den)) - F.lit(1e-9)).cast("int")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def _numbered(scratch: Scratch, docs: DataFrame, doc: str, copy: str) -> DataFrame:
+    """docs with `doc` (doc_id as long, nulls as the smallest) and `copy`: 0, or the row's number among those of a repeated doc_id, by text.
 
+    Rows of equal doc_id and text may change places between two uses, which changes no line. Rows that share a doc_id are numbered in
+    one task for each doc_id.
+    """
+    out = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
+    again = scratch.cut(out.groupBy(doc).count().where("count > 1").select(F.col(doc).alias("__again")), "repeated-ids")
+    if not (n := again.count()):
+        return out.withColumn(copy, F.lit(0).cast("long"))
+    again = small(scratch.keep(again), n)  # the result reads it
+    same = F.col(doc) == F.col("__again")
+    order = Window.partitionBy(doc).orderBy(F.col("text").cast("string"))
+    repeated = out.join(again, same, "left_semi").withColumn(copy, (F.row_number().over(order) - 1).cast("long"))
+    return out.join(again, same, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(repeated)
 
-def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, line_no, kind, first_doc_id, first_line_no: the lines that match an earlier one, and the earliest they match.
 
-    Lines (split at newlines, counted from 0) are ordered by doc_id and line_no. Two match if the Jaccard similarity of their
-    sets of lower-cased words is at least `similarity`; kind: `repeat` if some earlier line has the same set, else `similar`.
-    A line goes if any earlier line matches, whether or not that one goes too. Lines without a word never match; null texts
-    have no lines; rows that repeat a doc_id are taken as one after another in any order (equal line numbers: the one that
-    comes first stays where both are alike); an empty table gives no rows; other columns are ignored.
+def _join_copies(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """left joined with right (unique keys, and `copies`: how many rows of left have the key).
+
+    Where right isn't small, keys with more than a HOT_PARTS-th of all rows are joined by broadcast, so no task gets all their rows.
     """
-    num, den = similarity
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rarity = _rarity(rows)
-    lines = _lines(rows).select("doc_id", "line_no", _once(_codes(F.col("line"), rarity)).alias("codes")).where("size(codes) > 0")
+    if right.count() <= shared.SMALL_ROWS:
+        return left.join(F.broadcast(right), keys)
+    hot = F.broadcast(right.where(F.col("copies") * HOT_PARTS >= rows))
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right, keys))
+
+
+_LINE, _FIRST = ["doc", "at"], ["first_doc", "first_at"]
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """doc, at, first_doc, first_at: the earliest of each line's partners in `pairs` whose token set is as similar as asked.
+
+    The lines are read from the texts again, only those that are in a pair.
+    """
+    ends = scratch.cut(pairs.select(*_LINE).unionByName(pairs.select(*[F.col(f).alias(c) for f, c in zip(_FIRST, _LINE, strict=True)])).distinct(), "line-ends")
+    wanted = ends.groupBy("doc", F.shiftrightunsigned("at", 32).alias("copy")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("wanted"))
+    texts = rows.join(small(wanted, ends.count()), ["doc", "copy"]).select("doc", "copy", "wanted", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)))  # 64 bits stand for a word
+    words = scratch.cut(texts.select("doc", _place("copy", "line_no").alias("at"), hashes.alias("words")), "line-words")
+    first = words.select(F.col("doc").alias("first_doc"), F.col("at").alias("first_at"), F.col("words").alias("first_words"))
+    common = F.size(F.array_intersect("words", "first_words"))
+    found = pairs.join(words, _LINE).join(first, _FIRST).where(common * (num + den) >= (F.size("words") + F.size("first_words")) * num)
+    out = scratch.cut(found.groupBy(*_LINE).agg(F.min(F.struct(*_FIRST)).alias("f")).select(*_LINE, "f.first_doc", "f.first_at"), "similar-lines")
+    scratch.drop(words, ends)
+    return out
+
+
+def _place(copy: str, line_no: str) -> Column:
+    return F.shiftleft(F.col(copy), 32).bitwiseOR(F.col(line_no).cast("long"))
+
+
+def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """doc, at, kind, first_doc, first_at of the lines that match an earlier one; rows: doc, copy, text."""
+    rows = rows.where("text is not null")
+    rarity = _rarity(scratch, rows)
+    lines = rows.select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)))
+
+    def code(h: Column) -> Column:
+        """The cell's value, then 56 bits of the token's hash."""
+        cell = F.substring(F.col("cells"), F.pmod(h, F.lit(RARITY_CELLS)).cast("int") + 1, F.lit(1))
+        return F.shiftleft(F.ascii(cell.cast("string")).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+
+    coded = lines.select("doc", _place("copy", "line_no").alias("at"), hashes.alias("hashes"), rarity.alias("cells"))
+    coded = coded.select("doc", "at", F.sort_array(F.transform("hashes", code)).alias("codes"))
+    coded = coded.select("doc", "at", _once(F.col("codes")).alias("codes")).where("size(codes) > 0")
     n = F.size("codes")
-    prefix = n - _least_overlap(n, num, den) + 1
-    def sketch(half: int) -> Column:
-        """64 of the 128 cells: the parity of the tokens that fall into each."""
-        own = F.filter("codes", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    lines = cut(lines.select("doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), sketch(0).alias("sketch"), sketch(1).alias("sketch1"), F.slice("codes", F.lit(1), prefix).alias("prefix")), "lines")
-
-    # classes of lines with the same token set: all but the first line of each are repeats
-    classes = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("c"), F.count("*").alias("copies")).select("k1", "k2", "copies", "c.doc_id", "c.line_no"), "line-classes")
-    firsts = classes.where("copies > 1").select("k1", "k2", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    repeats = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).where("doc_id <> first_doc_id or line_no <> first_line_no")
-    repeats = cut(repeats.select("doc_id", "line_no", F.lit("repeat").alias("kind"), "first_doc_id", "first_line_no"), "line-repeats")
-    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(LINE_CELLS)).cast("int")
-    repeated = _byte_table(repeats.select(cell.alias("cell"), F.lit(2).alias("value")).distinct(), LINE_CELLS)
-    may_repeat = _cell(repeated, cell) == 2
-    kept = lines.where(~may_repeat).unionByName(lines.where(may_repeat).join(repeats.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
-
-    # candidates: classes that share a token of their prefixes and pass the filters; the shortest only match their own set.
-    # A posting is four numbers: the token, the class with its count and the token's place, and the sketch
-    low = F.col("k1").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    postings = kept.where(F.col("n") * (den - num) >= num).select("k1", "n", "sketch", "sketch1", F.posexplode("prefix").alias("i", "token")).select(
-        "token", F.shiftleft(low, 24).bitwiseOR(F.shiftleft(F.least("n", F.lit(_MOST)).cast("long"), 12)).bitwiseOR(F.least("i", F.lit(_MOST)).cast("long")).alias("place"), "sketch", "sketch1"
+    long_enough = n * (den - num) >= num  # shorter lines only match their own set
+    rare = F.transform(F.slice("codes", F.lit(1), F.floor((n + 1) / 2).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1)
+    own = lambda c: F.when(long_enough, c)
+    lines = scratch.cut(
+        coded.select("doc", "at", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), own(parity).alias("sketch"), own(F.array_min(rare)).alias("lo"), own(F.array_max(rare)).alias("hi"), own(prefix).alias("prefix")),
+        "lines",
     )
+    total = lines.count()
+
+    # lines with the same token set: all but the first of each set are repeats
+    sets = ["k1", "k2"]
+    copied = scratch.cut(lines.groupBy(*sets).agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc")).where("copies > 1"), "copied-sets")
+    members = scratch.cut(_join_copies(lines.select(*sets, "doc", "at"), copied, sets, total), "copied-lines")
+    first = scratch.cut(members.where("doc = first_doc").groupBy(*sets).agg(F.min("at").alias("first_at"), F.min("copies").alias("copies")), "first-lines")
+    repeats = _join_copies(members.drop("copies"), first, sets, total).where("doc <> first_doc or at <> first_at")
+    repeats = scratch.cut(repeats.select(*_LINE, F.lit("repeat").alias("kind"), *_FIRST), "line-repeats")
+    scratch.drop(copied, members, first)
+
+    kept = lines.where("prefix is not null")
+    n_repeats = repeats.count()
+    if n_repeats:
+        kept = kept.join(small(repeats.select(*_LINE), n_repeats), _LINE, "left_anti")
+    if n_repeats > shared.SMALL_ROWS:
+        whole, kept = lines, scratch.cut(kept, "first-lines")
+        scratch.drop(whole)
+
+    # one early line for each of two token hashes
+    keyed = kept.select("doc", "at", "n", "sketch", F.explode(F.array("lo", "hi")).alias("key"))
+    heads = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc"), *[F.min_by(c, "doc").alias(f"first_{c}") for c in ("at", "n", "sketch")]).where("copies > 1")
+    heads = scratch.cut(heads, "line-heads")
+    earlier = (F.col("first_doc") < F.col("doc")) | ((F.col("first_doc") == F.col("doc")) & (F.col("first_at") < F.col("at")))
+    lengths = (F.least("n", "first_n") * den >= F.greatest("n", "first_n") * num)
+    few = F.bit_count(F.col("sketch").bitwiseXOR(F.col("first_sketch"))) * (num + den) <= (F.col("n") + F.col("first_n")) * (den - num)
+    tried = scratch.cut(_join_copies(keyed, heads, ["key"], 2 * total).where(earlier & lengths & few).select(*_LINE, *_FIRST).distinct(), "early-pairs")
+    early = _verified(scratch, tried, rows, num, den)
+    scratch.drop(heads, tried)
+
+    # what is left: earlier matches through the lists of prefix tokens, only those before the match that a line has already.
+    # A posting: the token, the line, its count and place in it, the sketch, and the line up to which matches are looked for
+    until = early.select(*_LINE, F.col("first_doc").alias("until_doc"), F.col("first_at").alias("until_at"))
+    left = kept.join(small(until, early.count()), _LINE, "left").select("doc", "at", "n", "sketch", "prefix", *[F.coalesce(f"until_{c}", c).alias(f"until_{c}") for c in _LINE])
+    place = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("i").cast("long"))
+    postings = left.select("doc", "at", "n", "sketch", "until_doc", "until_at", F.posexplode("prefix").alias("i", "token")).select("token", "doc", "at", "until_doc", "until_at", place.alias("place"), "sketch")
     x, y = postings.alias("x"), postings.alias("y")
-    id_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 24)
-    n_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 12).bitwiseAND(F.lit(_MOST))
-    i_of = lambda side: F.col(f"{side}.place").bitwiseAND(F.lit(_MOST))
-    total = n_of("x") + n_of("y")
-    overlap = F.least(i_of("x"), i_of("y")) + F.least(n_of("x") - i_of("x"), n_of("y") - i_of("y"))  # the shared token, and at most these
-    unseen = F.greatest(n_of("x"), n_of("y")) >= _MOST
-    odd = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) + F.bit_count(F.col("x.sketch1").bitwiseXOR(F.col("y.sketch1")))  # at most the tokens that only one side has
-    close = unseen | (
-        (n_of("y") * den >= n_of("x") * num) & (n_of("x") * den >= n_of("y") * num)
-        & (overlap * (num + den) >= total * num)
-        & (odd * (num + den) <= total * (den - num))
+    n_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 31)
+    after = lambda side: n_of(side) - F.col(f"{side}.place").bitwiseAND(F.lit((1 << 31) - 1))  # noqa: E731  the shared token and those behind it
+    both = n_of("x") + n_of("y")
+    match = (
+        (F.col("x.token") == F.col("y.token"))
+        & ((F.col("y.doc") < F.col("x.until_doc")) | ((F.col("y.doc") == F.col("x.until_doc")) & (F.col("y.at") < F.col("x.until_at"))))
+        & (F.least(after("x"), after("y")) * (num + den) >= both * num)
+        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (num + den) <= both * (den - num))
     )
-    ids = x.join(y, (F.col("x.token") == F.col("y.token")) & (id_of("x") < id_of("y")) & close).select(id_of("x").alias("a"), id_of("y").alias("b")).distinct()
-    at = classes.select(low.alias("id"), "doc_id", "line_no")
-    pairs = ids.join(at, F.col("a") == F.col("id")).select("b", "doc_id", "line_no").join(at.select("id", F.col("doc_id").alias("doc_id2"), F.col("line_no").alias("line_no2")), F.col("b") == F.col("id")).drop("b", "id")
-    pairs = cut(pairs, "line-pairs")
-
-    # verification: the token sets of the candidates' lines, read again from the texts
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")))
-    wanted = _byte_table(ends.select(cell.alias("cell"), F.lit(2).alias("value")).distinct(), LINE_CELLS)
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)))  # 64 bits stand for a word
-    words = cut(_lines(rows).where(_cell(wanted, cell) == 2).select("doc_id", "line_no", hashes.alias("words")), "line-words")
-    two = words.select(F.col("doc_id").alias("doc_id2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
-    shared = F.size(F.array_intersect("words", "words2"))
-    verified = pairs.join(words, ["doc_id", "line_no"]).join(two, ["doc_id2", "line_no2"]).where(shared * (num + den) >= (F.size("words") + F.size("words2")) * num)
-    one, other = F.struct("doc_id", "line_no"), F.struct(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no"))
-    ordered = verified.select(F.greatest(one, other).alias("later"), F.least(one, other).alias("first")).where("later <> first")
-    similar = ordered.groupBy("later").agg(F.min("first").alias("first")).select("later.doc_id", "later.line_no", F.lit("similar").alias("kind"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
+    pairs = scratch.cut(x.join(y, match).select("x.doc", "x.at", F.col("y.doc").alias("first_doc"), F.col("y.at").alias("first_at")).distinct(), "line-pairs")
+    scratch.drop(lines, kept)
+    late = _verified(scratch, pairs, rows, num, den)
+    similar = early.unionByName(late).groupBy(*_LINE).agg(F.min(F.struct(*_FIRST)).alias("f")).select(*_LINE, F.lit("similar").alias("kind"), "f.first_doc", "f.first_at")
     return repeats.unionByName(similar)
 
 
+def repeated_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, line_no, kind, first_doc_id, first_line_no: the lines that match an earlier one, and an earlier one they match.
+
+    Lines (split at newlines, counted from 0) are ordered by doc_id and line_no. Two match if the Jaccard similarity of their
+    sets of lower-cased words is at least `similarity`; kind: `repeat` if some earlier line has the same set (the first line
+    of the set is named), else `similar` (the earliest line that matches is). A line goes if any earlier line matches, whether or not that one goes too. Lines
+    without a word never match; null texts have no lines; rows that repeat a doc_id are taken as one after another, by text
+    (equal line numbers: the one that comes first stays where both are alike); a null doc_id counts as the smallest; an empty
+    table gives no rows; other columns are ignored.
+    """
+    num, den = similarity
+    with Scratch(docs.sparkSession) as scratch:
+        rows = _numbered(scratch, docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc", "copy")
+        found = scratch.keep(scratch.cut(_matches(scratch, rows, num, den), "matching-lines"))
+    number = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    known = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    return found.select(known("doc").alias("doc_id"), number("at").alias("line_no"), "kind", known("first_doc").alias("first_doc_id"), number("first_at").alias("first_line_no"))
+
+
 def remove_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs with the lines of `repeated_lines` taken out of `text`; all columns and rows stay.
 
-    A text whose lines all go becomes empty; null texts stay null. Only documents that lose lines are shuffled.
+    A text whose lines all go becomes empty; null texts stay null. Rows that share a doc_id lose only their own lines.
     """
-    gone = cut(repeated_lines(docs, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc"), "removed-lines")
-    cell = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(DOC_CELLS)).cast("int")
-    held = _byte_table(gone.select(cell("__doc").alias("cell"), F.lit(2).alias("value")).distinct(), DOC_CELLS)
-    may = F.coalesce(_cell(held, cell("doc_id")) == 2, F.lit(False))
-    joined = docs.where(may).join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    return docs.where(~may).unionByName(joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns]))
+    num, den = similarity
+    doc, copy, gone = (fresh(docs, x) for x in ("__doc", "__copy", "__gone"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = _numbered(scratch, docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc", "copy")
+        found = _matches(scratch, rows, num, den)
+        n = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        by_row = found.select(F.col("doc").alias(doc), F.shiftrightunsigned("at", 32).alias(copy), n.alias("n")).groupBy(doc, copy).agg(F.collect_list("n").alias(gone), F.count("*").alias("many"))
+        removed = scratch.keep(scratch.cut(by_row, "removed-lines"))
+        numbered = _numbered(scratch, docs, doc, copy)
+    many = removed.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    joined = numbered.join(small(removed.drop("many"), many), [doc, copy], "left")
+    left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts handled together inside a task, in bytes: bounds the memory of the numpy stages.
 BLOCK_BYTES = 4 << 20
@@ -17,9 +19,11 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests, local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="mistveil-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,13 +38,70 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     What led to it isn't needed from then on, so its shuffle files are deleted.
     """
+    return write(df, new_path(df.sparkSession, name))
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
     with shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows up to which a table of a few numbers is sent to every executor; beyond, its joins shuffle.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has no more than `most` (SMALL_ROWS) rows, which are counted for that (rows: where they are known)."""
+    most = SMALL_ROWS if most is None else most
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+class Scratch:
+    """Tables written to the shared folder for one job; those that aren't kept are deleted when the block ends, or earlier by drop."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in [x for x, _ in self._paths.values()]:
+            self.drop(df)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = write(df, path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._paths.pop(id(df), None)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self._paths.pop(id(df), (None, None))
+            if path:
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Actions in here delete their shuffle files when they end, for results that aren't computed twice from the same plan."""

@@ -21,8 +21,8 @@ from .shared import Scratch, fresh, shuffles_freed, small
 SIMILARITY = (4, 5)
 #: Cells of the rarity table: tokens share a cell by hash, and the cell's count (in 3 steps for each doubling) orders them. Any
 #: order of the tokens gives the same matches, so the table's size is fixed, one byte for each cell.
-RARITY_CELLS = 1 << 21
-_HASH_BITS = 56
+RARITY_CELLS = 1 << 22
+_HASH_BITS, _SINGLE = 56, 1
 _SPACES = r"[ \t\n\x0B\f\r]+"
 #: Classes of copies, or lists, with at least this part of all rows are joined by broadcast (there are this many at most).
 HOT_PARTS = 10_000
@@ -35,19 +35,23 @@ def _words(text: Column) -> Column:
 
 
 def _rarity(scratch: Scratch, rows: DataFrame) -> Column:
-    """The rarity table of all words of all texts: a binary of RARITY_CELLS bytes, each 1 to 127.
+    """The rarity table of all words of all texts, an array of RARITY_CELLS numbers: 0 for an empty cell, _SINGLE for one word met once, or more.
 
     It is built natively, in two steps, written, and read as a scalar subquery.
     """
-    spark, step = rows.sparkSession, 1024
+    spark, step = rows.sparkSession, 2048
     words = rows.select(F.explode(F.split(F.lower("text"), _SPACES)).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS)).alias("cell")).agg(F.count("*").alias("n"))
-    value = F.least(F.lit(127), F.ceil(3 * F.log2(F.col("n") + 1)) + 1).cast("int")
-    every = spark.range(RARITY_CELLS).select(F.col("id").alias("cell"), F.lit(1).alias("value"))
-    cells = counts.select("cell", value.alias("value")).unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
-    letters = lambda column: F.concat_ws("", F.transform(F.sort_array(F.collect_list(column)), lambda x: x["s"]))
-    blocks = cells.groupBy(F.floor(F.col("cell") / step).alias("block")).agg(letters(F.struct("cell", F.char("value").alias("s"))).alias("s"))
-    return scratch.cut(blocks.agg(letters(F.struct("block", "s")).cast("binary").alias("cells")), "rarity").scalar()
+    counts = words.groupBy(_cell(F.xxhash64("word")).alias("cell")).agg(F.count("*").alias("n"))
+    value = F.least(F.lit(127), F.ceil(3 * F.log2(F.col("n"))) + _SINGLE)
+    every = spark.range(RARITY_CELLS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("byte").alias("value"))
+    cells = counts.select("cell", value.cast("byte").alias("value")).unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
+    ordered = lambda *columns: F.transform(F.sort_array(F.collect_list(F.struct(*columns))), lambda x: x[columns[1]])
+    blocks = cells.groupBy(F.floor(F.col("cell") / step).alias("block")).agg(ordered("cell", "value").alias("values"))
+    return scratch.cut(blocks.agg(F.flatten(ordered("block", "values")).alias("cells")), "rarity").scalar()
+
+
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(RARITY_CELLS - 1)).cast("int")
 
 
 def _once(value: Column) -> Column:
@@ -121,22 +125,22 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
 
     def code(h: Column) -> Column:
         """The cell's value, then 56 bits of the token's hash."""
-        cell = F.substring(F.col("cells"), F.pmod(h, F.lit(RARITY_CELLS)).cast("int") + 1, F.lit(1))
-        return F.shiftleft(F.ascii(cell.cast("string")).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        return F.shiftleft(F.get(F.col("cells"), _cell(h)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
     coded = lines.select("doc", _place("copy", "line_no").alias("at"), hashes.alias("hashes"), rarity.alias("cells"))
     coded = coded.select("doc", "at", F.sort_array(F.transform("hashes", code)).alias("codes"))
-    coded = coded.select("doc", "at", _once(F.col("codes")).alias("codes")).where("size(codes) > 0")
     n = F.size("codes")
-    long_enough = n * (den - num) >= num  # shorter lines only match their own set
     rare = F.transform(F.slice("codes", F.lit(1), F.floor((n + 1) / 2).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    coded = coded.select("doc", "at", _once(F.struct("codes", rare.alias("rare"))).alias("x")).select("doc", "at", "x.*").where("size(codes) > 0")
+    # words met only once come first, and aren't shared; where there are more of them than may differ, and for the shortest lines, only the same set matches
+    single = F.array_position(F.transform("prefix", lambda x: x >= F.lit((_SINGLE + 1) << _HASH_BITS)), True)
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1)
-    own = lambda c: F.when(long_enough, c)
+    prefix = F.when(n * (den - num) >= num, F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1))
+    whole = coded.select("doc", "at", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), parity.alias("sketch"), F.array_min("rare").alias("lo"), F.array_max("rare").alias("hi"), prefix.alias("prefix"))
+    met = lambda c: F.when(F.col("skipped") >= 0, F.col(c)).alias(c)
     lines = scratch.cut(
-        coded.select("doc", "at", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), own(parity).alias("sketch"), own(F.array_min(rare)).alias("lo"), own(F.array_max(rare)).alias("hi"), own(prefix).alias("prefix")),
-        "lines",
-    )
+        whole.withColumn("skipped", (single - 1).cast("int")).select("doc", "at", "k1", "k2", "n", "skipped", met("sketch"), met("lo"), met("hi"), F.when(F.col("skipped") >= 0, F.slice("prefix", F.col("skipped") + 1, F.size("prefix"))).alias("prefix")), "lines"
+    )
     total = lines.count()
 
     # lines with the same token set: all but the first of each set are repeats
@@ -148,7 +152,7 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
     repeats = scratch.cut(repeats.select(*_LINE, F.lit("repeat").alias("kind"), *_FIRST), "line-repeats")
     scratch.drop(copied, members, first)
 
-    kept = lines.where("prefix is not null")
+    kept = lines.where("skipped >= 0")
     n_repeats = repeats.count()
     if n_repeats:
         kept = kept.join(small(repeats.select(*_LINE), n_repeats), _LINE, "left_anti")
@@ -170,9 +174,9 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
     # what is left: earlier matches through the lists of prefix tokens, only those before the match that a line has already.
     # A posting: the token, the line, its count and place in it, the sketch, and the line up to which matches are looked for
     until = early.select(*_LINE, F.col("first_doc").alias("until_doc"), F.col("first_at").alias("until_at"))
-    left = kept.join(small(until, early.count()), _LINE, "left").select("doc", "at", "n", "sketch", "prefix", *[F.coalesce(f"until_{c}", c).alias(f"until_{c}") for c in _LINE])
-    place = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("i").cast("long"))
-    postings = left.select("doc", "at", "n", "sketch", "until_doc", "until_at", F.posexplode("prefix").alias("i", "token")).select("token", "doc", "at", "until_doc", "until_at", place.alias("place"), "sketch")
+    left = kept.join(small(until, early.count()), _LINE, "left").select("doc", "at", "n", "skipped", "sketch", "prefix", *[F.coalesce(f"until_{c}", c).alias(f"until_{c}") for c in _LINE])
+    place = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR((F.col("i") + F.col("skipped")).cast("long"))
+    postings = left.select("doc", "at", "n", "skipped", "sketch", "until_doc", "until_at", F.posexplode("prefix").alias("i", "token")).select("token", "doc", "at", "until_doc", "until_at", place.alias("place"), "sketch")
     x, y = postings.alias("x"), postings.alias("y")
     n_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 31)
     after = lambda side: n_of(side) - F.col(f"{side}.place").bitwiseAND(F.lit((1 << 31) - 1))  # noqa: E731  the shared token and those behind it
@@ -180,6 +184,7 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
     match = (
         (F.col("x.token") == F.col("y.token"))
         & ((F.col("y.doc") < F.col("x.until_doc")) | ((F.col("y.doc") == F.col("x.until_doc")) & (F.col("y.at") < F.col("x.until_at"))))
+        & (F.least("x.at", "y.until_at") + F.least("x.place", "y.until_doc") >= F.lit(_NULL_ID))  # always so; both sides read the same columns, so they are one exchange
         & (F.least(after("x"), after("y")) * (num + den) >= both * num)
         & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (num + den) <= both * (den - num))
     )

@@ -21,17 +21,27 @@ from .shared import Scratch, fresh, shuffles_freed, small
 SIMILARITY = (4, 5)
 #: Cells of the rarity table: tokens share a cell by hash, and the cell's count (in 3 steps for each doubling) orders them. Any
 #: order of the tokens gives the same matches, so the table's size is fixed, one byte for each cell.
-RARITY_CELLS = 1 << 22
+RARITY_CELLS = 1 << 20
 _HASH_BITS, _SINGLE = 56, 1
 _SPACES = r"[ \t\n\x0B\f\r]+"
 #: Classes of copies, or lists, with at least this part of all rows are joined by broadcast (there are this many at most).
 HOT_PARTS = 10_000
 _NULL_ID = -(1 << 63)
+#: Tokens from which a line's sketch has a second half.
+_MANY = 64
 
 
-def _words(text: Column) -> Column:
-    """Words of a text: runs without ASCII white space, lower-cased."""
-    return F.array_remove(F.split(F.lower(text), _SPACES), "")
+def _lines(text: Column) -> Column:
+    """Lines of a text, lower-cased, with a blank for each other ASCII white space."""
+    text = F.lower(text)
+    for space in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, "\n", -1)
+
+
+def _words(line: Column) -> Column:
+    """Words of a line of `_lines`: runs without white space."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _rarity(scratch: Scratch, rows: DataFrame) -> Column:
@@ -91,6 +101,16 @@ def _join_copies(left: DataFrame, right: DataFrame, keys: list[str], rows: int)
     return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right, keys))
 
 
+def _odd(n: Column, m: Column, sketch: Column, other: Column, half: Column, other_half: Column) -> Column:
+    """A bound from below for the tokens that only one of two lines has: cells in which their parities differ.
+
+    A sketch has 64 cells for all tokens; lines of more than _MANY also have that of half of them (which leaves the other half's,
+    so two such lines compare 128 cells).
+    """
+    all_, own = sketch.bitwiseXOR(other), half.bitwiseXOR(other_half)
+    return F.when((n > _MANY) & (m > _MANY), F.bit_count(own) + F.bit_count(all_.bitwiseXOR(own))).otherwise(F.bit_count(all_))
+
+
 _LINE, _FIRST = ["doc", "at"], ["first_doc", "first_at"]
 
 
@@ -101,7 +121,8 @@ def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, num: int, den
     """
     ends = scratch.cut(pairs.select(*_LINE).unionByName(pairs.select(*[F.col(f).alias(c) for f, c in zip(_FIRST, _LINE, strict=True)])).distinct(), "line-ends")
     wanted = ends.groupBy("doc", F.shiftrightunsigned("at", 32).alias("copy")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("wanted"))
-    texts = rows.join(small(wanted, ends.count()), ["doc", "copy"]).select("doc", "copy", "wanted", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
+    texts = rows.join(small(wanted, ends.count()), ["doc", "copy"]).select("doc", "copy", "wanted", _lines(F.col("text")).alias("lines"))
+    texts = texts.select("doc", "copy", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))).alias("x")).select("doc", "copy", "x.*")
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)))  # 64 bits stand for a word
     words = scratch.cut(texts.select("doc", _place("copy", "line_no").alias("at"), hashes.alias("words")), "line-words")
     first = words.select(F.col("doc").alias("first_doc"), F.col("at").alias("first_at"), F.col("words").alias("first_words"))
@@ -120,26 +141,26 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
     """doc, at, kind, first_doc, first_at of the lines that match an earlier one; rows: doc, copy, text."""
     rows = rows.where("text is not null")
     rarity = _rarity(scratch, rows)
-    lines = rows.select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)))
+    lines = rows.select("doc", "copy", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
 
     def code(h: Column) -> Column:
         """The cell's value, then 56 bits of the token's hash."""
         return F.shiftleft(F.get(F.col("cells"), _cell(h)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    coded = lines.select("doc", _place("copy", "line_no").alias("at"), hashes.alias("hashes"), rarity.alias("cells"))
-    coded = coded.select("doc", "at", F.sort_array(F.transform("hashes", code)).alias("codes"))
+    coded = lines.select("doc", _place("copy", "line_no").alias("at"), _words(F.col("line")).alias("words"), rarity.alias("cells"))
+    coded = coded.select("doc", "at", F.sort_array(F.array_distinct(F.transform("words", lambda w: code(F.xxhash64(w))))).alias("codes"))
     n = F.size("codes")
     rare = F.transform(F.slice("codes", F.lit(1), F.floor((n + 1) / 2).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
     coded = coded.select("doc", "at", _once(F.struct("codes", rare.alias("rare"))).alias("x")).select("doc", "at", "x.*").where("size(codes) > 0")
     # words met only once come first, and aren't shared; where there are more of them than may differ, and for the shortest lines, only the same set matches
     single = F.array_position(F.transform("prefix", lambda x: x >= F.lit((_SINGLE + 1) << _HASH_BITS)), True)
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    parity = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    half = F.when(n > _MANY, parity(F.filter("codes", lambda x: x.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
     prefix = F.when(n * (den - num) >= num, F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1))
-    whole = coded.select("doc", "at", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), parity.alias("sketch"), F.array_min("rare").alias("lo"), F.array_max("rare").alias("hi"), prefix.alias("prefix"))
+    whole = coded.select("doc", "at", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), parity("codes").alias("sketch"), half.alias("half"), F.array_min("rare").alias("lo"), F.array_max("rare").alias("hi"), prefix.alias("prefix"))
     met = lambda c: F.when(F.col("skipped") >= 0, F.col(c)).alias(c)
     lines = scratch.cut(
-        whole.withColumn("skipped", (single - 1).cast("int")).select("doc", "at", "k1", "k2", "n", "skipped", met("sketch"), met("lo"), met("hi"), F.when(F.col("skipped") >= 0, F.slice("prefix", F.col("skipped") + 1, F.size("prefix"))).alias("prefix")), "lines"
+        whole.withColumn("skipped", (single - 1).cast("int")).select("doc", "at", "k1", "k2", "n", "skipped", met("sketch"), met("half"), met("lo"), met("hi"), F.when(F.col("skipped") >= 0, F.slice("prefix", F.col("skipped") + 1, F.size("prefix"))).alias("prefix")), "lines"
     )
     total = lines.count()
 
@@ -161,12 +182,12 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
         scratch.drop(whole)
 
     # one early line for each of two token hashes
-    keyed = kept.select("doc", "at", "n", "sketch", F.explode(F.array("lo", "hi")).alias("key"))
-    heads = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc"), *[F.min_by(c, "doc").alias(f"first_{c}") for c in ("at", "n", "sketch")]).where("copies > 1")
+    keyed = kept.select("doc", "at", "n", "sketch", "half", F.explode(F.array("lo", "hi")).alias("key"))
+    heads = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc"), *[F.min_by(c, "doc").alias(f"first_{c}") for c in ("at", "n", "sketch", "half")]).where("copies > 1")
     heads = scratch.cut(heads, "line-heads")
     earlier = (F.col("first_doc") < F.col("doc")) | ((F.col("first_doc") == F.col("doc")) & (F.col("first_at") < F.col("at")))
     lengths = (F.least("n", "first_n") * den >= F.greatest("n", "first_n") * num)
-    few = F.bit_count(F.col("sketch").bitwiseXOR(F.col("first_sketch"))) * (num + den) <= (F.col("n") + F.col("first_n")) * (den - num)
+    few = _odd(*[F.col(f"{side}{c}") for c in ("n", "sketch", "half") for side in ("", "first_")]) * (num + den) <= (F.col("n") + F.col("first_n")) * (den - num)
     tried = scratch.cut(_join_copies(keyed, heads, ["key"], 2 * total).where(earlier & lengths & few).select(*_LINE, *_FIRST).distinct(), "early-pairs")
     early = _verified(scratch, tried, rows, num, den)
     scratch.drop(heads, tried)
@@ -174,9 +195,9 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
     # what is left: earlier matches through the lists of prefix tokens, only those before the match that a line has already.
     # A posting: the token, the line, its count and place in it, the sketch, and the line up to which matches are looked for
     until = early.select(*_LINE, F.col("first_doc").alias("until_doc"), F.col("first_at").alias("until_at"))
-    left = kept.join(small(until, early.count()), _LINE, "left").select("doc", "at", "n", "skipped", "sketch", "prefix", *[F.coalesce(f"until_{c}", c).alias(f"until_{c}") for c in _LINE])
+    left = kept.join(small(until, early.count()), _LINE, "left").select("doc", "at", "n", "skipped", "sketch", "half", "prefix", *[F.coalesce(f"until_{c}", c).alias(f"until_{c}") for c in _LINE])
     place = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR((F.col("i") + F.col("skipped")).cast("long"))
-    postings = left.select("doc", "at", "n", "skipped", "sketch", "until_doc", "until_at", F.posexplode("prefix").alias("i", "token")).select("token", "doc", "at", "until_doc", "until_at", place.alias("place"), "sketch")
+    postings = left.select("doc", "at", "n", "skipped", "sketch", "half", "until_doc", "until_at", F.posexplode("prefix").alias("i", "token")).select("token", "doc", "at", "until_doc", "until_at", place.alias("place"), "sketch", "half")
     x, y = postings.alias("x"), postings.alias("y")
     n_of = lambda side: F.shiftrightunsigned(F.col(f"{side}.place"), 31)
     after = lambda side: n_of(side) - F.col(f"{side}.place").bitwiseAND(F.lit((1 << 31) - 1))  # noqa: E731  the shared token and those behind it
@@ -186,7 +207,7 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
         & ((F.col("y.doc") < F.col("x.until_doc")) | ((F.col("y.doc") == F.col("x.until_doc")) & (F.col("y.at") < F.col("x.until_at"))))
         & (F.least("x.at", "y.until_at") + F.least("x.place", "y.until_doc") >= F.lit(_NULL_ID))  # always so; both sides read the same columns, so they are one exchange
         & (F.least(after("x"), after("y")) * (num + den) >= both * num)
-        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (num + den) <= both * (den - num))
+        & (_odd(n_of("x"), n_of("y"), *[F.col(f"{side}.{c}") for c in ("sketch", "half") for side in "xy"]) * (num + den) <= both * (den - num))
     )
     pairs = scratch.cut(x.join(y, match).select("x.doc", "x.at", F.col("y.doc").alias("first_doc"), F.col("y.at").alias("first_at")).distinct(), "line-pairs")
     scratch.drop(lines, kept)

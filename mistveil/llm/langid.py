@@ -32,23 +32,32 @@ _LOWER[~_LETTER] = 32
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def subwords(text: bytes) -> np.ndarray:
-    """Buckets of the byte n-grams of a text, ASCII lower-cased, runs of what isn't a letter as one space."""
+def subword_blocks(text: bytes, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Buckets of the byte n-grams of a text, ASCII lower-cased, runs of what isn't a letter as one space.
+
+    In blocks of `most` places at which n-grams begin, so that a long text isn't held several times over; none is left out.
+    """
     b = _LOWER[np.frombuffer(text, np.uint8)]
     space = b == 32
     if len(b):
         b = b[~(space & np.concatenate([[True], space[:-1]]))]
     if not len(b) or not (b != 32).any():
-        return np.zeros(0, np.int64)
-    b = np.pad(b[:-1] if b[-1] == 32 else b, 1, constant_values=32).astype(np.uint32)
-    out = []
-    for n in ORDERS:
-        h = np.full(max(0, len(b) - n + 1), n, np.uint32)
-        for k in range(n):
-            h = (h ^ b[k : len(b) - n + 1 + k]) * _MIX[k]
-            h ^= h >> np.uint32(15)
-        out.append(h % np.uint32(BUCKETS))
-    return np.concatenate(out).astype(np.int64)
+        return
+    b = np.pad(b[:-1] if b[-1] == 32 else b, 1, constant_values=32)
+    for at in range(0, len(b), most):
+        out = []
+        for n in ORDERS:
+            part = b[at : at + most + n - 1].astype(np.uint32)
+            h = np.full(max(0, len(part) - n + 1), n, np.uint32)
+            for k in range(n):
+                h = (h ^ part[k : len(part) - n + 1 + k]) * _MIX[k]
+                h ^= h >> np.uint32(15)
+            out.append(h % np.uint32(BUCKETS))
+        yield np.concatenate(out).astype(np.int64)
+
+
+def subwords(text: bytes) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *subword_blocks(text)])
 
 
 def has_letter(text: bytes) -> bool:
@@ -70,8 +79,7 @@ class LanguageModel:
                 names.append(UNKNOWN)
                 continue
             total, n = np.zeros(self.table.shape[1]), 0
-            for at in range(0, max(1, len(t)), 1 << 20):  # n-grams across these cuts are left out; bounds the memory of long texts
-                own = subwords(t[at : at + (1 << 20)])
+            for own in subword_blocks(t):
                 total += self.table[own].sum(axis=0, dtype=np.float64)
                 n += len(own)
             z = total / max(1, n)
@@ -87,10 +95,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         index, weight = [], []
         for t in utf8(batch.column(1)):
-            i, n = np.unique(subwords(t), return_counts=True)
+            all_ = np.zeros(BUCKETS, np.int64)
+            for own in subword_blocks(t):
+                all_ += np.bincount(own, minlength=BUCKETS)
+            i = np.flatnonzero(all_)
+            n = all_[i]
             index.append(i.astype("<u2").tobytes())
             weight.append((n / max(1, n.sum())).astype("<f4").tobytes())
-        yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "index": pa.array(index, pa.binary()), "weight": pa.array(weight, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(2), "lang": batch.column(0), "index": pa.array(index, pa.binary()), "weight": pa.array(weight, pa.binary())})
 
 
 def sampled(labelled: DataFrame, by: str, most: int) -> DataFrame:
@@ -117,7 +129,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     most = min(sample, max(LEAST_SAMPLE, BUDGET // max(1, rows.select("lang").distinct().count())))
     chosen = sampled(rows, "lang", most).distinct()
-    got = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_counts, "lang string, index binary, weight binary").collect()  # bounded by BUDGET, or LEAST_SAMPLE a language
+    counted = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text", "doc_id").mapInArrow(_counts, "doc_id long, lang string, index binary, weight binary")
+    one = counted.groupBy("doc_id").agg(F.min(F.struct("lang", "index", "weight")).alias("r")).select("r.*")  # a doc_id counts once, however often it is repeated
+    got = one.collect()  # bounded by BUDGET, or LEAST_SAMPLE a language
     names = sorted({r["lang"] for r in got})
     rng = np.random.default_rng(SEED)
     order = sorted(range(len(got)), key=lambda i: (zlib.crc32(bytes(got[i]["index"])), i))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import components
-from .shared import cut, small_batches, utf8
+from .shared import Scratch, fresh, small, small_batches, utf8
 
 #: Words of a shingle, and least Jaccard similarity of two texts' sets of shingles that links them.
 WORDS, SHARE = 5, 0.8
@@ -63,11 +63,11 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: doc_id) whose texts have SHARE of their shingles in common."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     left, right = texts.toDF("a", "x"), texts.toDF("b", "y")
-    return cut(small_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")).mapInArrow(_similar, "a long, b long"), "similar")
+    return scratch.cut(small_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")).mapInArrow(_similar, "a long, b long"), "similar")
 
 
 def _sizes_fit(n: str, m: str):
@@ -84,38 +84,47 @@ def near_copies(docs: DataFrame) -> DataFrame:
     then all pairs of a band that are still in different components are, so a large group costs no pairs by its square, and no
     candidate is left out.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(scratch.cut(_near_copies(scratch, docs), "near-copies"))
+
+
+def _near_copies(scratch: Scratch, docs: DataFrame) -> DataFrame:
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marks = cut(rows.mapInArrow(_marks, "doc_id long, fp long, own long, n long, bands array<long>"), "marks")
-    classes = cut(marks.groupBy("own", "n").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    marks = scratch.cut(rows.mapInArrow(_marks, "doc_id long, fp long, own long, n long, bands array<long>"), "marks")
+    classes = scratch.cut(marks.groupBy("own", "n").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("many")).where("many > 1")
-    members = cut(keyed.join(shared, "key").select("key", "node", "n", F.col("least.node").alias("first"), F.col("least.n").alias("first_n")), "members")
+    members = scratch.cut(keyed.join(shared, "key").select("key", "node", "n", F.col("least.node").alias("first"), F.col("least.n").alias("first_n")), "members")
     star = members.where((F.col("node") != F.col("first")) & _sizes_fit("n", "first_n"))
-    close = _close_prints(classes)
-    tried = cut(star.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(close).distinct(), "tried")
-    found = _verified(tried, docs)
+    close = _close_prints(scratch, classes)
+    tried = scratch.cut(star.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(close).distinct(), "tried")
+    found = _verified(scratch, tried, docs)
     label = components(found)
-    placed = cut(members.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("of")), "placed")
+    placed = scratch.cut(members.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("of")), "placed")
     mixed = placed.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
-    open_ = cut(placed.join(mixed, "key"), "open")
+    open_ = scratch.cut(placed.join(mixed, "key"), "open")
     other = open_.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("of").alias("of2"))
     across = open_.join(other, "key").where((F.col("of") < F.col("of2")) & _sizes_fit("n", "n2"))
     pairs = across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(cut(pairs, "pairs"), docs)
+    more = _verified(scratch, scratch.cut(pairs, "pairs"), docs)
     grouped = components(found.unionByName(more))
     of_class = classes.join(grouped, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"))
     return marks.join(of_class, ["own", "n"]).select("doc_id", "component_id")
 
 
-def _close_prints(classes: DataFrame) -> DataFrame:
+def _close_prints(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """a, b: the smallest classes of fingerprints within simhash.DISTANCE, and those of one fingerprint with the smallest of it."""
-    prints = cut(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    prints = scratch.cut(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "prints")
     equal = classes.where("n > 0").join(prints.select("fp", F.col("node").alias("first")), "fp").where("node <> first")
     links = simhash.links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.unionByName(equal.select(F.col("first").alias("a"), F.col("node").alias("b")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without those that link to a smaller doc_id, directly or over others; all columns stay."""
-    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents without those that link to a smaller doc_id, directly or over others; all columns stay.
+
+    Rows that share a doc_id stay or go together; rows without one stay. An empty table gives no rows.
+    """
+    name = fresh(docs, "__gone")
+    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -60,10 +60,11 @@ def _pieces(path: str, capacity: int, end_id: int):
     """Arrow batches of (doc_id, text) to packed pieces, one local round for each LOCAL_ITEMS pieces of the partition."""
 
     def packed(rows: list[tuple], block: int) -> pa.RecordBatch:
-        doc, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        doc, *numbers = zip(*rows, strict=True)
+        piece, start, length, crc = (np.array(x, np.int64) for x in numbers)
         bins, places, loads = best_fit(length, capacity)
-        columns = {"doc_id": doc, "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc, "bin": (block << 24) + bins, "place": places, "bin_load": loads[bins]}
-        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+        columns = {"doc_id": pa.array(doc, pa.int64()), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc, "bin": (block << 24) + bins, "place": places, "bin_load": loads[bins]}
+        return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -119,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     docs: doc_id and text; other columns are ignored. Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset,
     one row for each piece. Null and empty texts give a piece of the end id alone. Documents longer than `capacity` are cut
-    into pieces of that length, the last may be shorter; repeated doc_ids are packed each by itself; an empty table gives no
+    into pieces of that length, the last may be shorter; repeated doc_ids, and rows without one, are packed each by itself; an empty table gives no
     rows; ties in length go by the order of rows.
 
     First round: each task encodes its rows and packs the lengths best-fit. Nearly full bins are sequences. The others are

@@ -25,9 +25,12 @@ from .shared import blocks, new_path, small_batches, utf8
 from .word_encoder import encoder
 
 END_ID = 1
-#: Input bytes of documents for each file, about; documents read back at once.
+#: Bytes of text for each file, about, which bounds what a task writes and reads; documents read back at once.
 FILE_BYTES, READ_DOCS = 32 << 20, 4096
 
+#: What stands for a missing doc_id in a file.
+NO_ID = -(1 << 63)
+
 _FILES = "part int, name string, n_docs long, n_ids long, first_doc long, last_doc long"
 
 
@@ -68,17 +71,28 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, width: int):
     return run
 
 
+def _vocabulary(tokenizer_path: str) -> int:
+    """One more than the largest id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(tokenizer_path).get_vocab().values(), default=0)
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, width: int = 2, n_files: int | None = None) -> DataFrame:
     """Encode docs (doc_id, text) into the files of `folder`; returns the manifest: a row for each file with its `base`.
 
     Rows are dealt by ranges of doc_id and sorted within them; equal doc_ids stay together, in any order. Null and empty texts
-    give the end id alone, an empty table no file, rows without doc_id count as the lowest ids. width: bytes of an id.
+    give the end id alone, an empty table no file, rows without doc_id count as the lowest ids (NO_ID in the files). width: bytes of an id; a vocabulary that
+    doesn't fit is an error. Files hold about FILE_BYTES of text each, unless n_files says otherwise.
     The manifest has one row for each file; its prefix sums are taken on the driver.
     """
     spark = docs.sparkSession
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    if (most := _vocabulary(tokenizer_path)) > 1 << 8 * width:
+        raise ValueError(f"ids up to {most - 1} don't fit into {width} bytes")
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     if n_files is None:
-        n_files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_files = max(2 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     done = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_writer(folder, tokenizer_path, end_id, width), _FILES)
     base, files = 0, []
     for r in sorted(done.collect(), key=lambda r: r["part"]):  # one small row for each file
@@ -117,7 +131,8 @@ def read(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files that the folder's manifest names."""
     files = spark.read.parquet(f"{folder}/manifest")
     n = max(1, files.count())
-    return files.repartition(n, "part").mapInArrow(_reader(folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = files.repartition(n, "part").mapInArrow(_reader(folder, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,16 @@ class ContextTable:
         return row["replacement"] if row else None
 
     def clear(self, context: str) -> None:
-        """Forget a context: the rest is written beside the table and takes its place."""
-        rest = self.read().where(F.col("context") != context).checkpoint() if self.spark.sparkContext.getCheckpointDir() else self.read().where(F.col("context") != context).persist()
-        rest.count()
-        rest.write.mode("overwrite").parquet(self.path)
+        """Forget a context: the rest is written beside the table, whole, before it takes its place."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        beside, old = (f"{self.path.rstrip('/')}-{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
+        self.read().where(~F.col("context").eqNullSafe(context)).write.parquet(beside)
+        here, beside, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (self.path, beside, old))
+        fs = here.getFileSystem(conf)
+        if not (fs.rename(here, old) and fs.rename(beside, here)):
+            raise RuntimeError(f"the table {self.path} could not be replaced; its rows are in {old} and {beside}")
+        fs.delete(old, True)
+        self.spark.catalog.refreshByPath(self.path)
 
 
 def generated(tokens: DataFrame, seed: int = 0, method: str = "realistic", lists: dict[str, list[str]] | None = None) -> DataFrame:

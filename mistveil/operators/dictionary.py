@@ -16,16 +16,43 @@ def _normal(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def word_ngrams(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n, character_start, character_end, ngram: all runs of 1 to `most` words, with what lies between them."""
+#: Terms up to which their first words are sent to the tasks, so that only n-grams that may be terms are made.
+FEW_TERMS = 100_000
+
+
+def word_ngrams(df: DataFrame, most: int, key: str = "doc_id", text: str = "text", first_words: frozenset[str] | None = None) -> DataFrame:
+    """key, n, character_start, character_end, ngram: all runs of 1 to `most` words, with what lies between them.
+
+    first_words (lower case): only runs that begin with one of them, as it is or without marks at its ends, or with marks alone.
+    """
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(n, T.IntegerType()) for n in ("n", "character_start", "character_end")), T.StructField("ngram", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        lead, tail = regex.compile(r"^[^\p{L}\p{Nd}]+"), regex.compile(r"[^\p{L}\p{Nd}]+$")
+        may: dict[str, bool] = {}
+
+        def begins(word: str) -> bool:
+            if word not in may:
+                if len(may) > 1_000_000:
+                    may.clear()
+                low = word.lower()
+                bare = lead.sub("", low)
+                may[word] = not bare or not first_words.isdisjoint((low, bare, tail.sub("", bare)))
+            return may[word]
+
         for rows in batches:
+            out: list[tuple] = []
             for k, t in zip(rows.iloc[:, 0], rows.iloc[:, 1], strict=True):
                 words = word_spans(t) if t else []
-                out = [(k, n, words[i][0], words[i + n - 1][1]) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
-                yield pd.DataFrame([(*x, t[x[2] : x[3]]) for x in out], columns=schema.names)
+                starts = range(len(words)) if first_words is None else [i for i, (s, e) in enumerate(words) if begins(t[s:e])]
+                out += [(k, n, words[i][0], words[i + n - 1][1], t[words[i][0] : words[i + n - 1][1]]) for n in range(1, most + 1) for i in starts if i + n <= len(words)]
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=schema.names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=schema.names)
 
     return df.select(key, text).mapInPandas(run, schema).withColumnRenamed("key", key)
 
@@ -34,14 +61,15 @@ def exact_matches(df: DataFrame, terms: DataFrame, most: int, key: str = "doc_id
     """key, character_start, character_end, text, term: n-grams that are terms (column `term`), as they are or without marks at their ends.
 
     An equi-join on the normal form: the optimizer broadcasts small lists and shuffles large ones; n-grams without a match never
-    leave their task where the list is broadcast.
+    leave their task where the list is broadcast. Of up to FEW_TERMS terms, the first words decide which n-grams are made at all.
     """
-    grams = word_ngrams(df, most, key, text)
-    bare = F.regexp_extract("ngram", r"(?U)^[^\p{L}\p{Nd}]*(.*?)[^\p{L}\p{Nd}]*$", 1)
-    lead = F.length(F.regexp_extract("ngram", r"(?U)^[^\p{L}\p{Nd}]*", 0))
-    forms = grams.select(key, "character_start", "ngram", F.lit(0).alias("lead"), F.col("ngram").alias("form")).unionByName(
-        grams.select(key, "character_start", "ngram", lead.alias("lead"), bare.alias("form")).where("form <> ngram and form <> ''")
-    )
+    begin = [r[0] for r in terms.select(F.split(_normal(F.col("term")), " ")[0]).limit(FEW_TERMS + 1).collect()]
+    grams = word_ngrams(df, most, key, text, frozenset(x for x in begin if x is not None) if len(begin) <= FEW_TERMS else None)
+    lead = F.regexp_extract("ngram", r"(?U)^[^\p{L}\p{Nd}]*", 0)
+    bare = F.regexp_extract("ngram", r"(?Us)^[^\p{L}\p{Nd}]*(.*?)[^\p{L}\p{Nd}]*$", 1)
+    one = lambda skipped, form: F.struct(skipped.alias("lead"), form.alias("form"))
+    both = F.explode(F.array(one(F.lit(0), F.col("ngram")), one(F.length(lead), bare)))
+    forms = grams.select(key, "character_start", both.alias("f")).select(key, "character_start", "f.lead", "f.form").where("form <> ''")
     known = terms.select(F.col("term"), _normal(F.col("term")).alias("__term")).dropDuplicates(["__term"])
     hits = forms.join(known, _normal(F.col("form")) == F.col("__term"))
     start = F.col("character_start") + F.col("lead")

@@ -6,13 +6,22 @@ counts by cosine. The whole input is learned from before anything is resolved, s
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VECTORS = "context string, filter_type string, bucket int, n double"
-#: Words that carry no type.
-STOP_WORDS = "a about above after all am an and any are as at be because been before being below but by can did do does for from had has have he her his how i if in into is it its me my no not of off on or our out over own she so some such than that the their them then there these they this those to too under until up very was we were what when where which while who why will with you your".split()
+#: Words that carry no type: a short list of our own. A deployment's list is given as `stop_words`.
+STOP_WORDS = frozenset([
+    "a", "about", "above", "after", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "below", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "his", "how",
+    "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "not", "of", "off", "on", "or", "our", "out", "over", "own",
+    "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to",
+    "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will",
+    "with", "you", "your",
+])
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:
@@ -50,12 +59,12 @@ def polynomial(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: wrapped(h * 31 + F.ascii(c))).cast("int")
 
 
-def _buckets(spans: DataFrame, size: int, stop_words: bool, algorithm: str, *keys: str) -> DataFrame:
+def _buckets(spans: DataFrame, size: int, stop_words: bool | Collection[str], algorithm: str, *keys: str) -> DataFrame:
     """keys, bucket: the distinct hash buckets of the words in each span's window."""
     word = F.lower(F.col("word"))
     words = spans.select(*keys, F.explode("window").alias("word")).where(word != "")
     if stop_words:
-        words = words.where(~word.isin(STOP_WORDS))
+        words = words.where(~word.isin(sorted(STOP_WORDS if stop_words is True else {w.lower() for w in stop_words})))
     hashed = murmur3(word) if algorithm == "murmur3" else polynomial(word)
     return words.select(*keys, F.abs(hashed % size).cast("int").alias("bucket")).distinct()
 
@@ -67,13 +76,13 @@ def _contested(spans: DataFrame, key: str) -> DataFrame:
     return spans.join(types, at)
 
 
-def train(spans: DataFrame, size: int = 512, stop_words: bool = True, algorithm: str = "murmur3", key: str = "doc_id") -> DataFrame:
+def train(spans: DataFrame, size: int = 512, stop_words: bool | Collection[str] = True, algorithm: str = "murmur3", key: str = "doc_id") -> DataFrame:
     """context, filter_type, bucket, n from exploded spans (key, context, filter_type, range, window) that no other type contests."""
     own = _contested(spans, key).where("types = 1").withColumn("__s", F.monotonically_increasing_id())
     return _buckets(own, size, stop_words, algorithm, "__s", "context", "filter_type").groupBy("context", "filter_type", "bucket").agg(F.count("*").cast("double").alias("n"))
 
 
-def resolve(spans: DataFrame, vectors: DataFrame, size: int = 512, stop_words: bool = True, algorithm: str = "murmur3", key: str = "doc_id") -> DataFrame:
+def resolve(spans: DataFrame, vectors: DataFrame, size: int = 512, stop_words: bool | Collection[str] = True, algorithm: str = "murmur3", key: str = "doc_id") -> DataFrame:
     """spans of which each range keeps one type: the one whose vector is nearest to the span's words; ties: the first found."""
     at = [key, "character_start", "character_end"]
     marked = _contested(spans, key)

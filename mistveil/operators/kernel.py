@@ -97,9 +97,10 @@ class TermSearch:
 
 
 class FuzzySearch:
-    """Terms as written (p 0), and n-grams of as many words within an edit distance (p 1).
+    """Terms as written (p 0), and n-grams of as many words within an edit distance of a term (p 1).
 
-    Distances are only taken for n-grams of a length that allows them.
+    A string within d edits of a term keeps one of d + 1 parts of it, moved by at most d characters. So the parts are kept in one
+    table, and only terms that share a part with the n-gram are compared. Lengths are those of the forms that are compared.
     """
 
     DISTANCE = {"high": 0, "medium": 1, "low": 2, "off": None, "auto": None}
@@ -107,30 +108,75 @@ class FuzzySearch:
     def __init__(self, label: str, terms: list[str], sensitivity: str, capitalized: bool):
         self.label, self.terms, self.capitalized = label, list(dict.fromkeys(terms)), capitalized
         self.distance = self.DISTANCE.get(sensitivity.lower(), 0)
+        self._parts: dict[tuple[int, str], list[tuple[int, int]]] | None = None
+        self._sizes: dict[int, set[int]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_parts": None}
+
+    def _table(self) -> dict[tuple[int, str], list[tuple[int, int]]]:
+        """(words, part) to (term's number, place of the part in it)."""
+        if self._parts is None:
+            self._parts, self._sizes = {}, {}
+            for k, term in enumerate(self.terms):
+                low = term.lower()
+                step = max(1, len(low) // (self.distance + 1))
+                cuts = [*range(0, step * (self.distance + 1), step)]
+                for at, end in zip(cuts, [*cuts[1:], max(len(low), cuts[-1])], strict=True):
+                    self._sizes.setdefault(len(term.split(" ")), set()).add(len(low[at:end]))
+                    self._parts.setdefault((len(term.split(" ")), low[at:end]), []).append((k, at))
+        return self._parts
+
+    def _candidates(self, n: int, form: str) -> set[int]:
+        table, out = self._table(), set()
+        for size in self._sizes[n]:
+            for at in range(len(form) - size + 1):
+                for k, place in table.get((n, form[at : at + size]), ()):
+                    if abs(at - place) <= self.distance and abs(len(form) - len(self.terms[k])) <= self.distance:
+                        out.add(k)
+        return out
 
     def __call__(self, text: str) -> list[dict]:
         import regex
 
-        words, out = word_spans(text), []
-        for term in self.terms:
-            covered = []
-            for m in regex.finditer(rf"\b{regex.escape(term)}\b", text, regex.IGNORECASE):
-                if not self.capitalized or text[m.start()].isupper():
-                    out.append({"s": m.start(), "e": m.end(), "t": m[0], "p": 0})
-                    covered.append(m.span())
-            if self.distance is None:
-                continue
-            n, low = len(term.split(" ")), term.lower()
-            for i in range(len(words) - n + 1):
-                s, e = words[i][0], words[i + n - 1][1]
-                gram = text[s:e]
-                if len(gram) <= 2 or (self.capitalized and not gram[0].isupper()) or abs(len(gram) - len(low)) > self.distance + 8:
-                    continue
-                if any(s < b and a < e for a, b in covered):
-                    continue
-                if levenshtein(low, _normal(gram), self.distance) <= self.distance:
-                    out.append({"s": s, "e": e, "t": gram, "p": 1})
-        return out
+        found: list[list[dict]] = [[] for _ in self.terms]
+        for k, term in enumerate(self.terms):
+            written = regex.finditer(rf"\b{regex.escape(term)}\b", text, regex.IGNORECASE)
+            found[k] = [{"s": m.start(), "e": m.end(), "t": m[0], "p": 0} for m in written if not self.capitalized or text[m.start()].isupper()]
+        if self.distance is not None:
+            exact, words = [len(x) for x in found], word_spans(text)
+            for n in sorted({len(t.split(" ")) for t in self.terms}):
+                for first, last in zip(words, words[n - 1 :], strict=False):
+                    gram = text[first[0] : last[1]]
+                    if len(gram) < 3 or (self.capitalized and not gram[0].isupper()):
+                        continue
+                    form = _normal(gram)
+                    for k in self._candidates(n, form):
+                        apart = all(x["e"] <= first[0] or last[1] <= x["s"] for x in found[k][: exact[k]])
+                        if apart and levenshtein(self.terms[k].lower(), form, self.distance) <= self.distance:
+                            found[k].append({"s": first[0], "e": last[1], "t": gram, "p": 1})
+        return [x for own in found for x in own]
+
+
+def _searched(text: str | None, searches: list[Callable[[str], list[dict]]]) -> dict:
+    own, late = [], []
+    for s in searches:
+        try:
+            own.append(s(text or ""))
+        except TimeoutError:
+            own.append([])
+            late.append(s.label)
+    return {"found": own, "timeouts": late}
+
+
+def search_each(texts: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
+    """A FOUND for each text of an array."""
+
+    @F.pandas_udf(f"array<{FOUND}>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[_searched(t, searches) for t in row] if row is not None else [] for row in rows])
+
+    return run(texts)
 
 
 def search(text: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
@@ -138,26 +184,17 @@ def search(text: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
 
     @F.pandas_udf(FOUND)
     def run(texts: pd.Series) -> pd.DataFrame:
-        found, timeouts = [], []
-        for t in texts:
-            own, late = [], []
-            for s in searches:
-                try:
-                    own.append(s(t or ""))
-                except TimeoutError:
-                    own.append([])
-                    late.append(s.label)
-            found.append(own)
-            timeouts.append(late)
-        return pd.DataFrame({"found": found, "timeouts": timeouts})
+        done = [_searched(t, searches) for t in texts]
+        return pd.DataFrame({"found": [x["found"] for x in done], "timeouts": [x["timeouts"] for x in done]})
 
     return run(text)
 
 
-def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate) -> tuple[str, bool]:
+def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate, base: int = 0) -> tuple[str, bool]:
     """The replacement that a span's `todo` asks for, and whether it changed the token; its redaction where none can be made."""
     ask, token, form = json.loads(span["todo"]), span["text"], span["pattern"]
-    key = f"{seed}|{span['character_start']}|{token}"
+    in_context = str(ask.get("replacementScope", "")).upper() == "CONTEXT"
+    key = f"{base}|{span['context']}|{token}" if in_context else f"{seed}|{span['character_start']}|{token}"  # of a context: the same value in all documents
     kind, value = ask["kind"], None
     if kind == "RANDOM_REPLACE":
         value = anonymize.anonymize(span["filter_type"], token, key, ask.get("anonymizationMethod", "realistic"), ask.get("anonymizationCandidates"), lists)
@@ -183,21 +220,31 @@ def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], gene
     return (span["replacement"], span["applied"]) if value is None else (value, kind in ("RANDOM_REPLACE", "FPE_ENCRYPT_REPLACE", "GENERATE") or value != token)
 
 
-def fill(df: DataFrame, spans: str, seed: str, today: date, lists: dict[str, list[str]], generate=None) -> DataFrame:
-    """df with the replacements that `todo` asks for, made from the row's seed, so that a task computed again gives the same."""
+def fill(df: DataFrame, spans: str, seed: str, today: date, lists: dict[str, list[str]], generate=None, base: int = 0) -> DataFrame:
+    """df with the replacements that `todo` asks for, made from the row's seed, so that a task computed again gives the same.
+
+    Replacements of scope CONTEXT are made from `base`, the context and the token alone.
+    """
 
     @F.pandas_udf(f"array<{SPAN}>")
     def run(all_spans: pd.Series, seeds: pd.Series) -> pd.Series:
-        out = []
-        for row, s in zip(all_spans, seeds, strict=True):
-            done = []
-            for x in row:
-                x = dict(x)
-                if x["todo"] is not None:
-                    x["replacement"], x["applied"] = _value(x, int(s), today, lists, generate)
-                    x["todo"] = None
-                done.append(x)
-            out.append(done)
-        return pd.Series(out)
+        return pd.Series([[_filled(x, int(s), today, lists, generate, base) for x in row] for row, s in zip(all_spans, seeds, strict=True)])
 
     return df.withColumn(spans, run(F.col(spans), F.col(seed)))
+
+
+def fill_each(df: DataFrame, spans: str, seeds: Column, today: date, lists: dict[str, list[str]], generate=None, base: int = 0) -> DataFrame:
+    """As fill, for an array of spans for each element of an array of texts, and their seeds."""
+
+    @F.pandas_udf(f"array<array<{SPAN}>>")
+    def run(all_spans: pd.Series, all_seeds: pd.Series) -> pd.Series:
+        return pd.Series([[[_filled(x, int(s), today, lists, generate, base) for x in own] for own, s in zip(row, row_seeds, strict=True)] for row, row_seeds in zip(all_spans, all_seeds, strict=True)])
+
+    return df.withColumn(spans, run(F.col(spans), seeds))
+
+
+def _filled(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate, base: int) -> dict:
+    if span["todo"] is None:
+        return span
+    replacement, applied = _value(span, seed, today, lists, generate, base)
+    return dict(span) | {"replacement": replacement, "applied": applied, "todo": None}

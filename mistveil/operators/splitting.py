@@ -80,18 +80,14 @@ def pieces_of(text: Column, method: str, threshold: int, overlap: int) -> Column
 def detect_in_pieces(redactor, df: DataFrame, text: str, context, method: str, threshold: int, overlap: int, windows: bool) -> DataFrame:
     """df with `spans` found in the pieces of each text, at their places in it, and `regex_timeouts`.
 
-    Pieces of a text are searched in parallel and meet again by row, so a document of any length is spread over tasks.
+    Pieces stay an array of their row, so spans can't meet another row's text, however often the plan is computed.
     """
-    keyed = df.withColumn("__id", F.monotonically_increasing_id())
-    pieces = keyed.select("__id", F.col(text).alias("__whole_null"), F.explode_outer(pieces_of(F.col(text), method, threshold, overlap)).alias("__piece"), *([context.alias("__context")] if isinstance(context, Column) else []))
-    pieces = pieces.select("__id", F.col("__piece.text").alias("__text"), F.col("__piece.offset").alias("__offset"), *(["__context"] if isinstance(context, Column) else []))
-    found = redactor.detect(pieces, "__text", F.col("__context") if isinstance(context, Column) else context, windows)
-    moved = found.select("__id", F.posexplode_outer(S.shifted(F.col("spans"), F.coalesce("__offset", F.lit(0)))).alias("i", "span"), "regex_timeouts", "__offset")
-    by_row = moved.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct(F.col("span.ordinal").alias("o"), F.col("__offset").alias("f"), F.col("i").alias("i"), F.to_json("span").alias("j")))).alias("all"), F.array_distinct(F.flatten(F.collect_list("regex_timeouts"))).alias("regex_timeouts"))
-    spans = F.transform(F.filter("all", lambda x: x["j"].isNotNull()), lambda x: F.from_json(x["j"], S.SPAN))
-    ranged = S.first_of_range(spans)
-    out = keyed.join(by_row.select("__id", ranged.alias("spans"), "regex_timeouts"), "__id", "left").drop("__id")
-    return out.withColumn("spans", F.coalesce("spans", S.none_of(S.SPAN))).withColumn("regex_timeouts", F.coalesce("regex_timeouts", S.none_of("string"))).withColumn("__row", F.xxhash64(F.lit(redactor.seed), F.col(text)))
+    df = S.settled(df.withColumn("__pieces", F.coalesce(pieces_of(F.col(text), method, threshold, overlap), S.none_of(PIECE))), "__pieces")
+    found = redactor.detect_each(df, "__pieces", context, windows)
+    moved = F.transform("__found", lambda spans, i: S.shifted(spans, F.get("__pieces", i)["offset"]))
+    by_filter = F.array_sort(F.flatten(moved), lambda x, y: x["ordinal"] - y["ordinal"])  # spans of one filter stay in the order of the pieces
+    out = found.withColumn("spans", S.first_of_range(by_filter)).withColumn("__row", F.xxhash64(F.lit(redactor.seed), F.col(text)))
+    return out.drop("__pieces", "__found")
 
 
 def combine(pieces: DataFrame, key: str, piece: str = "piece", text: str = "filtered_text", separator: str = "\n") -> DataFrame:

@@ -16,25 +16,21 @@ def redact_columns(df: DataFrame, policy: Policy, columns: list[str], full_colum
     """df with the cells of `columns` redacted and those of `full_columns` replaced whole (nulls stay).
 
     use_header: a cell is read as `header: cell`, so that its header counts as context; only spans that lie within the cell are
-    kept. Cells are stacked to rows, searched by one plan, and put back by row, so the plan doesn't grow with the columns.
+    kept. A row's cells are an array that one expression searches, so the plan doesn't grow with the columns, and nothing is joined.
     """
     out = df.select(*[F.when(F.col(c).isNotNull(), F.lit(FULL)).alias(c) if c in full_columns else F.col(c) for c in df.columns])
     wanted = [c for c in columns if c not in full_columns]
     if not wanted:
         return out
-    redactor = Redactor(policy, resources, seed)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in wanted])
-    keyed = out.withColumn("__id", F.monotonically_increasing_id())
-    rows = keyed.select("__id", F.explode(cells).alias("c")).select("__id", "c.column", "c.cell")
-    lead = F.concat(F.col("column"), F.lit(": ")) if use_header else F.lit("")
-    rows = rows.withColumn("lead", F.length(lead)).withColumn("read", F.concat(lead, "cell"))
-    found = redactor.redact(rows, "read")
-    within = F.filter("spans", lambda x: x["character_start"] >= F.col("lead"))
-    moved = S.shifted(within, -F.col("lead"))
-    done = found.select("__id", "column", S.replaced(F.col("cell"), moved).alias("value"))
-    wide = done.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("__new"))
-    joined = keyed.join(wide, "__id", "left")
-    return joined.select(*[F.element_at("__new", F.lit(c)).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    leads = [f"{c}: " if use_header else "" for c in wanted]
+    cells = F.array(*[F.struct(F.concat(F.lit(lead), F.col(c).cast("string")).alias("text")) for c, lead in zip(wanted, leads, strict=True)])
+    found = Redactor(policy, resources, seed).redact_each(S.settled(out.withColumn("__cells", cells), "__cells"), "__cells")
+
+    def value(k: int) -> Column:
+        within = F.filter(F.get("__found", F.lit(k)), lambda x: x["character_start"] >= len(leads[k]))
+        return S.replaced(F.col(wanted[k]).cast("string"), S.shifted(within, F.lit(-len(leads[k]))))
+
+    return found.select(*[value(wanted.index(c)).alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
 def cell_spans(df: DataFrame, policy: Policy, column: str, header: str | None = None, resources: Resources | None = None, seed: int = 0) -> DataFrame:

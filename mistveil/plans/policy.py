@@ -123,16 +123,22 @@ class Policy:
         out = []
         if not isinstance(self.data.get("identifiers", {}), dict):
             return ["$.identifiers: an object is expected"]
-        known = {*catalog.PATTERN_KEYS, *catalog.DICTIONARY_KEYS, *LISTS, "person"}
+        known = {*catalog.PATTERN_KEYS, *catalog.DICTIONARY_KEYS, *LISTS}
         out += [f"$.identifiers.{k}: unknown identifier" for k in self.identifiers if k not in known]
         if (method := self.config("splitting").get("method", "newline").lower()) not in ("newline", "width", "characters", "character"):
             out.append(f"$.config.splitting.method: unknown method '{method}'")
         for key, options in self.filters():
+            if key == "phoneNumber" and (regions := [r for r in options.get("region", []) if str(r).upper() not in ("US", "CA")]):
+                out.append(f"$.identifiers.phoneNumber.region: only numbers of US and CA can be found, not of {', '.join(map(str, regions))}")
             for i, s in enumerate(self.strategies(key, options)):
                 at = f"$.identifiers.{key}.{STRATEGY_KEYS.get(key, key + 'FilterStrategies')}[{i}]"
                 if s.get("condition") and (wrong := conditions.error(s["condition"])):
                     out.append(f"{at}.condition: {wrong}")
                 kind = s.get("strategy", "REDACT")
+                if (scope := str(s.get("replacementScope", "DOCUMENT")).upper()) not in ("DOCUMENT", "CONTEXT"):
+                    out.append(f"{at}.replacementScope: unknown scope '{scope}'")
+                if scope == "CONTEXT" and (s.get("generator") or kind in ("SHIFT", "CRYPTO_REPLACE") and s.get("shiftRandom")):
+                    out.append(f"{at}.replacementScope: CONTEXT can't be kept by this strategy; join the tokens with operators.context.consistent")
                 if kind not in STRATEGIES and key == "date":
                     out.append(f"{at}.strategy: unsupported date strategy '{kind}'")
                 if kind == "FPE_ENCRYPT_REPLACE" and "fpe" in self.data and not (self.secret("fpe", "key") and self.secret("fpe", "tweak")):
@@ -140,10 +146,6 @@ class Policy:
                 if kind == "CRYPTO_REPLACE" and "crypto" in self.data and not re.fullmatch(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{48}|[0-9a-fA-F]{64})", self.secret("crypto", "key") or ""):
                     out.append("$.crypto.key: 16, 24 or 32 bytes in hex are needed")
             if key == "identifiers":
-                try:
-                    re.compile(options.get("pattern", ""))
-                except re.error:
-                    pass  # the kernel's engine accepts more than this one
                 if v := options.get("validator"):
                     try:
                         validators.named(v["name"], v.get("params"))
@@ -161,6 +163,9 @@ def _normalised(data: dict) -> dict:
         old = own.pop("dictionary")
         moved = [{k: v for k, v in x.items() if k != "level"} | {"sensitivity": _LEVELS.get(str(x.get("level", "low")).lower(), "medium")} for x in (old if isinstance(old, list) else [old])]
         own["dictionaries"] = [*own.get("dictionaries", []), *moved]
+    if isinstance(own.get("person"), (list, dict)):  # deprecated form of an NER entry
+        old = own.pop("person")
+        own["pheyes"] = [*own.get("pheyes", []), *(old if isinstance(old, list) else [old])]
     for key, options in list(own.items()):
         for x in options if isinstance(options, list) else [options]:
             if not isinstance(x, dict):

@@ -111,11 +111,27 @@ class Redactor:
 
             raise PolicyError(errors)
         self.policy, self.resources, self.seed, self.as_of = policy, resources or Resources(), seed, as_of
+        if wrong := self._unmet():
+            raise ValueError("; ".join(wrong))
         self.filters = [_pattern_filter(k, o) if k in catalog.PATTERN_KEYS else _other_filter(k, o, self.resources) for k, o in policy.filters()]
         for f in self.filters:
             if isinstance(f.search, kernel.PatternSearch):
                 f.search.budget = budget_ms / 1000
 
+    def _unmet(self) -> list[str]:
+        """Options that ask for a list that isn't there: without it they would drop every span, and leave the values in clear."""
+        out = []
+        for key, options in self.policy.filters():
+            if key == "emailAddress" and options.get("onlyValidTLDs") and not self.resources.tlds:
+                out.append("emailAddress.onlyValidTLDs needs Resources.tlds")
+            if key == "zipCode" and options.get("validate") and not self.resources.zips:
+                out.append("zipCode.validate needs Resources.zips")
+            for s in self.policy.strategies(key, options):
+                out += [f"{key}: the mapping file '{path}' needs Resources.mappings" for path in s.get("mappingFiles", []) if path not in self.resources.mappings]
+                if "population" in str(s.get("condition", "")).lower() and not self.resources.zips:
+                    out.append(f"{key}: a condition on population needs Resources.zips")
+        return out
+
     # ---- one filter ----
 
     def _population(self, token: Column) -> Column:
@@ -233,6 +249,18 @@ class Redactor:
 
     # ---- DataFrames ----
 
+    def _found(self, text: Column, context: Column, row_seed: Column, kernel_found: Column | None, windows: bool) -> Column:
+        """The spans of all filters in one text."""
+        parts, k = [], 0
+        for i, f in enumerate(self.filters):
+            if f.search is not None:
+                raw, k = F.get(kernel_found, F.lit(k)), k + 1
+            else:
+                raw = f.raw(text)
+            parts.append(self._filter_spans(f, i, text, context, row_seed, raw, windows))
+        found = F.flatten(F.array(*parts)) if parts else S.none_of(S.SPAN)
+        return F.coalesce(found, S.none_of(S.SPAN))
+
     def detect(self, df: DataFrame, text: str = "text", context: str | Column = "none", windows: bool = False) -> DataFrame:
         """df with `spans` (each filter's, before they are resolved) and `regex_timeouts`."""
         c = F.lit(context) if isinstance(context, str) else context
@@ -240,22 +268,41 @@ class Redactor:
         df = df.withColumn("__row", F.xxhash64(F.lit(self.seed), F.col(text)))
         if searches:
             df = S.settled(df.withColumn("__kernel", kernel.search(F.col(text), searches)), "__kernel")
-        parts, k = [], 0
-        for i, f in enumerate(self.filters):
-            if f.search is not None:
-                raw, k = F.get(F.col("__kernel.found"), F.lit(k)), k + 1
-            else:
-                raw = f.raw(F.col(text))
-            parts.append(self._filter_spans(f, i, F.col(text), c, F.col("__row"), raw, windows))
-        found = F.flatten(F.array(*parts)) if parts else S.none_of(S.SPAN)
-        df = df.withColumn("spans", F.coalesce(found, S.none_of(S.SPAN)))
+        df = df.withColumn("spans", self._found(F.col(text), c, F.col("__row"), F.col("__kernel.found") if searches else None, windows))
         return df.withColumn("regex_timeouts", F.col("__kernel.timeouts") if searches else S.none_of("string"))
 
+    def detect_each(self, df: DataFrame, texts: str, context: str | Column = "none", windows: bool = False) -> DataFrame:
+        """df with `__found`: an array of spans for each element of `texts` (an array of structs with a field `text`), and `regex_timeouts`.
+
+        All within the row: nothing is exploded, keyed or joined.
+        """
+        c = F.lit(context) if isinstance(context, str) else context
+        searches = [f.search for f in self.filters if f.search is not None]
+        if searches:
+            df = S.settled(df.withColumn("__kernel", kernel.search_each(F.transform(F.col(texts), lambda p: p["text"]), searches)), "__kernel")
+
+        def one(piece: Column, i: Column) -> Column:
+            own = F.get(F.col("__kernel"), i)["found"] if searches else None
+            return self._found(piece["text"], c, F.xxhash64(F.lit(self.seed), piece["text"]), own, windows)
+
+        df = S.settled(df.withColumn("__found", F.transform(F.col(texts), one)), "__found")
+        late = F.array_distinct(F.flatten(F.transform("__kernel", lambda k: k["timeouts"]))) if searches else S.none_of("string")
+        return df.withColumn("regex_timeouts", late).drop("__kernel")
+
+    def redact_each(self, df: DataFrame, texts: str) -> DataFrame:
+        """df with `__found`: the resolved spans, with their replacements, of each element of `texts` (array of structs with `text`)."""
+        df = self.detect_each(df, texts).drop("regex_timeouts")
+        df = S.settled(df.withColumn("__found", F.transform("__found", lambda spans: self._globally_kept(S.resolved(spans)))), "__found")
+        if self._asks():
+            seeds = F.transform(F.col(texts), lambda p: F.xxhash64(F.lit(self.seed), p["text"]))
+            df = S.settled(kernel.fill_each(df, "__found", seeds, self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed), "__found")
+        return df
+
     def redact(self, df: DataFrame, text: str = "text", context: str | Column = "none", incremental: bool = False, disambiguate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """df with filtered_text, spans, tokens and regex_timeouts (and incremental_redactions).
 
         Null texts stay null and have no spans. disambiguate: from a DataFrame with `spans` to one with fewer of them, applied
-        before overlaps are resolved. With splitting on, long texts are searched piece by piece and changed as a whole.
+        before overlaps are resolved. With splitting on, long texts are searched piece by piece and changed as a whole, within their row.
         """
         split = self.policy.config("splitting")
         method = str(split.get("method", "newline")).lower()
@@ -268,7 +315,7 @@ class Redactor:
             df = disambiguate(df)
         df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans")))), "spans")
         if self._asks():
-            df = S.settled(kernel.fill(df, "spans", "__row", self.as_of or date.today(), self.resources.terms, self.resources.generate), "spans")
+            df = S.settled(kernel.fill(df, "spans", "__row", self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed), "spans")
         df = df.withColumn("filtered_text", S.replaced(F.col(text), F.col("spans"))).withColumn("tokens", F.coalesce(S.token_count(F.col(text)), F.lit(0).cast("long")))
         if incremental:
             df = df.withColumn("incremental_redactions", S.steps(F.col(text), F.col("spans")))

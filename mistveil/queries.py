@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import spans as S
 from .functions import strategies, validators
 from .operators import catalog, context, dictionary, disambiguation, evaluation, generators, splitting, tables
-from .plans.policy import Policy, from_text
+from .plans.policy import STRATEGY_KEYS, Policy, from_text
 from .plans.redactor import Redactor, explain, explode_spans, redact
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +97,7 @@ def spans_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_spans(redact(_docs(spark, sf_dir), _policy(ipAddress={})), "doc_id").select("doc_id", "character_start", "character_end", "text")
 
 
-@_query(f"WITH q AS ({_places(rf'\b({catalog.STATES})\b', clean=_ASCII)}) SELECT * FROM q WHERE lower(text) NOT IN ('in', 'or') AND NOT regexp_matches(text, '^A')")
+@_query(f"WITH q AS ({_places(rf'\b({'|'.join(catalog.STATES)})\b', clean=_ASCII)}) SELECT * FROM q WHERE lower(text) NOT IN ('in', 'or') AND NOT regexp_matches(text, '^A')")
 def spans_state_ignoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = Policy({"identifiers": {"stateAbbreviation": {"ignored": ["in"]}}, "ignored": [{"terms": ["or"]}], "ignoredPatterns": [{"pattern": "^A"}]})
     return explode_spans(redact(_docs(spark, sf_dir), policy), "doc_id").select("doc_id", "character_start", "character_end", "text")
@@ -349,6 +349,53 @@ def generated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.table(spark, 1000, {k.replace("-", "_"): k for k in generators.KINDS}, seed=3)
 
 
+@_query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '{{{{{{REDACTED-email-address}}}}}}', 'g') AS filtered_text FROM documents")
+def redact_email_in_shuffled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Policy({"identifiers": {"emailAddress": {}}, "config": {"splitting": {"enabled": True, "threshold": 500, "method": "newline", "overlap": 64}}})
+    return redact(_docs(spark, sf_dir).repartition(7), policy).select("doc_id", "filtered_text")
+
+
+@_query("SELECT concat('Clerk#', o_custkey) AS token, count(*) AS n_rows, 1 AS n_values FROM orders GROUP BY o_custkey")
+def random_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random replacements of scope CONTEXT: a token gets one value in all rows."""
+    policy = Policy({"identifiers": {"identifiers": [{"pattern": r"Clerk#\d+", "identifierFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "CONTEXT"}]}]}})
+    found = explode_spans(redact(_docs(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("by Clerk#"), F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_orderkey").cast("string")).alias("text")), policy), "o_orderkey")
+    return found.groupBy(F.col("text").alias("token")).agg(F.count("*").alias("n_rows"), F.count_distinct("replacement").cast("int").alias("n_values"))
+
+
+#: By detector: its options, the value that each customer's text holds, and when it is found. Both engines read the expressions.
+_DETECTED = {
+    "age": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('%d metres', c_custkey % 100) ELSE printf('%d years old', c_custkey % 100) END", "c_custkey % 3 <> 0"),
+    "bitcoinAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN concat('bc1', md5(concat(c_custkey, ''))) ELSE concat('bd1', md5(concat(c_custkey, ''))) END", "c_custkey % 2 = 0"),
+    "currency": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('$%d.%02d', c_custkey, c_custkey % 100) WHEN c_custkey % 3 = 1 THEN printf('%d EUR', c_custkey) ELSE printf('%d points', c_custkey) END", "c_custkey % 3 <> 2"),
+    "driversLicense": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('A%07d', c_custkey) ELSE printf('a%07d', c_custkey) END", "c_custkey % 2 = 0"),
+    "ein": ({"onlyValidPrefixes": True}, "printf('%02d-%07d', c_custkey % 100, c_custkey * 13 % 10000000)", "c_custkey % 100 NOT IN (0, 7, 8, 9, 17, 18, 19, 28, 29, 49, 69, 70, 78, 79, 89, 96, 97)"),
+    "itin": ({"onlyValidRanges": True}, "printf('9%02d-%02d-%04d', c_custkey * 7 % 100, c_custkey % 100, c_custkey * 3 % 10000)", "c_custkey % 100 BETWEEN 50 AND 65 OR c_custkey % 100 BETWEEN 70 AND 88 OR c_custkey % 100 IN (90, 91, 92, 94, 95, 96, 97, 98, 99)"),
+    "macAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('aa:bb:%02x:%02x:00:ff', c_custkey % 256, c_custkey * 3 % 256) ELSE printf('aa:bb:%02x:%02x:00', c_custkey % 256, c_custkey * 3 % 256) END", "c_custkey % 2 = 0"),
+    "passportNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('C%08d', c_custkey) ELSE printf('CCC%08d', c_custkey) END", "c_custkey % 2 = 0"),
+    "phoneNumberExtension": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('ext. %d', c_custkey) ELSE printf('room %d', c_custkey) END", "c_custkey % 2 = 0"),
+    "streetAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('%d Main Street', c_custkey) ELSE printf('%d Main Gate', c_custkey) END", "c_custkey % 2 = 0"),
+    "trackingNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('1Z%016d', c_custkey) ELSE printf('2Z%016d', c_custkey) END", "c_custkey % 2 = 0"),
+    "vin": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('ABC%014d', c_custkey) ELSE printf('IBC%014d', c_custkey) END", "c_custkey % 2 = 0"),
+    "zipCode": ({"requireDelimiter": True}, "CASE WHEN c_custkey % 2 = 0 THEN printf('%05d-%04d', c_custkey, c_custkey) ELSE printf('%09d', c_custkey) END", "c_custkey % 2 = 0"),
+}
+
+
+def _detecting(key: str, options: dict, value: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        policy = _policy(**{key: options | {STRATEGY_KEYS.get(key, f"{key}FilterStrategies"): [{"redactionFormat": "[R]"}]}})
+        text = F.concat(F.lit("see "), F.expr(value), F.lit(" there"))
+        return redact(_docs(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), policy).select("c_custkey", "filtered_text")
+
+    return query
+
+
+for _key, (_options, _value, _found) in _DETECTED.items():
+    _detect = _detecting(_key, _options, _value)
+    _detect.__name__ = f"detect_{_key}"
+    _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

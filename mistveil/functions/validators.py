@@ -171,7 +171,7 @@ def named(name: str, params: dict | None = None):
     if name in ("mod11", "mod97"):
         kinds = {"mod11": {"cpf": cpf, "cnpj": cnpj}, "mod97": {"iban": iban, "nir": lambda t: nir(t, swaps)}}[name]
         if variant not in kinds:
-            raise ValueError(f"The {name} validator requires a 'variant' parameter: {' or '.join(kinds)}.")
+            raise ValueError(f"{name}: params.variant has to be one of {', '.join(kinds)}")
         return kinds[variant]
     if name not in table:
         raise ValueError(f"Unknown validator '{name}'.")

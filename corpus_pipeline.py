@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the trained and hashed stages; tests/llm hold the pipeline against a plain version.
+#: SQL can't express the trained and hashed stages; tests/llm hold run() against a plain version of line dedup, near copies and packing.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import regex
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,61 @@ def test_licences(spark):
     assert not re.search("Python|Pandas|Arrow", licenses.scan(docs)._jdf.queryExecution().executedPlan().toString())
 
 
+GPL = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+"""
+
+
+def plain_licences(text: str) -> dict[tuple[int, str], tuple[float, bool]]:
+    """(paragraph, family) to probability and whether it is confirmed, without the gate."""
+    model, shapes, out = licenses.train(), licenses.templates(), {}
+    for number, block in enumerate(regex.split(licenses._BLANK, text)):
+        words = regex.findall("[a-z0-9]+", block.lower())
+        for at in range(0, max(1, len(words) - licenses.WINDOW + licenses.STEP), licenses.STEP):
+            window = words[at : at + licenses.WINDOW]
+            z = np.array(model.bias)
+            for gram in licenses.grams_of(window):
+                z = z + np.array(model.weights.get(gram, 0.0))
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            family = model.families[int(p.argmax())]
+            if family == licenses.NONE or p.max() < 0.5:
+                continue
+            own = licenses.pairs_of(window)
+            near = max(len(own & t) / min(len(own), len(t)) for t in (licenses.pairs_of(regex.findall("[a-z0-9]+", n.lower())) for n in shapes[family]))
+            best = out.get((number, family), (0.0, 0.0))
+            out[number, family] = max(best, (round(float(p.max()), 6), round(near, 6)))
+    return {k: (p, near >= 0.6 and k[1] != licenses.UNKNOWN) for k, (p, near) in out.items()}
+
+
+def test_licences_against_plain(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [GPL, GPL + "//\n// SPDX-License-Identifier: MIT\n", "word " * 500 + "Released under the MIT License. " + "other " * 500 + GPL, "\n\n", "a\n \nAll rights reserved.\n***\nThis is free software.", GPL * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph, r.family): (r.probability, r.confirmed) for r in licenses.scan(docs).collect()}
+    want = {(i, *k): v for i, t in enumerate(texts) if t for k, v in plain_licences(t).items()}
+    assert got.keys() == want.keys()
+    assert {f for _, _, f in want} >= {"apache", "cc-by-nc", "gpl", "mit", "proprietary"}
+    for k, (p, confirmed) in want.items():
+        assert abs(got[k][0] - p) < 2e-6 and got[k][1] == confirmed, k
+
+
+def test_licence_notices(spark):
+    """Wrapped notices are one paragraph; tags; families told apart; notices of no known family; text that is no notice."""
+    cases = [
+        (GPL, {"gpl"}), ("# SPDX-License-Identifier: MIT", {"mit"}), ("SPDX-License-Identifier: GPL-2.0-only", {"gpl"}), ("Covered by the Eclipse Public License v2.0.", {"epl"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense"}), ("This module is released under the Foobar Public License, version 7.", {"unknown"}),
+        ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', {"mit"}),
+        ("The company wrote new software for the general public last year, but no copies of it were sold.", set()), ("The Apache helicopter landed in the public park.", set()),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got: dict = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert got == {i: f for i, (_, f) in enumerate(cases) if f}
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_pipeline_stages(spark, extra):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

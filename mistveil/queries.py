@@ -247,7 +247,41 @@ def luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "orders").select("o_orderkey", validators.luhn((F.col("o_orderkey") * 31 + 7).cast("string")).alias("valid"))
 
 
-@_query()
+def _digit_list(text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda x: CAST(x AS INT))"
+
+
+def _dot(values: str, weights: list[int], start: int = 1) -> str:
+    return "(" + " + ".join(f"{values}[{start + i}] * {w}" for i, w in enumerate(weights)) + ")"
+
+
+def _eleven(values: str, weights: list[int]) -> str:
+    rest = f"({_dot(values, weights)} % 11)"
+    return f"CASE WHEN {rest} < 2 THEN 0 ELSE 11 - {rest} END"
+
+
+#: The dihedral group's product by its rule, for the fold of the Verhoeff digits.
+_DIHEDRAL = (
+    "CASE WHEN a < 5 AND x < 5 THEN (a + x) % 5 WHEN a < 5 THEN 5 + (a + x - 5) % 5 WHEN x < 5 THEN 5 + (a - 5 - x + 5) % 5 ELSE (a - x + 5) % 5 END"
+)
+_VALIDATED = (
+    "WITH n AS (SELECT o_orderkey, CAST(o_orderkey * 7919 AS VARCHAR) AS k FROM orders), p AS (SELECT o_orderkey, lpad(k, 8, '0') AS s8, lpad(k, 10, '0') AS s10, lpad(k, 11, '0') AS s11, lpad(k, 14, '0') AS s14, lpad(k, 15, '0') AS s15 FROM n),"
+    f" d AS (SELECT *, {_digit_list('s8')} AS d8, {_digit_list('s10')} AS d10, {_digit_list('s11')} AS d11, {_digit_list('s14')} AS d14 FROM p),"
+    " f AS (SELECT *, list_transform(generate_series(0, 9), lambda k: len(list_filter(d11[1:10], lambda x: x = k))) AS times FROM d)"
+    f" SELECT o_orderkey, len(list_distinct(d11)) > 1 AND ({_eleven('d11', list(range(10, 1, -1)))}) = d11[10] AND ({_eleven('d11', list(range(11, 1, -1)))}) = d11[11] AS cpf,"
+    f" len(list_distinct(d14)) > 1 AND ({_eleven('d14', [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])}) = d14[13] AND ({_eleven('d14', [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])}) = d14[14] AS cnpj,"
+    f" list_reduce(list_prepend(0, list_transform(list_reverse(d8), lambda x, i: CAST(substr('{validators.VERHOEFF}', CAST((i - 1) % 8 * 10 + x + 1 AS INT), 1) AS INT))), lambda a, x: {_DIHEDRAL}) = 0 AS verhoeff,"
+    f" list_reduce(list_prepend(0, d8), lambda a, x: CAST(substr('{validators.DAMM}', a * 10 + x + 1, 1) AS INT)) = 0 AS damm,"
+    " d11[1] > 0 AND list_max(times) <= 3 AND ((len(list_filter(times, lambda t: t = 2)) = 1 AND len(list_filter(times, lambda t: t = 3)) = 0) OR (len(list_filter(times, lambda t: t = 2)) = 0 AND len(list_filter(times, lambda t: t = 3)) = 1))"
+    " AND (11 - list_reduce(list_prepend(10, d11[1:10]), lambda a, x: (CASE WHEN (a + x) % 10 = 0 THEN 10 ELSE (a + x) % 10 END) * 2 % 11)) % 10 = d11[11] AS steuer_id,"
+    " 97 - CAST(left(s15, 13) AS BIGINT) % 97 = CAST(right(s15, 2) AS BIGINT) AS nir,"
+    f" substr('{validators.NIF_LETTERS}', CAST(CAST(s8 AS BIGINT) % 23 + 1 AS INT), 1) = 'A' AS nif,"
+    f" (10 - ({' + '.join(f'd8[{i}] * 2 // 10 + d8[{i}] * 2 % 10' for i in (1, 3, 5, 7))} + d8[2] + d8[4] + d8[6]) % 10) % 10 = d8[8] AS cif,"
+    f" {_dot('d10', [7, 3, 1] * 3)} % 10 = d10[10] AS ausweis FROM f"
+)
+
+
+@_query(_VALIDATED)
 def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     number: Callable[[int], Column] = lambda n: F.lpad((F.col("o_orderkey") * 7919).cast("string"), n, "0")
     checks = {"cpf": validators.cpf(number(11)), "cnpj": validators.cnpj(number(14)), "verhoeff": validators.verhoeff(number(8)), "damm": validators.damm(number(8)), "steuer_id": validators.steuer_id(number(11)), "nir": validators.nir(number(15)), "nif": validators.nif(F.concat(number(8), F.lit("A"))), "cif": validators.cif(F.concat(F.lit("A"), number(8))), "ausweis": validators.personalausweis(number(10))}
@@ -363,16 +397,125 @@ def random_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("text").alias("token")).agg(F.count("*").alias("n_rows"), F.count_distinct("replacement").cast("int").alias("n_values"))
 
 
+#: Two spans of each order, and a third on the range of the first: (start, end, confidence, type).
+_RELATED = "'A' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN ', ' WHEN 1 THEN '  ' WHEN 2 THEN ' and ' ELSE ',,' END || 'B'"
+
+
+@_query(
+    "WITH p AS (SELECT o_orderkey, length('A' || o_orderkey) AS n, o_orderkey % 4 AS r FROM orders)"
+    " SELECT o_orderkey, r IN (0, 1) AS adjacent, CAST(o_orderkey % 3 = 0 AS BIGINT) AS n_same, CASE WHEN o_orderkey % 2 = 0 THEN 'first' END AS first_at FROM p"
+)
+def span_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent spans, spans of the same range, and the span at an index."""
+    k = F.col("o_orderkey")
+    text, n = F.expr(_RELATED), F.length(F.concat(F.lit("A"), k.cast("string")))
+    span = lambda start, end, confidence, kind: F.struct(start.alias("character_start"), end.alias("character_end"), confidence.alias("confidence"), F.lit(kind).alias("filter_type"))
+    first, second = span(F.lit(0), n, F.lit(0.5), "first"), span(F.length(text) - 1, F.length(text), F.lit(0.5), "second")
+    third = span(F.lit(0), n, F.when(k % 3 == 0, 0.5).otherwise(0.6), "third")
+    rows = _docs(spark, sf_dir, "orders").select(k, text.alias("text"), F.array(first, second, third).alias("spans"), first.alias("a"), second.alias("b"))
+    return rows.select(
+        "o_orderkey", S.adjacent(F.col("text"), F.col("a"), F.col("b")).alias("adjacent"), F.size(S.same_range(F.col("spans"), F.col("a"))).cast("long").alias("n_same"),
+        S.starts_at(F.col("spans"), (k % 2).cast("int"))["filter_type"].alias("first_at"),
+    )
+
+
+@_query(
+    "WITH p AS (SELECT doc_id, text, instr(text, ' of ') AS s FROM documents WHERE contains(text, ' of ')), w AS (SELECT doc_id, list_filter(string_split(left(text, s), ' '), lambda x: x <> '') AS b, list_filter(string_split(substr(text, s + 3), ' '), lambda x: x <> '') AS a FROM p)"
+    " SELECT doc_id, array_to_string(list_concat(list_concat(b[-3:], ['of']), a[1:3]), '|') AS words FROM w"
+)
+def span_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three words on each side of the first `of` of a document."""
+    start = F.instr("text", " of ")
+    found = _docs(spark, sf_dir).where(F.contains("text", F.lit(" of "))).select("doc_id", "text", start.alias("s"))
+    return found.select("doc_id", F.array_join(S.window_of(F.col("text"), F.col("s"), F.col("s") + 2, 3), "|").alias("words"))
+
+
+_BOOSTED = "CASE c_custkey % 6 WHEN 0 THEN 'my phone number: ' WHEN 1 THEN 'phone number a b ' WHEN 2 THEN 'Acct, ' WHEN 3 THEN 'acct a b ' WHEN 4 THEN 'account ' ELSE '(ACCT) b ' END"
+
+
+@_query(f"SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 2, 5) THEN round(0.5 + {S.BOOST}, 6) ELSE 0.5 END::DOUBLE AS before, CASE WHEN c_custkey % 6 IN (1, 2, 3, 5) THEN round(0.5 + {S.BOOST}, 6) ELSE 0.5 END::DOUBLE AS after FROM customer")
+def context_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence raised by words of the context: two words before a span, and two after it."""
+    key, lead = F.col("c_custkey").cast("string"), F.expr(_BOOSTED)
+    rows = _docs(spark, sf_dir, "customer").select("c_custkey", lead.alias("lead"), F.concat(lead, key).alias("x"), F.concat(key, F.lit(" "), lead).alias("y"), F.length(key).alias("n"))
+    boost = lambda text, start, end: S.boosted(F.lit(0.5), F.col(text), start, end, ("phone number", "acct"), 2)
+    n, at = F.col("n"), F.length("lead")
+    return rows.select("c_custkey", boost("x", at, at + n).cast("double").alias("before"), boost("y", F.lit(0), n).cast("double").alias("after"))
+
+
+@_query(
+    "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.8 WHEN 2 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM customer"
+)
+def context_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of a pattern by the characters next to its match."""
+    key = F.col("c_custkey").cast("string")
+    lead, tail = F.expr("CASE c_custkey % 4 WHEN 0 THEN '-' WHEN 1 THEN '#' WHEN 2 THEN ' ' ELSE '' END"), F.expr("CASE c_custkey % 4 WHEN 0 THEN '-' WHEN 2 THEN ' ' ELSE '' END")
+    rows = _docs(spark, sf_dir, "customer").select("c_custkey", F.concat(lead, key, tail).alias("text"), F.length(lead).alias("s"), (F.length(lead) + F.length(key)).alias("e"))
+    rules = (("around", "-", 0.1, None), ("before", "#", None, 0.2), ("around-regex", r"\s", 0.9, None))
+    return rows.select("c_custkey", F.round(S.modified(0.6, rules, F.col("text"), F.col("s"), F.col("e")), 6).cast("double").alias("confidence"))
+
+
+_TAILS = r"CASE c_custkey % 6 WHEN 0 THEN '.' || chr(10) WHEN 1 THEN '.. ' WHEN 2 THEN ' .' WHEN 3 THEN '  ' WHEN 4 THEN '.' || chr(13) || chr(10) || chr(10) ELSE '' END"
+
+
+@_query(
+    f"WITH p AS (SELECT c_custkey, c_custkey || {_TAILS} AS t FROM customer), q AS (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(t, '[\\r\\n]+$', ''), '\\.+$', ''), ' +$', '') AS text FROM p)"
+    " SELECT c_custkey, text, CAST(7 + length(text) AS INTEGER) AS character_end FROM q"
+)
+def spans_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans without line breaks, then periods, then spaces at their ends."""
+    token = F.concat(F.col("c_custkey").cast("string"), F.expr(_TAILS))
+    span = F.struct(F.lit(7).alias("character_start"), (F.length(token) + 7).alias("character_end"), token.alias("text"))
+    cut = _docs(spark, sf_dir, "customer").select("c_custkey", F.explode(S.trimmed(F.array(span))).alias("x"))
+    return cut.select("c_custkey", "x.text", F.col("x.character_end").cast("int").alias("character_end"))
+
+
+@_query(
+    "WITH p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, current_date AS t FROM orders), m AS (SELECT *, (year(t) - year(d)) * 12 + month(t) - month(d) - CASE WHEN day(t) < day(d) THEN 1 ELSE 0 END AS whole,"
+    " day(t) - day(d) + CASE WHEN day(t) < day(d) THEN day(last_day(t - INTERVAL 1 MONTH)) ELSE 0 END AS rest FROM p)"
+    " SELECT o_orderkey, 'Ordered on ' || CASE WHEN whole < 12 THEN (whole + (rest >= 15)::INT) || ' months ago' ELSE (whole // 12) || ' years ' || (whole % 12 + (rest >= 15)::INT) || ' months ago' END || ' by mail' AS filtered_text FROM m"
+)
+def date_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_orders(spark, sf_dir), _policy(date={"dateFilterStrategies": [{"strategy": "RELATIVE"}]})).select("o_orderkey", "filtered_text")
+
+
+@_query(
+    "SELECT 'credit-card' AS kind, count(*) AS n, count(*) AS n_valid FROM orders UNION ALL SELECT 'canada-sin', count(*), count(*) FROM orders UNION ALL SELECT 'ssn', count(*), count(*) FROM orders"
+    " UNION ALL SELECT 'itin', count(*), count(*) FROM orders UNION ALL SELECT 'date', count(*), count(*) FROM orders UNION ALL SELECT 'vin', count(*), count(*) FROM orders"
+)
+def generated_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many made-up rows as there are orders: values of each kind that hold its checksum or its form."""
+    kinds = {
+        "credit-card": lambda c: validators.luhn(c) & (F.length(c) == 16), "canada-sin": lambda c: validators.luhn(c) & (F.length(c) == 9), "ssn": lambda c: c.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"),
+        "itin": lambda c: c.rlike(r"^9\d\d-(5\d|6[0-5])-\d{4}$"), "date": lambda c: F.try_to_timestamp(c, F.lit("MM/dd/yyyy")).isNotNull(), "vin": lambda c: c.rlike("^[A-HJ-NPR-Z0-9]{17}$"),
+    }
+    made = generators.table(spark, _docs(spark, sf_dir, "orders").count(), {k.replace("-", "_"): k for k in kinds}, seed=5)
+    counted = made.agg(F.count("*").alias("n"), *[F.count_if(test(F.col(k.replace("-", "_")))).alias(k.replace("-", "_")) for k, test in kinds.items()])
+    return counted.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k.replace("-", "_")).alias("n_valid")) for k in kinds])).alias("x")).select("x.kind", "n", "x.n_valid")
+
+
+@_query(
+    "WITH p AS (SELECT c_custkey, 'BANK' || substr('DEFRGBQQ', CAST(c_custkey % 4 * 2 + 1 AS INT), 2) || 'XY' || CASE WHEN c_custkey % 3 = 0 THEN printf('%03d', c_custkey % 1000) WHEN c_custkey % 3 = 1 THEN '' ELSE '1' END AS bic FROM customer)"
+    " SELECT c_custkey, bic, c_custkey % 4 <> 3 AND c_custkey % 3 <> 2 AS valid FROM p"
+)
+def bic_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bic = "'BANK' || substr('DEFRGBQQ', CAST(c_custkey % 4 * 2 + 1 AS INT), 2) || 'XY' || CASE WHEN c_custkey % 3 = 0 THEN printf('%03d', c_custkey % 1000) WHEN c_custkey % 3 = 1 THEN '' ELSE '1' END"
+    return _docs(spark, sf_dir, "customer").select("c_custkey", F.expr(bic).alias("bic")).select("c_custkey", "bic", validators.bic(F.col("bic")).alias("valid"))
+
+
 #: By detector: its options, the value that each customer's text holds, and when it is found. Both engines read the expressions.
 _DETECTED = {
     "age": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('%d metres', c_custkey % 100) ELSE printf('%d years old', c_custkey % 100) END", "c_custkey % 3 <> 0"),
     "bitcoinAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN concat('bc1', md5(concat(c_custkey, ''))) ELSE concat('bd1', md5(concat(c_custkey, ''))) END", "c_custkey % 2 = 0"),
+    "canadaSin": ({}, "printf('046 454 28%d', c_custkey % 10)", "c_custkey % 10 = 6"),
     "currency": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('$%d.%02d', c_custkey, c_custkey % 100) WHEN c_custkey % 3 = 1 THEN printf('%d EUR', c_custkey) ELSE printf('%d points', c_custkey) END", "c_custkey % 3 <> 2"),
     "driversLicense": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('A%07d', c_custkey) ELSE printf('a%07d', c_custkey) END", "c_custkey % 2 = 0"),
     "ein": ({"onlyValidPrefixes": True}, "printf('%02d-%07d', c_custkey % 100, c_custkey * 13 % 10000000)", "c_custkey % 100 NOT IN (0, 7, 8, 9, 17, 18, 19, 28, 29, 49, 69, 70, 78, 79, 89, 96, 97)"),
+    "ibanCode": ({}, "printf('DE%02d500105175407324931', c_custkey % 100)", "c_custkey % 100 = 98 - CAST('500105175407324931131400' AS HUGEINT) % 97"),
     "itin": ({"onlyValidRanges": True}, "printf('9%02d-%02d-%04d', c_custkey * 7 % 100, c_custkey % 100, c_custkey * 3 % 10000)", "c_custkey % 100 BETWEEN 50 AND 65 OR c_custkey % 100 BETWEEN 70 AND 88 OR c_custkey % 100 IN (90, 91, 92, 94, 95, 96, 97, 98, 99)"),
     "macAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('aa:bb:%02x:%02x:00:ff', c_custkey % 256, c_custkey * 3 % 256) ELSE printf('aa:bb:%02x:%02x:00', c_custkey % 256, c_custkey * 3 % 256) END", "c_custkey % 2 = 0"),
     "passportNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('C%08d', c_custkey) ELSE printf('CCC%08d', c_custkey) END", "c_custkey % 2 = 0"),
+    "phoneNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('(212) 555-%04d', c_custkey % 10000) ELSE printf('(212) 55-%04d', c_custkey % 10000) END", "c_custkey % 2 = 0"),
     "phoneNumberExtension": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('ext. %d', c_custkey) ELSE printf('room %d', c_custkey) END", "c_custkey % 2 = 0"),
     "streetAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('%d Main Street', c_custkey) ELSE printf('%d Main Gate', c_custkey) END", "c_custkey % 2 = 0"),
     "trackingNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('1Z%016d', c_custkey) ELSE printf('2Z%016d', c_custkey) END", "c_custkey % 2 = 0"),
@@ -396,6 +539,31 @@ for _key, (_options, _value, _found) in _DETECTED.items():
     _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
 
 
+#: By detector, the shape of its random values as SQL of the found value: letters and digits as x.
+_SHAPE = "regexp_replace({}, '[A-Za-z0-9]', 'x', 'g')"
+_ANONYMIZED = {
+    "age": _SHAPE, "bitcoinAddress": "repeat('x', 32)", "canadaSin": _SHAPE, "driversLicense": _SHAPE, "ein": _SHAPE, "ibanCode": "repeat('x', 22)", "itin": _SHAPE, "macAddress": "'xx:xx:xx:xx:xx:xx'",
+    "phoneNumber": _SHAPE, "phoneNumberExtension": _SHAPE, "trackingNumber": _SHAPE, "vin": _SHAPE, "zipCode": "'xxxxx'",
+}
+
+
+def _anonymizing(key: str, options: dict, value: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        policy = _policy(**{key: options | {STRATEGY_KEYS.get(key, f"{key}FilterStrategies"): [{"strategy": "RANDOM_REPLACE"}]}})
+        rows = _docs(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("see "), F.expr(value), F.lit(" there")).alias("text"))
+        out = redact(rows, policy, seed=3)
+        return out.select("c_custkey", F.regexp_replace("filtered_text", "[A-Za-z0-9]", "x").alias("shape"), (F.col("filtered_text") != F.col("text")).alias("changed"))
+
+    return query
+
+
+for _key, _shape in _ANONYMIZED.items():
+    _options, _value, _found = _DETECTED[_key]
+    _detect = _anonymizing(_key, _options, _value)
+    _detect.__name__ = f"anonymize_{_key}"
+    _query(f"SELECT c_custkey, 'xxx ' || CASE WHEN {_found} THEN {_shape.format('(' + _value + ')')} ELSE {_SHAPE.format('(' + _value + ')')} END || ' xxxxx' AS shape, ({_found}) AS changed FROM customer")(_detect)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

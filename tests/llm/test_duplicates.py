@@ -71,6 +71,26 @@ def test_rp_forest_compares_large_leaves_in_blocks(spark, vectors, monkeypatch):
     assert {(r.vec_id, r.n_links, r.component_id) for r in rp_forest.near_duplicates(vectors, leaf=2000, trees=2).collect()} == whole
 
 
+def test_rp_forest_splits_large_leaves_again(spark, monkeypatch):
+    """Leaves that the first sample leaves large are split by samples of their own, and hard pairs still meet; a dense group stays."""
+    monkeypatch.setattr(rp_forest, "BLOCK", 128)
+    rng = np.random.default_rng(4)
+    x = rp_forest._unit(list(rng.normal(size=(4000, 24))))
+    x[3600:] = rp_forest._unit(list(x[0] + 0.01 * rng.normal(size=(400, 24))))
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
+    before = rp_forest.fit(x[:256], 4000, leaf=2000)
+    forest = rp_forest.grown(x[:256], classes, 4000, rp_forest.TREES, 2000, rp_forest.SPILL, rp_forest.COSINE)
+    assert max(np.bincount(t.route(x)[1]).max() for t in before) > 1000
+    for t in forest:
+        rows, leaves = t.route(x)
+        assert set(rows) == set(range(4000))  # every vector is in a leaf
+        numbers, sizes = np.unique(leaves[rows < 3600], return_counts=True)
+        assert sizes.max() <= 400
+    assert len({int(n) for t in forest for n in t.leaf if n >= 0}) == sum(int((t.leaf >= 0).sum()) for t in forest)
+    a, b = rp_forest.hard_pairs(x[:256], 0.9)
+    assert np.logical_or.reduce([rp_forest.meeting(t, a, b) for t in forest]).mean() >= 0.99
+
+
 @pytest.mark.parametrize("common", [0.0, 0.7])
 def test_rp_forest_is_deep_and_meets_in_a_cone(common):
     rng = np.random.default_rng(8)

@@ -6,13 +6,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import anonymize, dates, fpe
-from ..functions.spans import MATCH, SPAN
+from ..functions import spans as S
+from ..functions.spans import MATCH
 
 #: Milliseconds that one pattern may take for one text.
 BUDGET_MS = 1000
@@ -190,9 +192,14 @@ def search(text: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
     return run(text)
 
 
+@lru_cache(maxsize=1024)
+def _parsed(todo: str) -> dict:
+    return json.loads(todo)
+
+
 def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate, base: int = 0) -> tuple[str, bool]:
     """The replacement that a span's `todo` asks for, and whether it changed the token; its redaction where none can be made."""
-    ask, token, form = json.loads(span["todo"]), span["text"], span["pattern"]
+    ask, token, form = _parsed(span["todo"]), span["text"], span["pattern"]
     in_context = str(ask.get("replacementScope", "")).upper() == "CONTEXT"
     key = f"{base}|{span['context']}|{token}" if in_context else f"{seed}|{span['character_start']}|{token}"  # of a context: the same value in all documents
     kind, value = ask["kind"], None
@@ -220,31 +227,47 @@ def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], gene
     return (span["replacement"], span["applied"]) if value is None else (value, kind in ("RANDOM_REPLACE", "FPE_ENCRYPT_REPLACE", "GENERATE") or value != token)
 
 
+#: What the making of a replacement reads of a span, and what it gives.
+_ASKED = ("todo", "text", "pattern", "filter_type", "classification", "context", "character_start", "replacement", "applied")
+_MADE = "struct<replacement:string,applied:boolean>"
+
+
+def _asked(spans: Column) -> Column:
+    """The spans that ask for a replacement, with those fields alone; the others as null."""
+    return F.transform(spans, lambda x: F.when(x["todo"].isNotNull(), F.struct(*[x[n].alias(n) for n in _ASKED])))
+
+
+def _filled(spans: Column, made: Column) -> Column:
+    return F.zip_with(spans, made, lambda x, m: F.when(m.isNull(), x).otherwise(x.withField("replacement", m["replacement"]).withField("applied", m["applied"]).withField("todo", F.lit(None).cast("string"))))
+
+
 def fill(df: DataFrame, spans: str, seed: str, today: date, lists: dict[str, list[str]], generate=None, base: int = 0) -> DataFrame:
     """df with the replacements that `todo` asks for, made from the row's seed, so that a task computed again gives the same.
 
     Replacements of scope CONTEXT are made from `base`, the context and the token alone.
     """
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def run(all_spans: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([[_filled(x, int(s), today, lists, generate, base) for x in row] for row, s in zip(all_spans, seeds, strict=True)])
+    @F.pandas_udf(f"array<{_MADE}>")
+    def run(asked: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([[_made(x, int(s), today, lists, generate, base) for x in row] if row is not None else None for row, s in zip(asked, seeds, strict=True)])
 
-    return df.withColumn(spans, run(F.col(spans), F.col(seed)))
+    made = S.settled(df.withColumn("__made", run(_asked(F.col(spans)), F.col(seed))), "__made")
+    return made.withColumn(spans, _filled(F.col(spans), F.col("__made"))).drop("__made")
 
 
 def fill_each(df: DataFrame, spans: str, seeds: Column, today: date, lists: dict[str, list[str]], generate=None, base: int = 0) -> DataFrame:
     """As fill, for an array of spans for each element of an array of texts, and their seeds."""
 
-    @F.pandas_udf(f"array<array<{SPAN}>>")
-    def run(all_spans: pd.Series, all_seeds: pd.Series) -> pd.Series:
-        return pd.Series([[[_filled(x, int(s), today, lists, generate, base) for x in own] for own, s in zip(row, row_seeds, strict=True)] for row, row_seeds in zip(all_spans, all_seeds, strict=True)])
+    @F.pandas_udf(f"array<array<{_MADE}>>")
+    def run(asked: pd.Series, all_seeds: pd.Series) -> pd.Series:
+        return pd.Series([[[_made(x, int(s), today, lists, generate, base) for x in own] for own, s in zip(row, row_seeds, strict=True)] if row is not None else None for row, row_seeds in zip(asked, all_seeds, strict=True)])
 
-    return df.withColumn(spans, run(F.col(spans), seeds))
+    made = S.settled(df.withColumn("__made", run(F.transform(F.col(spans), _asked), seeds)), "__made")
+    return made.withColumn(spans, F.zip_with(F.col(spans), F.col("__made"), _filled)).drop("__made")
 
 
-def _filled(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate, base: int) -> dict:
-    if span["todo"] is None:
-        return span
+def _made(span: dict | None, seed: int, today: date, lists: dict[str, list[str]], generate, base: int) -> dict | None:
+    if span is None:
+        return None
     replacement, applied = _value(span, seed, today, lists, generate, base)
-    return dict(span) | {"replacement": replacement, "applied": applied, "todo": None}
+    return {"replacement": replacement, "applied": applied}

@@ -12,6 +12,7 @@ from .functions import strategies, validators
 from .operators import catalog, context, dictionary, disambiguation, evaluation, generators, splitting, tables
 from .plans.policy import STRATEGY_KEYS, Policy, from_text
 from .plans.redactor import Redactor, explain, explode_spans, redact
+from .session import spread
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -52,7 +53,7 @@ def _places(pattern: str, key: str = "doc_id", text: str = "text", table: str =
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pattern detector over all documents: redacted text, and what was found."""
-    found = redact(_docs(spark, sf_dir), _policy(**{k: {} for k in catalog.PATTERN_KEYS}))
+    found = redact(spread(_docs(spark, sf_dir)), _policy(**{k: {} for k in catalog.PATTERN_KEYS}))
     return found.select("doc_id", "filtered_text", F.size("spans").alias("n_spans"), F.array_join(F.array_distinct(F.transform("spans", lambda s: s["filter_type"])), ",").alias("types"))
 
 
@@ -196,7 +197,7 @@ def evaluate_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Ordered on "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" by mail")).alias("text"))
+    return spread(_docs(spark, sf_dir, "orders")).select("o_orderkey", F.concat(F.lit("Ordered on "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" by mail")).alias("text"))
 
 
 @_query("SELECT o_orderkey, 'Ordered on ' || strftime(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY + INTERVAL 2 MONTH, '%-m/%-d/%Y') || ' by mail' AS filtered_text FROM orders")
@@ -217,7 +218,7 @@ def date_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ssn_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.format_string("no. %03d-%02d-%04d", k % 1000, F.floor(k / 1000) % 100, (k * 7) % 10000)
-    return redact(_docs(spark, sf_dir, "orders").select(k, text.alias("text")), _policy(ssn={"ssnFilterStrategies": [{"strategy": "MASK"}]})).select("o_orderkey", "filtered_text")
+    return redact(spread(_docs(spark, sf_dir, "orders")).select(k, text.alias("text")), _policy(ssn={"ssnFilterStrategies": [{"strategy": "MASK"}]})).select("o_orderkey", "filtered_text")
 
 
 @_query(
@@ -297,7 +298,7 @@ _TERMS = ["idiot", "clown", "und", "les", "wher", "the", "for"]
 )
 def dictionary_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
-    return dictionary.exact_matches(_docs(spark, sf_dir), terms, 1).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return dictionary.exact_matches(spread(_docs(spark, sf_dir)), terms, 1).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @_query(
@@ -315,7 +316,7 @@ def dictionary_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM w WHERE regexp_matches(lower(w), '^[^a-z0-9\\x80-\\x{10FFFF}]*(idiot|clown|scum)[^a-z0-9\\x80-\\x{10FFFF}]*$') GROUP BY doc_id")
 def dictionary_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = _policy(dictionaries=[{"classification": "insult", "terms": ["idiot", "clown", "scum"], "customFilterStrategies": [{"redactionFormat": "<%l>"}]}])
-    found = redact(_docs(spark, sf_dir), policy).where("size(spans) > 0")
+    found = redact(spread(_docs(spark, sf_dir)), policy).where("size(spans) > 0")
     return found.select("doc_id", F.size("spans").cast("long").alias("n"))
 
 

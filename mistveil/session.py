@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "mistveil", shuffle: int | None = None) -> SparkSession:
@@ -21,3 +21,16 @@ def local_session(cores: int | None = None, app: str = "mistveil", shuffle: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for row-by-row work that is far dearer than a shuffle of its input.
+
+    A file is read by as many tasks as it has row groups, so a small table of one row group keeps one core busy. Only inputs that
+    could not fill the cores with partitions of the configured size are dealt out; larger ones stay as they are read, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    whole = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(2 * cores) if size < cores * whole else df

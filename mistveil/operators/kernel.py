@@ -32,7 +32,7 @@ def levenshtein(a: str, b: str, most: int) -> int:
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         if min(row) > most:
             return most + 1
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:

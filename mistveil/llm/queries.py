@@ -79,8 +79,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import digest
+
+    return digest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rp_forest, op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_rp_forest, op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files, op11_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

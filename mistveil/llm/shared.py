@@ -41,10 +41,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return write(df, new_path(df.sparkSession, name))
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
+#: Larger than any file's content, for files that hold one row group.
+ONE_GROUP = 1 << 30
+
+
+def write(df: DataFrame, path: str, one_group: bool = False) -> DataFrame:
+    """one_group: each file has a single row group, so that one task reads all of it, in the order written."""
     spark, schema = df.sparkSession, df.schema
     with shuffles_freed(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.option("parquet.block.size", ONE_GROUP) if one_group else out).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -79,9 +85,9 @@ class Scratch:
         for df in [x for x, _ in self._paths.values()]:
             self.drop(df)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, one_group: bool = False) -> DataFrame:
         path = new_path(self.spark, name)
-        out = write(df, path)
+        out = write(df, path, one_group)
         self._paths[id(out)] = (out, path)
         return out
 

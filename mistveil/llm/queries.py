@@ -85,9 +85,17 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_documents(spark, sf_dir))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import digest
+
+    return digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rp_forest, op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files, op11_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_rp_forest, op2_toxicity, op3_repetition_rules, op4_line_dedup, op5_simhash, op6_license_scan, op7_best_fit_packing, op8_byte_bpe, op9_language_id, op10_token_files, op11_suffix_array_dedup, op12_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .conversation_trie import SQL
+
+    return {"op12_conversation_trie": SQL}

@@ -35,7 +35,7 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of text whose suffixes a task holds at once, suffixes of a bucket, bytes of text for each file.
 CHUNK_BYTES, BUCKET, FILE_BYTES = 4 << 20, 2_000_000, 128 << 20
 #: Most bytes of keys that are shuffled at once, as a share of the bytes of text.
-SHARE = 0.6
+SHARE = 0.8
 
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _TEXTS = "chunk long, at int, last boolean, row long, doc_id long, piece int, pieces int, start long, own long, data binary"
@@ -161,8 +161,10 @@ def _sample_blocks(sizes: Sizes, n_buckets: int, turn: int, turns: int):
         low, high = turn * n_buckets // turns, (turn + 1) * n_buckets // turns
         for chunk, rows in _chunks(batches):
             data, pos = _sample_positions(rows, sizes, cover)
-            keys = np.unique(_mix(pos, _words(data), sizes.named, 0))
-            cuts = [0, *np.searchsorted(keys, ends).tolist(), len(keys)]
+            keys = _mix(pos, _words(data), sizes.named, 0)
+            chosen = np.ones(len(keys), bool) if low == 0 else keys >= ends[low - 1]
+            keys = np.unique(keys[chosen if high == n_buckets else chosen & (keys < ends[high - 1])])
+            cuts = [0, *np.searchsorted(keys, ends, "left").tolist(), len(keys)]
             used = [b for b in range(low, high) if cuts[b] < cuts[b + 1]]
             yield _block_rows([chunk] * len(used), used, [keys[cuts[b] : cuts[b + 1]].tobytes() for b in used])
 
@@ -256,7 +258,7 @@ def _candidates(sizes: Sizes, n_buckets: int):
         for chunk, answers, rows in _with_answers(batches):
             data, pos = _sample_positions(rows, sizes, cover)
             keys, inverse, counts = np.unique(_mix(pos, _words(data), sizes.named, 0), return_inverse=True, return_counts=True)
-            cuts = [0, *np.searchsorted(keys, ends).tolist(), len(keys)]
+            cuts = [0, *np.searchsorted(keys, ends, "left").tolist(), len(keys)]
             used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
             twice = _bits([answers[b] for b in used], [cuts[b + 1] - cuts[b] for b in used]) | (counts > 1)
             hits = pos[twice[inverse]]

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import conditions
+from . import conditions, keyed
 
 REPLACEMENT = "struct<value:string,salt:string,applied:boolean,color:string,todo:string>"
 
@@ -53,18 +53,22 @@ def _mapped(options: dict, token: Column, mappings: dict[str, str]) -> Column:
     return F.try_element_at(table, token if exact else F.lower(token))
 
 
-def one(options: dict, name: str, token: Column, classification: Column, seed: Column, policy, mappings: dict[str, str] | None = None) -> Column:
-    """REPLACEMENT of one strategy, whatever its condition. seed: a long that is the same whenever the row is computed again."""
+def one(options: dict, name: str, token: Column, classification: Column, seed: Column, policy, mappings: dict[str, str] | None = None, secret: bytes | None = None) -> Column:
+    """REPLACEMENT of one strategy, whatever its condition. seed: a long that is the same whenever the row is computed again.
+
+    Salts and nonces come from secret, seed and token; without a secret one is drawn now.
+    """
+    secret = secret or keyed.fresh()
     kind = options.get("strategy", "REDACT") or "REDACT"
     plain = redacted(options, name, classification)
     salted = options.get("salt") in (True, "true")
-    salt = F.base64(F.unhex(F.substring(F.sha2(F.concat(F.lit("salt"), seed.cast("string")), 256), 1, 32))) if salted else F.lit("")
+    salt = F.base64(F.substring(keyed.mac(keyed.subkey(secret, "salt"), seed, token), 1, 16)) if salted else F.lit("")
     applied, todo = F.lit(True), F.lit(None).cast("string")
     ask = lambda **more: F.lit(json.dumps({"kind": kind} | {k: v for k, v in options.items() if k not in ("condition", "mappings")} | more))
     if kind == "MAP_REPLACE":
         inline = {**(mappings or {}), **options.get("mappings", {})}
         fallback = str(options.get("fallbackStrategy") or "REDACT").upper()
-        rest = one(options | {"strategy": "REDACT" if fallback == "MAP_REPLACE" else fallback}, name, token, classification, seed, policy)
+        rest = one(options | {"strategy": "REDACT" if fallback == "MAP_REPLACE" else fallback}, name, token, classification, seed, policy, secret=secret)
         hit = _mapped(options, token, inline)
         generated = F.lit(json.dumps({"kind": "GENERATE", "generator": options["generator"]})) if options.get("generator") else None
         miss = rest.withField("todo", generated) if generated is not None else rest
@@ -85,7 +89,7 @@ def one(options: dict, name: str, token: Column, classification: Column, seed: C
         value, applied = token, F.lit(False)
     elif kind == "CRYPTO_REPLACE" and policy.secret("crypto", "key"):
         key = F.unhex(F.lit(policy.secret("crypto", "key")))
-        nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit("nonce"), seed.cast("string"), token), 256)), F.lit(1), F.lit(12))
+        nonce = F.substring(keyed.mac(keyed.subkey(secret, "nonce"), seed, token), 1, 12)
         value = F.concat(F.lit("{{"), F.base64(F.aes_encrypt(F.encode(token, "UTF-8"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce)), F.lit("}}"))
     elif kind == "FPE_ENCRYPT_REPLACE" and policy.secret("fpe", "key"):
         value, todo = plain, ask(fpe_key=policy.secret("fpe", "key"), fpe_tweak=policy.secret("fpe", "tweak"))
@@ -96,10 +100,10 @@ def one(options: dict, name: str, token: Column, classification: Column, seed: C
     return F.struct(value.alias("value"), salt.alias("salt"), applied.alias("applied"), F.lit(options.get("color")).cast("string").alias("color"), todo.alias("todo")).cast(REPLACEMENT)
 
 
-def chosen(strategies: list[dict], name: str, token: Column, context: Column, confidence: Column, classification: Column, seed: Column, policy, population=None, mappings=None) -> Column:
+def chosen(strategies: list[dict], name: str, token: Column, context: Column, confidence: Column, classification: Column, seed: Column, policy, population=None, mappings=None, secret: bytes | None = None) -> Column:
     """REPLACEMENT of the first strategy whose condition holds; null where none does."""
     out = F.lit(None).cast(REPLACEMENT)
     for s in reversed(strategies):
         met = conditions.holds(s.get("condition"), token, context, confidence, classification, population)
-        out = F.when(met, one(s, name, token, classification, seed, policy, mappings)).otherwise(out)
+        out = F.when(met, one(s, name, token, classification, seed, policy, mappings, secret)).otherwise(out)
     return out

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import anonymize
+from ..functions import anonymize, keyed
 
 SCHEMA = "context string, token string, replacement string"
 
@@ -44,29 +44,33 @@ class ContextTable:
         self.spark.catalog.refreshByPath(self.path)
 
 
-def generated(tokens: DataFrame, seed: int = 0, method: str = "realistic", lists: dict[str, list[str]] | None = None) -> DataFrame:
-    """context, token, replacement for distinct (context, token, filter_type): the value hangs on seed, context and token only."""
+def generated(tokens: DataFrame, seed: int = 0, method: str = "realistic", lists: dict[str, list[str]] | None = None, secret: str | bytes | None = None) -> DataFrame:
+    """context, token, replacement for distinct (context, token, filter_type): the value hangs on the secret, seed, context and token only.
+
+    Without a secret one is drawn now: values agree within this result, and with no other one.
+    """
+    key = keyed.given(secret) if secret else keyed.fresh()
 
     def run(batches):
         for rows in batches:
-            values = [anonymize.anonymize(f, t, f"{seed}|{c}|{t}", method, None, lists) for c, t, f in zip(rows["context"], rows["token"], rows["filter_type"], strict=True)]
+            values = [anonymize.anonymize(f, t, f"{seed}|{c}|{t}", method, None, lists, key) for c, t, f in zip(rows["context"], rows["token"], rows["filter_type"], strict=True)]
             yield rows[["context", "token"]].assign(replacement=values)
 
     one = tokens.groupBy("context", "token").agg(F.min("filter_type").alias("filter_type"))  # the type isn't part of the key
     return one.mapInPandas(run, SCHEMA)
 
 
-def consistent(spans: DataFrame, table: ContextTable | None = None, seed: int = 0, method: str = "realistic", lists=None) -> DataFrame:
+def consistent(spans: DataFrame, table: ContextTable | None = None, seed: int = 0, method: str = "realistic", lists=None, secret: str | bytes | None = None) -> DataFrame:
     """Exploded spans (context, text, filter_type) with the replacement of their (context, token), the same in all documents.
 
     Distinct tokens are aggregated before anything is made or joined; values the table knows are used, new ones are added.
     """
     tokens = spans.select("context", F.col("text").alias("token"), "filter_type")
     if table is not None:
-        table.add(generated(tokens.join(table.read().select("context", "token"), ["context", "token"], "left_anti"), seed, method, lists))
+        table.add(generated(tokens.join(table.read().select("context", "token"), ["context", "token"], "left_anti"), seed, method, lists, secret))
         values = table.read()
     else:
-        values = generated(tokens, seed, method, lists)
+        values = generated(tokens, seed, method, lists, secret)
     values = values.select(F.col("context").alias("__c"), F.col("token").alias("__t"), F.col("replacement").alias("__r"))
     return spans.join(values, (F.col("context") == F.col("__c")) & (F.col("text") == F.col("__t")), "left").withColumn("replacement", F.coalesce("__r", "replacement")).drop("__c", "__t", "__r")
 

@@ -197,19 +197,19 @@ def _parsed(todo: str) -> dict:
     return json.loads(todo)
 
 
-def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate, base: int = 0) -> tuple[str, bool]:
+def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], generate, base: int = 0, secret: bytes = b"") -> tuple[str, bool]:
     """The replacement that a span's `todo` asks for, and whether it changed the token; its redaction where none can be made."""
     ask, token, form = _parsed(span["todo"]), span["text"], span["pattern"]
     in_context = str(ask.get("replacementScope", "")).upper() == "CONTEXT"
     key = f"{base}|{span['context']}|{token}" if in_context else f"{seed}|{span['character_start']}|{token}"  # of a context: the same value in all documents
     kind, value = ask["kind"], None
     if kind == "RANDOM_REPLACE":
-        value = anonymize.anonymize(span["filter_type"], token, key, ask.get("anonymizationMethod", "realistic"), ask.get("anonymizationCandidates"), lists)
+        value = anonymize.anonymize(span["filter_type"], token, key, ask.get("anonymizationMethod", "realistic"), ask.get("anonymizationCandidates"), lists, secret)
     elif kind == "FPE_ENCRYPT_REPLACE":
         value = fpe.encrypt_token(ask["fpe_key"], ask["fpe_tweak"], token)
     elif kind == "SHIFT":
         if str(ask.get("shiftRandom", False)).lower() == "true":
-            rng = anonymize.generator(key)
+            rng = anonymize.generator(key, secret)
             days, months, years = rng.randrange(1, 30), rng.randrange(1, 12), -rng.randrange(1, 3)
         else:
             days, months, years = (int(ask.get(k, 0)) for k in ("shiftDays", "shiftMonths", "shiftYears"))
@@ -241,33 +241,33 @@ def _filled(spans: Column, made: Column) -> Column:
     return F.zip_with(spans, made, lambda x, m: F.when(m.isNull(), x).otherwise(x.withField("replacement", m["replacement"]).withField("applied", m["applied"]).withField("todo", F.lit(None).cast("string"))))
 
 
-def fill(df: DataFrame, spans: str, seed: str, today: date, lists: dict[str, list[str]], generate=None, base: int = 0) -> DataFrame:
-    """df with the replacements that `todo` asks for, made from the row's seed, so that a task computed again gives the same.
+def fill(df: DataFrame, spans: str, seed: str, today: date, lists: dict[str, list[str]], generate=None, base: int = 0, secret: bytes = b"") -> DataFrame:
+    """df with the replacements that `todo` asks for, made from a secret and the row's seed, so that a task computed again gives the same.
 
-    Replacements of scope CONTEXT are made from `base`, the context and the token alone.
+    Replacements of scope CONTEXT are made from the secret, `base`, the context and the token alone.
     """
 
     @F.pandas_udf(f"array<{_MADE}>")
     def run(asked: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([[_made(x, int(s), today, lists, generate, base) for x in row] if row is not None else None for row, s in zip(asked, seeds, strict=True)])
+        return pd.Series([[_made(x, int(s), today, lists, generate, base, secret) for x in row] if row is not None else None for row, s in zip(asked, seeds, strict=True)])
 
     made = S.settled(df.withColumn("__made", run(_asked(F.col(spans)), F.col(seed))), "__made")
     return made.withColumn(spans, _filled(F.col(spans), F.col("__made"))).drop("__made")
 
 
-def fill_each(df: DataFrame, spans: str, seeds: Column, today: date, lists: dict[str, list[str]], generate=None, base: int = 0) -> DataFrame:
+def fill_each(df: DataFrame, spans: str, seeds: Column, today: date, lists: dict[str, list[str]], generate=None, base: int = 0, secret: bytes = b"") -> DataFrame:
     """As fill, for an array of spans for each element of an array of texts, and their seeds."""
 
     @F.pandas_udf(f"array<array<{_MADE}>>")
     def run(asked: pd.Series, all_seeds: pd.Series) -> pd.Series:
-        return pd.Series([[[_made(x, int(s), today, lists, generate, base) for x in own] for own, s in zip(row, row_seeds, strict=True)] if row is not None else None for row, row_seeds in zip(asked, all_seeds, strict=True)])
+        return pd.Series([[[_made(x, int(s), today, lists, generate, base, secret) for x in own] for own, s in zip(row, row_seeds, strict=True)] if row is not None else None for row, row_seeds in zip(asked, all_seeds, strict=True)])
 
     made = S.settled(df.withColumn("__made", run(F.transform(F.col(spans), _asked), seeds)), "__made")
     return made.withColumn(spans, F.zip_with(F.col(spans), F.col("__made"), _filled)).drop("__made")
 
 
-def _made(span: dict | None, seed: int, today: date, lists: dict[str, list[str]], generate, base: int) -> dict | None:
+def _made(span: dict | None, seed: int, today: date, lists: dict[str, list[str]], generate, base: int, secret: bytes) -> dict | None:
     if span is None:
         return None
-    replacement, applied = _value(span, seed, today, lists, generate, base)
+    replacement, applied = _value(span, seed, today, lists, generate, base, secret)
     return {"replacement": replacement, "applied": applied}

@@ -12,7 +12,7 @@ from ..plans.redactor import Redactor, Resources
 FULL = "{{{REDACTED}}}"
 
 
-def redact_columns(df: DataFrame, policy: Policy, columns: list[str], full_columns: list[str] = (), use_header: bool = True, resources: Resources | None = None, seed: int = 0) -> DataFrame:
+def redact_columns(df: DataFrame, policy: Policy, columns: list[str], full_columns: list[str] = (), use_header: bool = True, resources: Resources | None = None, seed: int = 0, secret: str | bytes | None = None) -> DataFrame:
     """df with the cells of `columns` redacted and those of `full_columns` replaced whole (nulls stay).
 
     use_header: a cell is read as `header: cell`, so that its header counts as context; only spans that lie within the cell are
@@ -24,7 +24,7 @@ def redact_columns(df: DataFrame, policy: Policy, columns: list[str], full_colum
         return out
     leads = [f"{c}: " if use_header else "" for c in wanted]
     cells = F.array(*[F.struct(F.concat(F.lit(lead), F.col(c).cast("string")).alias("text")) for c, lead in zip(wanted, leads, strict=True)])
-    found = Redactor(policy, resources, seed).redact_each(S.settled(out.withColumn("__cells", cells), "__cells"), "__cells")
+    found = Redactor(policy, resources, seed, secret=secret).redact_each(S.settled(out.withColumn("__cells", cells), "__cells"), "__cells")
 
     def value(k: int) -> Column:
         within = F.filter(F.get("__found", F.lit(k)), lambda x: x["character_start"] >= len(leads[k]))
@@ -33,9 +33,9 @@ def redact_columns(df: DataFrame, policy: Policy, columns: list[str], full_colum
     return found.select(*[value(wanted.index(c)).alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
-def cell_spans(df: DataFrame, policy: Policy, column: str, header: str | None = None, resources: Resources | None = None, seed: int = 0) -> DataFrame:
+def cell_spans(df: DataFrame, policy: Policy, column: str, header: str | None = None, resources: Resources | None = None, seed: int = 0, secret: str | bytes | None = None) -> DataFrame:
     """df with `spans` of one column, at their places in the cell."""
     lead = f"{header}: " if header else ""
-    found = Redactor(policy, resources, seed).redact(df.withColumn("__read", F.concat(F.lit(lead), F.col(column))), "__read")
+    found = Redactor(policy, resources, seed, secret=secret).redact(df.withColumn("__read", F.concat(F.lit(lead), F.col(column))), "__read")
     within: Column = F.filter("spans", lambda x: x["character_start"] >= len(lead))
     return found.withColumn("spans", S.shifted(within, F.lit(-len(lead)))).drop("__read", "filtered_text", "tokens", "regex_timeouts")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions import strategies, validators
+from ..functions import keyed, strategies, validators
 from ..operators import catalog, kernel, splitting
 from .policy import Policy
 
@@ -105,12 +105,18 @@ def _other_filter(key: str, options: dict, resources: Resources) -> _Filter | No
 class Redactor:
     """A policy, ready to be applied to any number of DataFrames (batch or streaming)."""
 
-    def __init__(self, policy: Policy, resources: Resources | None = None, seed: int = 0, as_of: date | None = None, budget_ms: int = kernel.BUDGET_MS):
+    def __init__(self, policy: Policy, resources: Resources | None = None, seed: int = 0, as_of: date | None = None, budget_ms: int = kernel.BUDGET_MS, secret: str | bytes | None = None):
+        """secret: what nonces, salts and random values are drawn with. Without one the policy's crypto key stands in; without that too one is
+
+        drawn now, so that another Redactor gives other values. Seeds aren't secret: they only tell rows apart.
+        """
         if errors := policy.errors():
             from .policy import PolicyError
 
             raise PolicyError(errors)
         self.policy, self.resources, self.seed, self.as_of = policy, resources or Resources(), seed, as_of
+        secret = secret or policy.secret("crypto", "key")
+        self.lasting, self.secret = secret is not None, keyed.given(secret) if secret else keyed.fresh()
         if wrong := self._unmet():
             raise ValueError("; ".join(wrong))
         self.filters = [_pattern_filter(k, o) if k in catalog.PATTERN_KEYS else _other_filter(k, o, self.resources) for k, o in policy.filters()]
@@ -128,6 +134,8 @@ class Redactor:
                 out.append("zipCode.validate needs Resources.zips")
             for s in self.policy.strategies(key, options):
                 out += [f"{key}: the mapping file '{path}' needs Resources.mappings" for path in s.get("mappingFiles", []) if path not in self.resources.mappings]
+                if str(s.get("replacementScope", "")).upper() == "CONTEXT" and s.get("strategy") == "RANDOM_REPLACE" and not self.lasting:
+                    out.append(f"{key}: replacementScope CONTEXT needs a secret (Redactor(secret=...) or $.crypto.key), so that later runs give the same values and nobody else can")
                 if "population" in str(s.get("condition", "")).lower() and not self.resources.zips:
                     out.append(f"{key}: a condition on population needs Resources.zips")
         return out
@@ -181,7 +189,7 @@ class Redactor:
         def span(x: Column) -> Column:
             m, c = x["m"], x["c"]
             kind = pick([v if v is not None else options.get("classification") for v in f.classifications], m["p"], "string")
-            r = strategies.chosen(self.policy.strategies(f.key, options), f.name, m["t"], context, c, kind, x["k"], self.policy, self._population, mappings)
+            r = strategies.chosen(self.policy.strategies(f.key, options), f.name, m["t"], context, c, kind, x["k"], self.policy, self._population, mappings, self.secret)
             return F.struct(x.alias("x"), kind.alias("kind"), r.alias("r"))
 
         def built(y: Column) -> Column:
@@ -295,7 +303,7 @@ class Redactor:
         df = S.settled(df.withColumn("__found", F.transform("__found", lambda spans: self._globally_kept(S.resolved(spans)))), "__found")
         if self._asks():
             seeds = F.transform(F.col(texts), lambda p: F.xxhash64(F.lit(self.seed), p["text"]))
-            df = S.settled(kernel.fill_each(df, "__found", seeds, self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed), "__found")
+            df = S.settled(kernel.fill_each(df, "__found", seeds, self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed, self.secret), "__found")
         return df
 
     def redact(self, df: DataFrame, text: str = "text", context: str | Column = "none", incremental: bool = False, disambiguate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -315,7 +323,7 @@ class Redactor:
             df = disambiguate(df)
         df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans")))), "spans")
         if self._asks():
-            df = S.settled(kernel.fill(df, "spans", "__row", self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed), "spans")
+            df = S.settled(kernel.fill(df, "spans", "__row", self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed, self.secret), "spans")
         df = df.withColumn("filtered_text", S.replaced(F.col(text), F.col("spans"))).withColumn("tokens", F.coalesce(S.token_count(F.col(text)), F.lit(0).cast("long")))
         if incremental:
             df = df.withColumn("incremental_redactions", S.steps(F.col(text), F.col("spans")))
@@ -326,8 +334,8 @@ class Redactor:
         return any({s.get("strategy"), str(s.get("fallbackStrategy", "")).upper()} & kinds or s.get("generator") for k, o in self.policy.filters() for s in self.policy.strategies(k, o))
 
 
-def redact(df: DataFrame, policy: Policy, text: str = "text", context: str | Column = "none", resources: Resources | None = None, seed: int = 0, as_of: date | None = None, incremental: bool = False) -> DataFrame:
-    return Redactor(policy, resources, seed, as_of).redact(df, text, context, incremental)
+def redact(df: DataFrame, policy: Policy, text: str = "text", context: str | Column = "none", resources: Resources | None = None, seed: int = 0, as_of: date | None = None, incremental: bool = False, secret: str | bytes | None = None) -> DataFrame:
+    return Redactor(policy, resources, seed, as_of, secret=secret).redact(df, text, context, incremental)
 
 
 def explode_spans(df: DataFrame, *keys: str) -> DataFrame:
@@ -337,6 +345,6 @@ def explode_spans(df: DataFrame, *keys: str) -> DataFrame:
 
 def explain(df: DataFrame, policy: Policy, text: str = "text", **how) -> DataFrame:
     """df with what redact would do: applied and ignored spans apart."""
-    r = Redactor(policy, how.pop("resources", None), how.pop("seed", 0), how.pop("as_of", None))
+    r = Redactor(policy, how.pop("resources", None), how.pop("seed", 0), how.pop("as_of", None), secret=how.pop("secret", None))
     found = r.redact(df, text, **how)
     return found.withColumn("applied_spans", F.filter("spans", lambda x: x["applied"])).withColumn("ignored_spans", F.filter("spans", lambda x: ~x["applied"]))

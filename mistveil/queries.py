@@ -394,7 +394,7 @@ def redact_email_in_shuffled_pieces(spark: SparkSession, sf_dir: str) -> DataFra
 def random_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random replacements of scope CONTEXT: a token gets one value in all rows."""
     policy = Policy({"identifiers": {"identifiers": [{"pattern": r"Clerk#\d+", "identifierFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "CONTEXT"}]}]}})
-    found = explode_spans(redact(_docs(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("by Clerk#"), F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_orderkey").cast("string")).alias("text")), policy), "o_orderkey")
+    found = explode_spans(redact(_docs(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("by Clerk#"), F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_orderkey").cast("string")).alias("text")), policy, secret="of this query alone"), "o_orderkey")
     return found.groupBy(F.col("text").alias("token")).agg(F.count("*").alias("n_rows"), F.count_distinct("replacement").cast("int").alias("n_values"))
 
 

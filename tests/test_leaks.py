@@ -1,5 +1,8 @@
 """Nothing stays in clear, or lands in another row, without an error."""
 
+import base64
+import hashlib
+import hmac
 import re
 
 import pytest
@@ -36,17 +39,18 @@ def test_cells_stay_in_their_row(spark):
 def test_replacements_of_a_context(spark):
     policy = Policy({"identifiers": {"ssn": {"ssnFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "CONTEXT"}]}}})
     docs = spark.createDataFrame([(i, f"{'x' * i} 123-45-6789 and 123-45-6789", "a" if i < 3 else "b") for i in range(6)], "doc_id long, text string, c string")
-    rows = redact(docs, policy, context=F.col("c")).collect()
+    secret = "a secret of the tests"
+    rows = redact(docs, policy, context=F.col("c"), secret=secret).collect()
     values = {c: {s.replacement for r in rows if r.c == c for s in r.spans} for c in "ab"}
     assert all(len(v) == 1 for v in values.values()) and values["a"] != values["b"]
-    cells = tables.redact_columns(docs.select("doc_id", "text"), policy, ["text"]).collect()
+    cells = tables.redact_columns(docs.select("doc_id", "text"), policy, ["text"], secret=secret).collect()
     assert len({r.text.split()[-1] for r in cells}) == 1 and not any("123-45-6789" in r.text for r in cells)
 
 
 @pytest.mark.parametrize("options", [
     {"emailAddress": {"onlyValidTLDs": True}}, {"zipCode": {"validate": True}}, {"phoneNumber": {"region": ["GB"]}}, {"person": {}},
     {"ssn": {"ssnFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "ALL"}]}}, {"age": {"ageFilterStrategies": [{"strategy": "MAP_REPLACE", "mappingFiles": ["m.csv"]}]}},
-    {"zipCode": {"zipCodeFilterStrategies": [{"condition": "population > 3"}]}},
+    {"zipCode": {"zipCodeFilterStrategies": [{"condition": "population > 3"}]}}, {"ssn": {"ssnFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "CONTEXT"}]}},
 ])
 def test_options_that_cannot_be_met_are_errors(options):
     with pytest.raises(ValueError):
@@ -84,3 +88,55 @@ def test_few_terms_find_what_many_find(spark, monkeypatch):
     few = {tuple(r) for r in dictionary.exact_matches(docs, terms, 3).collect()}
     monkeypatch.setattr(dictionary, "FEW_TERMS", 0)
     assert few == {tuple(r) for r in dictionary.exact_matches(docs, terms, 3).collect()} and len(few) >= 6
+
+
+def _searched(spark, text, policy):
+    """The tokens that someone finds who has the output and tries every one in the text: what is made of seed, place, text and token alone."""
+    from mistveil.functions import anonymize
+
+    span = redact(spark.createDataFrame([(text,)], "text string"), policy).first().spans[0]
+    sealed = base64.b64decode(span.replacement.strip("{}")) if span.replacement.startswith("{{") else b""
+    tries = spark.range(6700, 6900).select(F.concat(F.lit("123-45-"), F.col("id").cast("string")).alias("token"))
+    tries = tries.withColumn("row", F.xxhash64(F.lit(0), F.replace(F.lit(text), F.lit(span.text), F.col("token")))).withColumn("place", F.xxhash64("row", F.lit(span.character_start), "token"))
+    found = []
+    for r in tries.collect():
+        nonces = {hashlib.sha256(f"nonce{seed}{r.token}".encode()).digest()[:12] for seed in (r.row, r.place)}
+        values = {anonymize.anonymize("ssn", r.token, f"{r.row}|{span.character_start}|{r.token}", secret=s) for s in (b"", b"0")}
+        if sealed[:12] in nonces or span.replacement in values:
+            found.append(r.token)
+    return span, found
+
+
+def test_published_values_do_not_give_the_token_away(spark):
+    text, key = "ssn 123-45-6789 end", "00112233445566778899aabbccddeeff"
+    crypto = Policy({"crypto": {"key": key}, "identifiers": {"ssn": {"ssnFilterStrategies": [{"strategy": "CRYPTO_REPLACE"}]}}})
+    other = Policy({"crypto": {"key": key[::-1]}, "identifiers": crypto.identifiers})
+    twice = redact(spark.createDataFrame([("123-45-6789 or 123-45-6789",)], "text string"), crypto).first().spans
+    nonces = [base64.b64decode(s.replacement.strip("{}"))[:12] for s in twice]
+    assert len(set(nonces)) == 2
+    # the same text under another key, or read with what is published alone, has another nonce
+    again = base64.b64decode(redact(spark.createDataFrame([("123-45-6789 or 123-45-6789",)], "text string"), other).first().spans[0].replacement.strip("{}"))[:12]
+    assert again not in nonces
+    salted = Policy({"identifiers": {"ssn": {"ssnFilterStrategies": [{"strategy": "HASH_SHA256_REPLACE", "salt": True}]}}})
+    one, two = (redact(spark.createDataFrame([(text,)], "text string"), salted).first().spans[0] for _ in range(2))
+    assert one.salt != two.salt and one.replacement == hashlib.sha256(("123-45-6789" + one.salt).encode()).hexdigest()
+    same = [redact(spark.createDataFrame([(text,)], "text string"), salted, secret="sixteen bytes and more").first().spans[0].salt for _ in range(2)]
+    assert same[0] == same[1] and len(base64.b64decode(same[0])) == 16
+
+
+def test_search_for_tokens_finds_nothing(spark):
+    text = "ssn 123-45-6789 end"
+    for strategy in ("CRYPTO_REPLACE", "RANDOM_REPLACE"):
+        policy = Policy({"crypto": {"key": "00112233445566778899aabbccddeeff"}, "identifiers": {"ssn": {"ssnFilterStrategies": [{"strategy": strategy}]}}})
+        span, found = _searched(spark, text, policy)
+        assert span.text == "123-45-6789" and not found
+
+
+def test_mac_is_hmac(spark):
+    from mistveil.functions import keyed
+
+    for key in (b"k" * 16, b"long key " * 20):
+        got = bytes(spark.createDataFrame([("tok", 7)], "t string, n long").select(keyed.mac(key, F.col("n"), F.col("t")).alias("m")).first().m)
+        assert got == hmac.new(key, b"1:7" + b"3:tok", hashlib.sha256).digest()
+    with pytest.raises(ValueError):
+        Redactor(Policy({"identifiers": {"ssn": {}}}), secret="short")

@@ -13,7 +13,7 @@ AS_OF = date(2026, 1, 15)
 
 def run(spark, identifiers, texts, resources=None, seed=0, **policy):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    found = redact(rows, Policy({"identifiers": identifiers, **policy}), resources=resources, seed=seed, as_of=AS_OF)
+    found = redact(rows, Policy({"identifiers": identifiers, **policy}), resources=resources, seed=seed, as_of=AS_OF, secret="a secret of the tests")
     return [(r["filtered_text"], [(s["character_start"], s["character_end"], s["filter_type"], s["confidence"]) for s in r["spans"]]) for r in found.orderBy("id").collect()]
 
 

@@ -8,7 +8,7 @@ import re
 from typing import Any
 
 from ..functions import conditions, validators
-from ..operators import catalog
+from ..operators import catalog, phones
 
 STRATEGIES = (
     "REDACT RANDOM_REPLACE STATIC_REPLACE CRYPTO_REPLACE FPE_ENCRYPT_REPLACE HASH_SHA256_REPLACE LAST_4 MASK ABBREVIATE MAP_REPLACE SAME TRUNCATE"
@@ -128,8 +128,11 @@ class Policy:
         if (method := self.config("splitting").get("method", "newline").lower()) not in ("newline", "width", "characters", "character"):
             out.append(f"$.config.splitting.method: unknown method '{method}'")
         for key, options in self.filters():
-            if key == "phoneNumber" and (regions := [r for r in options.get("region", []) if str(r).upper() not in ("US", "CA")]):
-                out.append(f"$.identifiers.phoneNumber.region: only numbers of US and CA can be found, not of {', '.join(map(str, regions))}")
+            if key == "phoneNumber":
+                if regions := [r for r in catalog.phone_regions(options) if r not in phones.REGIONS]:
+                    out.append(f"$.identifiers.phoneNumber.region: no numbering plan for {', '.join(regions)} (regions are two capitals, such as GB)")
+                if (leniency := str(options.get("leniency", "POSSIBLE"))) not in phones.LENIENCIES:
+                    out.append(f"$.identifiers.phoneNumber.leniency: unknown leniency '{leniency}'; one of {', '.join(phones.LENIENCIES)}")
             for i, s in enumerate(self.strategies(key, options)):
                 at = f"$.identifiers.{key}.{STRATEGY_KEYS.get(key, key + 'FilterStrategies')}[{i}]"
                 if s.get("condition") and (wrong := conditions.error(s["condition"])):

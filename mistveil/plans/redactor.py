@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import keyed, strategies, validators
-from ..operators import catalog, kernel, splitting
+from ..operators import catalog, kernel, phones, splitting
 from .policy import Policy
 
 #: Words of context on each side, where a filter doesn't say.
@@ -67,6 +67,8 @@ def _pattern_filter(key: str, options: dict) -> _Filter:
 
     def raw(text: Column) -> Column:
         found = F.concat(*[S.find(text, p.java, i) for i, p in enumerate(d.patterns)])
+        if key == "phoneNumber" and len(d.patterns) > 1:
+            found = phones.merged(found, catalog.phone_regions(options))
         return F.when(text.rlike(catalog.needs(key, options)), found).otherwise(S.none_of(S.MATCH))
 
     p = d.patterns

@@ -540,6 +540,28 @@ for _key, (_options, _value, _found) in _DETECTED.items():
     _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
 
 
+#: Numbers of 20 countries with a plus, and five that no country gives out; numbers as written at home, of three regions, and others.
+_INTERNATIONAL = (
+    "CASE c_custkey % 25 WHEN 0 THEN printf('+44 20 7946 %04d', c_custkey % 10000) WHEN 1 THEN printf('+33 1 42 68 53 %02d', c_custkey % 100) WHEN 2 THEN printf('+49 30 9%05d', c_custkey)"
+    " WHEN 3 THEN printf('+1-212-555-%04d', c_custkey % 10000) WHEN 4 THEN printf('+39 06 6982 %04d', c_custkey % 10000) WHEN 5 THEN printf('+34 912 34 %04d', c_custkey % 10000)"
+    " WHEN 6 THEN printf('+31 (0)20 123 %04d', c_custkey % 10000) WHEN 7 THEN printf('+41.44.668.%02d.%02d', c_custkey % 100, c_custkey % 97) WHEN 8 THEN printf('+46 8 123 4%04d', c_custkey % 10000)"
+    " WHEN 9 THEN printf('+47 22%06d', c_custkey) WHEN 10 THEN printf('+45 32 12 %04d', c_custkey % 10000) WHEN 11 THEN printf('+48 22 123 %04d', c_custkey % 10000)"
+    " WHEN 12 THEN printf('+420 224 123 %03d', c_custkey % 1000) WHEN 13 THEN printf('+351 21 123 %04d', c_custkey % 10000) WHEN 14 THEN printf('+30 21%08d', c_custkey)"
+    " WHEN 15 THEN printf('+81-3-1234-%04d', c_custkey % 10000) WHEN 16 THEN printf('+86 138 1234 %04d', c_custkey % 10000) WHEN 17 THEN printf('+91 98765 4%04d', c_custkey % 10000)"
+    " WHEN 18 THEN printf('+61 2 9374 %04d', c_custkey % 10000) WHEN 19 THEN printf('+55 11 91234-%04d', c_custkey % 10000) WHEN 20 THEN printf('+33 1 42 %02d', c_custkey % 100)"
+    " WHEN 21 THEN printf('+47 %03d', c_custkey % 1000) WHEN 22 THEN printf('+351 21%03d', c_custkey % 1000) WHEN 23 THEN printf('+0 20 7946 %02d', c_custkey % 100) ELSE printf('+86 %04d', c_custkey % 10000) END"
+)
+_AT_HOME = (
+    "CASE c_custkey % 8 WHEN 0 THEN printf('020 7946 %04d', c_custkey % 10000) WHEN 1 THEN printf('01 42 68 53 %02d', c_custkey % 100) WHEN 2 THEN printf('(212) 555-%04d', c_custkey % 10000)"
+    " WHEN 3 THEN printf('0161 496 %04d', c_custkey % 10000) WHEN 4 THEN printf('06.12.34.56.%02d', c_custkey % 100) WHEN 5 THEN printf('112-997-%04d', c_custkey % 10000)"
+    " WHEN 6 THEN printf('4012 8888 %04d 1881', c_custkey % 10000) ELSE printf('00%04d', c_custkey % 10000) END"
+)
+for _name, _options, _value, _found in (("international", {}, _INTERNATIONAL, "c_custkey % 25 < 20"), ("regions", {"region": ["US", "GB", "FR"], "leniency": "VALID"}, _AT_HOME, "c_custkey % 8 < 5")):
+    _detect = _detecting("phoneNumber", _options, _value)
+    _detect.__name__ = f"detect_phone_{_name}"
+    _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
+
+
 #: By detector, the shape of its random values as SQL of the found value: letters and digits as x.
 _SHAPE = "regexp_replace({}, '[A-Za-z0-9]', 'x', 'g')"
 _ANONYMIZED = {

@@ -48,7 +48,7 @@ def test_replacements_of_a_context(spark):
 
 
 @pytest.mark.parametrize("options", [
-    {"emailAddress": {"onlyValidTLDs": True}}, {"zipCode": {"validate": True}}, {"phoneNumber": {"region": ["GB"]}}, {"person": {}},
+    {"emailAddress": {"onlyValidTLDs": True}}, {"zipCode": {"validate": True}}, {"phoneNumber": {"region": ["gb"]}}, {"phoneNumber": {"leniency": "valid"}}, {"person": {}},
     {"ssn": {"ssnFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "ALL"}]}}, {"age": {"ageFilterStrategies": [{"strategy": "MAP_REPLACE", "mappingFiles": ["m.csv"]}]}},
     {"zipCode": {"zipCodeFilterStrategies": [{"condition": "population > 3"}]}}, {"ssn": {"ssnFilterStrategies": [{"strategy": "RANDOM_REPLACE", "replacementScope": "CONTEXT"}]}},
 ])

@@ -176,3 +176,18 @@ def named(name: str, params: dict | None = None):
     if name not in table:
         raise ValueError(f"Unknown validator '{name}'.")
     return table[name]
+
+
+#: Parameters that each validator reads.
+PARAMS = {"mod11": ["variant"], "mod97": ["variant", "substitutions"], "mod23-letter": ["substitutions"]}
+
+
+def unknown_params(name: str, params: dict | None) -> list[tuple[str, str]]:
+    """Parameters that a validator doesn't read, or that have the wrong form, each with what is wrong."""
+    out = []
+    for key, value in (params or {}).items():
+        if key.lower() not in PARAMS.get(name, []):
+            out.append((key, f"not a parameter of {name}"))
+        elif key.lower() == "substitutions" and not (isinstance(value, dict) and all(isinstance(x, str) for kv in value.items() for x in kv)):
+            out.append((key, "texts by the texts that they stand for are expected"))
+    return out

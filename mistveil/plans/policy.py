@@ -9,12 +9,13 @@ from typing import Any
 
 from ..functions import conditions, validators
 from ..operators import catalog, phones
+from . import schema
 
 STRATEGIES = (
     "REDACT RANDOM_REPLACE STATIC_REPLACE CRYPTO_REPLACE FPE_ENCRYPT_REPLACE HASH_SHA256_REPLACE LAST_4 MASK ABBREVIATE MAP_REPLACE SAME TRUNCATE"
     " TRUNCATE_TO_YEAR SHIFT RELATIVE"
 ).split()
-LISTS = ("dictionaries", "identifiers", "sections", "pheyes")
+LISTS = schema.LISTS
 STRATEGY_KEYS = {"bitcoinAddress": "bitcoinFilterStrategies", "dictionaries": "customFilterStrategies", "identifiers": "identifierFilterStrategies", "sections": "sectionFilterStrategies", "pheyes": "phEyeFilterStrategies"}
 #: Level of a deprecated dictionary to sensitivity.
 _LEVELS = {"low": "medium", "medium": "low", "high": "low"}
@@ -35,7 +36,7 @@ def _clean(value: Any, path: tuple = ()) -> Any:
     if isinstance(value, list):
         return [_clean(v, path) for v in value]
     if isinstance(value, dict):
-        plain = path[-1:] in (("mappings",), ("thresholds",), ("metadata",), ("params",), ("substitutions",))
+        plain = path[-1:] in (("mappings",), ("thresholds",), ("metadata",), ("params",), ("substitutions",), ("generators",))
         return {(k if plain else _name(k)): _clean(v, (*path, k)) for k, v in value.items() if v is not None}
     return value
 
@@ -56,7 +57,7 @@ for _word in (
     " shiftDays shiftMonths shiftYears shiftRandom futureDates fuzzy sensitivity capitalized classification groupNumber validator startPattern endPattern"
     " region leniency onlyValidPrefixes onlyValidCreditCardNumbers onlyWordBoundaries ignoreWhenInUnixTimestamp onlyValidDates onlyStrictMatches onlyValidTLDs"
     " allowSpaces onlyValidIBANCodes onlyValidRanges ups fedex usps requireHttpWwwPrefix requireDelimiter validate phEyeConfiguration thresholds removePunctuation"
-    " labels params variant substitutions level boundingBoxes dictionary person"
+    " labels params variant substitutions level boundingBoxes dictionary person endpoint bearerToken modelPath timeout maxIdleConnections type model prompt timeoutMs page"
 ).split() + list(catalog.PATTERN_KEYS) + list(catalog.DICTIONARY_KEYS) + list(LISTS):
     _KNOWN[_word.lower()] = _word
 for _key in [*catalog.PATTERN_KEYS, *catalog.DICTIONARY_KEYS]:
@@ -76,7 +77,7 @@ class Policy:
         try:
             data = json.loads(text)
         except ValueError as e:
-            raise PolicyError([f"$: not JSON ({e})"]) from e
+            raise PolicyError([f": not JSON ({e})"]) from e
         policy = cls(data)
         if check and (errors := policy.errors()):
             raise PolicyError(errors)
@@ -119,49 +120,76 @@ class Policy:
         return os.environ.get(value[4:]) if isinstance(value, str) and value.startswith("env:") else value
 
     def errors(self) -> list[str]:
-        """Everything wrong with the policy, each with its place."""
-        out = []
-        if not isinstance(self.data.get("identifiers", {}), dict):
-            return ["$.identifiers: an object is expected"]
-        known = {*catalog.PATTERN_KEYS, *catalog.DICTIONARY_KEYS, *LISTS}
-        out += [f"$.identifiers.{k}: unknown identifier" for k in self.identifiers if k not in known]
+        """Everything wrong with the policy, each with its place (a JSON pointer).
+
+        Conditions can hold values of the data, so messages name the strategy and what is wrong, never the condition itself.
+        """
+        out = schema.wrong(self.data, schema.tree(STRATEGY_KEYS))
+        if out:  # what follows reads options of the right form
+            return out
         if (method := self.config("splitting").get("method", "newline").lower()) not in ("newline", "width", "characters", "character"):
-            out.append(f"$.config.splitting.method: unknown method '{method}'")
-        for key, options in self.filters():
+            out.append(f"/config/splitting/method: unknown method '{method}'")
+        for key, place, options in self._placed():
             if key == "phoneNumber":
                 if regions := [r for r in catalog.phone_regions(options) if r not in phones.REGIONS]:
-                    out.append(f"$.identifiers.phoneNumber.region: no numbering plan for {', '.join(regions)} (regions are two capitals, such as GB)")
+                    out.append(f"{place}/region: no numbering plan for {', '.join(regions)} (regions are two capitals, such as GB)")
                 if (leniency := str(options.get("leniency", "POSSIBLE"))) not in phones.LENIENCIES:
-                    out.append(f"$.identifiers.phoneNumber.leniency: unknown leniency '{leniency}'; one of {', '.join(phones.LENIENCIES)}")
+                    out.append(f"{place}/leniency: unknown leniency '{leniency}'; one of {', '.join(phones.LENIENCIES)}")
             for i, s in enumerate(self.strategies(key, options)):
-                at = f"$.identifiers.{key}.{STRATEGY_KEYS.get(key, key + 'FilterStrategies')}[{i}]"
-                if s.get("condition") and (wrong := conditions.error(s["condition"])):
-                    out.append(f"{at}.condition: {wrong}")
-                kind = s.get("strategy", "REDACT")
-                if (scope := str(s.get("replacementScope", "DOCUMENT")).upper()) not in ("DOCUMENT", "CONTEXT"):
-                    out.append(f"{at}.replacementScope: unknown scope '{scope}'")
-                if scope == "CONTEXT" and (s.get("generator") or kind in ("SHIFT", "CRYPTO_REPLACE") and s.get("shiftRandom")):
-                    out.append(f"{at}.replacementScope: CONTEXT can't be kept by this strategy; join the tokens with operators.context.consistent")
-                if kind not in STRATEGIES and key == "date":
-                    out.append(f"{at}.strategy: unsupported date strategy '{kind}'")
-                if kind == "FPE_ENCRYPT_REPLACE" and "fpe" in self.data and not (self.secret("fpe", "key") and self.secret("fpe", "tweak")):
-                    out.append("$.fpe: a key and a tweak are needed")
-                if kind == "CRYPTO_REPLACE" and "crypto" in self.data and not re.fullmatch(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{48}|[0-9a-fA-F]{64})", self.secret("crypto", "key") or ""):
-                    out.append("$.crypto.key: 16, 24 or 32 bytes in hex are needed")
-            if key == "identifiers":
-                if v := options.get("validator"):
-                    try:
-                        validators.named(v["name"], v.get("params"))
-                    except ValueError as e:
-                        out.append(f"$.identifiers.identifiers.validator: {e}")
+                at = f"{place}/{STRATEGY_KEYS.get(key, key + 'FilterStrategies')}/{i}"
+                out += [at + (f' (id "{s["id"]}")' if s.get("id") else "") + f": {e}" for e in self._strategy_errors(key, s)]
+            if key == "identifiers" and (v := options.get("validator")):
+                try:
+                    validators.named(v["name"], v.get("params"))
+                except ValueError as e:
+                    out.append(f"{place}/validator: {e}")
+                out += [f"{place}/validator/params/{name}: {e}" for name, e in validators.unknown_params(v["name"], v.get("params"))]
             if key == "sections" and not (options.get("startPattern") and options.get("endPattern")):
-                out.append("$.identifiers.sections: a start and an end pattern are needed")
+                out.append(f"{place}: a start and an end pattern are needed")
+        return out + self._key_errors()
+
+    def _placed(self) -> list[tuple[str, str, dict]]:
+        """filters() with the place of each."""
+        seen: dict[int, str] = {}
+        for key, own in self.identifiers.items():
+            for i, x in enumerate(own) if isinstance(own, list) else [(None, own)]:
+                seen[id(x)] = f"/identifiers/{key}" + ("" if i is None else f"/{i}")
+        return [(key, seen[id(x)], x) for key, x in self.filters()]
+
+    @staticmethod
+    def _strategy_errors(key: str, s: dict) -> list[str]:
+        out, kind = [], s.get("strategy", "REDACT")
+        if s.get("condition") and (wrong := conditions.error(s["condition"])):
+            out.append(f"the condition {wrong}")
+        if (scope := str(s.get("replacementScope", "DOCUMENT")).upper()) not in ("DOCUMENT", "CONTEXT"):
+            out.append(f"unknown replacementScope '{scope}'")
+        if scope == "CONTEXT" and (s.get("generator") or kind in ("SHIFT", "CRYPTO_REPLACE") and s.get("shiftRandom")):
+            out.append("replacementScope CONTEXT can't be kept by this strategy; join the tokens with operators.context.consistent")
+        if kind not in STRATEGIES and key == "date":
+            out.append(f"unsupported date strategy '{kind}'")
+        return out
+
+    def _key_errors(self) -> list[str]:
+        """Keys that a strategy needs and that have the wrong length."""
+        out, kinds = [], {k for key, x in self.filters() for s in self.strategies(key, x) for k in (s.get("strategy", "REDACT"), str(s.get("fallbackStrategy", "")).upper())}
+        hexed = lambda value, *sizes: bool(re.fullmatch("|".join(f"[0-9a-fA-F]{{{2 * n}}}" for n in sizes), value or ""))
+        if "CRYPTO_REPLACE" in kinds and "crypto" in self.data and not hexed(self.secret("crypto", "key"), 16, 24, 32):
+            out.append("/crypto/key: 16, 24 or 32 bytes in hex are needed")
+        if "FPE_ENCRYPT_REPLACE" in kinds and "fpe" in self.data:
+            key, tweak = self.secret("fpe", "key"), self.secret("fpe", "tweak")
+            if not (key and tweak):
+                out.append("/fpe: a key and a tweak are needed")
+            else:
+                out += [] if hexed(key, 16, 24, 32) else ["/fpe/key: 16, 24 or 32 bytes in hex are needed"]
+                out += [] if hexed(tweak, 7, 8) else ["/fpe/tweak: 7 or 8 bytes in hex are needed"]
         return out
 
 
 def _normalised(data: dict) -> dict:
     data = dict(data)
-    own = dict(data.get("identifiers") or {})
+    if not isinstance(data.get("identifiers", {}), dict):
+        return data
+    own = dict(data.get("identifiers", {}))
     if isinstance(own.get("dictionary"), (list, dict)):  # deprecated form
         old = own.pop("dictionary")
         moved = [{k: v for k, v in x.items() if k != "level"} | {"sensitivity": _LEVELS.get(str(x.get("level", "low")).lower(), "medium")} for x in (old if isinstance(old, list) else [old])]
@@ -180,10 +208,11 @@ def _normalised(data: dict) -> dict:
             for name, value in x.items():
                 if name.lower().endswith(("filterstrategies", "filterstrategy")):
                     for s in value if isinstance(value, list) else [value]:
-                        if "strategy" in s:
+                        if isinstance(s, dict) and isinstance(s.get("strategy"), str):
                             s["strategy"] = {"SHIFT_DATE": "SHIFT"}.get(s["strategy"].upper(), s["strategy"].upper())
-    for p in data.get("ignoredPatterns", []):
-        p.pop("caseSensitive", None)
+    for p in data.get("ignoredPatterns", []) if isinstance(data.get("ignoredPatterns", []), list) else []:
+        if isinstance(p, dict):
+            p.pop("caseSensitive", None)
     data["identifiers"] = own
     return data
 

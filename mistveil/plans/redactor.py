@@ -91,7 +91,8 @@ def _other_filter(key: str, options: dict, resources: Resources) -> _Filter | No
             raise ValueError("a pheyes filter needs a search of its id in Resources.searches")
         more["trims"] = False
     else:
-        terms = list(options.get("terms", [])) if key == "dictionaries" else resources.terms.get(name)
+        files = [t for path in options.get("files", []) for t in resources.files[path]]
+        terms = [*options.get("terms", []), *files] if key == "dictionaries" else resources.terms.get(name)
         if terms is None:
             raise ValueError(f"the {key} filter needs a word list in Resources.terms['{name}']")
         if options.get("fuzzy"):
@@ -128,16 +129,18 @@ class Redactor:
 
     def _unmet(self) -> list[str]:
         """Options that ask for a list that isn't there: without it they would drop every span, and leave the values in clear."""
-        out = []
+        out = [f"ignored: the list '{path}' needs Resources.files" for s in self.policy.data.get("ignored", []) for path in s.get("files", []) if path not in self.resources.files]
         for key, options in self.policy.filters():
             if key == "emailAddress" and options.get("onlyValidTLDs") and not self.resources.tlds:
                 out.append("emailAddress.onlyValidTLDs needs Resources.tlds")
             if key == "zipCode" and options.get("validate") and not self.resources.zips:
                 out.append("zipCode.validate needs Resources.zips")
+            files = [*options.get("files", []), *options.get("ignoredFiles", []), *(f for s in options.get("ignored", []) if isinstance(s, dict) for f in s.get("files", []))]
+            out += [f"{key}: the list '{path}' needs Resources.files" for path in files if path not in self.resources.files]
             for s in self.policy.strategies(key, options):
                 out += [f"{key}: the mapping file '{path}' needs Resources.mappings" for path in s.get("mappingFiles", []) if path not in self.resources.mappings]
                 if str(s.get("replacementScope", "")).upper() == "CONTEXT" and s.get("strategy") == "RANDOM_REPLACE" and not self.lasting:
-                    out.append(f"{key}: replacementScope CONTEXT needs a secret (Redactor(secret=...) or $.crypto.key), so that later runs give the same values and nobody else can")
+                    out.append(f"{key}: replacementScope CONTEXT needs a secret (Redactor(secret=...) or /crypto/key), so that later runs give the same values and nobody else can")
                 if "population" in str(s.get("condition", "")).lower() and not self.resources.zips:
                     out.append(f"{key}: a condition on population needs Resources.zips")
         return out
@@ -167,7 +170,7 @@ class Redactor:
     def _filter_spans(self, f: _Filter, ordinal: int, text: Column, context: Column, row_seed: Column, raw: Column, windows: bool) -> Column:
         options = f.options
         size = int(options.get("windowSize", 0)) or WINDOW
-        ignored = {t.lower() for t in self._ignored(options.get("ignored"))}
+        ignored = {t.lower() for t in [*self._ignored(options.get("ignored")), *self._lines(options.get("ignoredFiles"))]}
         patterns = [catalog.java(p["pattern"] if isinstance(p, dict) else p) for p in options.get("ignoredPatterns", [])]
         pick = lambda values, p, kind: F.lit(values[0]).cast(kind) if len(set(values)) == 1 else F.get(F.array(*[F.lit(v).cast(kind) for v in values]), p)
 
@@ -233,10 +236,12 @@ class Redactor:
                 out.append(s)
             else:
                 out += s.get("terms", [])
-                for path in s.get("files", []):
-                    out += self.resources.files.get(path, [])
+                out += self._lines(s.get("files"))
         return out
 
+    def _lines(self, files) -> list[str]:
+        return [t for path in ([files] if isinstance(files, str) else files or []) for t in self.resources.files.get(path, [])]
+
     def _globally_kept(self, spans: Column) -> Column:
         exact, folded = set(), set()
         for s in self.policy.data.get("ignored", []):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import keyed, strategies, validators
 from ..operators import catalog, kernel, phones, splitting
+from ..operators.disambiguation import Disambiguation, learn, settle
 from .policy import Policy
 
 #: Words of context on each side, where a filter doesn't say.
@@ -313,20 +314,31 @@ class Redactor:
             df = S.settled(kernel.fill_each(df, "__found", seeds, self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed, self.secret), "__found")
         return df
 
-    def redact(self, df: DataFrame, text: str = "text", context: str | Column = "none", incremental: bool = False, disambiguate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    def redact(
+        self, df: DataFrame, text: str = "text", context: str | Column = "none", incremental: bool = False, disambiguate: Callable[[DataFrame], DataFrame] | None = None,
+        disambiguation: Disambiguation | None = None, vectors: DataFrame | None = None,
+    ) -> DataFrame:
         """df with filtered_text, spans, tokens and regex_timeouts (and incremental_redactions).
 
-        Null texts stay null and have no spans. disambiguate: from a DataFrame with `spans` to one with fewer of them, applied
-        before overlaps are resolved. With splitting on, long texts are searched piece by piece and changed as a whole, within their row.
+        Null texts stay null and have no spans. disambiguation: ranges that several types claim get the one that the words around it speak for,
+        unless the policy declines it. It is learned from df in a first pass, or given as `vectors` (always so for streams). disambiguate: another way, from a
+        DataFrame with `spans` to one with fewer of them. With splitting on, long texts are searched piece by piece and changed
+        as a whole, within their row.
         """
+        if self.policy.config("analysis").get("spanDisambiguation", True) is False:
+            disambiguation = disambiguate = None
+        windows = disambiguation is not None or disambiguate is not None
         split = self.policy.config("splitting")
         method = str(split.get("method", "newline")).lower()
         threshold = int(split.get("threshold", 10_000))
         if split.get("enabled", False):
-            df = splitting.detect_in_pieces(self, df, text, context, method, threshold, int(split.get("overlap", 0)), disambiguate is not None)
+            df = splitting.detect_in_pieces(self, df, text, context, method, threshold, int(split.get("overlap", 0)), windows)
         else:
-            df = self.detect(df, text, context, disambiguate is not None)
-        if disambiguate is not None and self.policy.config("analysis").get("spanDisambiguation", True):
+            df = self.detect(df, text, context, windows)
+        if disambiguation is not None:
+            df = S.settled(df, "spans")
+            df = settle(df, learn(df, disambiguation) if vectors is None else vectors, disambiguation, context)
+        if disambiguate is not None:
             df = disambiguate(df)
         df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans")))), "spans")
         if self._asks():

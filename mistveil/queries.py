@@ -359,6 +359,31 @@ def disambiguated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disambiguation.resolve(spans, disambiguation.train(spans)).select("doc_id", "character_start", "character_end", "filter_type")
 
 
+#: Numbers that one detector alone finds, or two claim, with words around them.
+_CLAIMED = (
+    "CASE c_custkey % 4 WHEN 0 THEN printf('Border %s stamp A%08d gate', {w}, c_custkey) WHEN 1 THEN printf('garage %s wheel A%012d oil', {w}, c_custkey)"
+    " WHEN 2 THEN printf('the %s visa %09d gate', {w}, c_custkey + 100000000) ELSE printf('a %s motor %09d oil', {w}, c_custkey + 100000000) END"
+).replace("{w}", "CASE c_custkey % 7 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'garage' WHEN 3 THEN 'gate' WHEN 4 THEN 'border' ELSE 'oil' END")
+
+
+@_query(
+    f"WITH t AS (SELECT c_custkey, c_custkey % 4 AS kind, string_split(lower({_CLAIMED}), ' ') AS words FROM customer),"
+    " b AS (SELECT c_custkey, kind, list_distinct(list_transform(words, lambda w: abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)),"
+    " lambda h, c: ((h * 31 + c + 2147483648) & 4294967295) - 2147483648) % 512))) AS buckets FROM t),"
+    " n AS (SELECT kind AS type, bucket, count(*) AS n FROM (SELECT kind, unnest(buckets) AS bucket FROM b WHERE kind < 2) GROUP BY ALL), norm AS (SELECT type, sqrt(sum(n * n)) AS norm FROM n GROUP BY type),"
+    " own AS (SELECT c_custkey, len(buckets) AS m, unnest(buckets) AS bucket FROM b WHERE kind >= 2),"
+    " score AS (SELECT c_custkey, type, sum(n) / (sqrt(any_value(m)) * any_value(norm)) AS cosine FROM own JOIN n USING (bucket) JOIN norm USING (type) GROUP BY ALL)"
+    " SELECT c_custkey, CASE WHEN kind = 0 THEN 'passport-number' WHEN kind = 1 THEN 'drivers-license-number' WHEN coalesce((SELECT cosine FROM score s WHERE s.c_custkey = b.c_custkey AND type = 0), 0)"
+    " >= coalesce((SELECT cosine FROM score s WHERE s.c_custkey = b.c_custkey AND type = 1), 0) THEN 'passport-number' ELSE 'drivers-license-number' END AS filter_type FROM b"
+)
+def disambiguated_in_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that two detectors claim get the type that the words around them speak for, learned from the numbers that one claims."""
+    rows = _docs(spark, sf_dir, "customer").select("c_custkey", F.expr(_CLAIMED).alias("text"))
+    how = disambiguation.Disambiguation(algorithm="hashCode", ignore_stop_words=False)
+    found = Redactor(_policy(driversLicense={}, passportNumber={})).redact(rows, disambiguation=how)
+    return explode_spans(found, "c_custkey").select("c_custkey", "filter_type")
+
+
 @_query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', repeat('*', 5), 'g') AS filtered_text FROM documents")
 def policy_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = from_text("POLICY mail DESCRIPTION 'addresses'; REDACT EMAIL_ADDRESS WITH MASK (mask_length = '5') WHERE confidence > 0.5;")

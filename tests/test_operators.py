@@ -1,8 +1,11 @@
 """Tables of spans: dictionaries, contexts, disambiguation, evaluation, generators, columns, documents, streams."""
 
 import io
+import math
+import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from mistveil.operators import context, dictionary, disambiguation, evaluation, generators, splitting, tables
@@ -38,6 +41,58 @@ def test_context_keeps_values(spark, tmp_path):
     assert table.get("d", "a@b.co") is None and table.get("c", "a@b.co")
 
 
+def test_murmur3_in_the_jvm(spark):
+    words = ["", "a", "ab", "abc", "abcd", "hello", "Straße", "日本語", "x" * 37, "emoji 🎉"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", disambiguation.murmur3(F.col("w")).alias("h")).collect()
+    assert {r.w: r.h for r in rows} == {w: disambiguation.murmur3_32(w.encode()) for w in words}
+
+
+@pytest.mark.parametrize("by_column", [False, True])
+@pytest.mark.parametrize("how", [disambiguation.Disambiguation(), disambiguation.Disambiguation(64, False, "hashCode"), disambiguation.Disambiguation(stop_words="visa, garage")])
+def test_disambiguation_within_redact(spark, how, by_column):
+    """Types by the words around: counted, normed and compared in plain Python."""
+    from mistveil.plans.redactor import Redactor
+
+    lines = ["border visa stamp A12345678 gate", "garage car wheel A123456789012 oil", "the border visa 123456789 gate", "a garage wheel 123456789 oil", "nothing 123456789", "visa garage 123456789 end"]
+    rows = [(i, f"{lines[i % 6]} w{i % 4}", "ab"[i % 2] if by_column else "none") for i in range(60)]
+    policy = Policy({"identifiers": {"driversLicense": {}, "passportNumber": {}}})
+    df = spark.createDataFrame(rows, "i int, text string, c string").repartition(4)
+    out = Redactor(policy).redact(df, context=F.col("c") if by_column else "none", disambiguation=how)
+    got = {r.i: [(s.text, s.filter_type) for s in r.spans] for r in out.collect()}
+
+    stop = how.stop_words.split(",") if isinstance(how.stop_words, str) else how.stop_words
+    stop = {w.strip() for w in stop} if how.ignore_stop_words else set()
+
+    def poly(w):
+        h = 0
+        for c in w:
+            h = (h * 31 + ord(c)) & 0xFFFFFFFF
+        return h - (1 << 32) if h >> 31 else h
+
+    hashed = (lambda w: disambiguation.murmur3_32(w.encode())) if how.algorithm == "murmur3" else poly
+    buckets = lambda t: {abs(int(math.fmod(hashed(w.lower()), how.size))) for w in t.split() if w.lower() not in stop}
+    types = lambda token: ["passport-number"] if re.fullmatch("[A-Z][0-9]{8}", token) else ["drivers-license-number"] if token[0] == "A" else ["passport-number", "drivers-license-number"]
+    number = lambda t: next(w for w in t.split() if w[-1].isdigit() and len(w) > 5)
+    counts = {}
+    for _, t, c in rows:
+        if len(types(number(t))) == 1:
+            own = counts.setdefault((c, types(number(t))[0]), {})
+            for b in buckets(t):
+                own[b] = own.get(b, 0) + 1
+
+    def cosine(c, kind, near):
+        v = counts.get((c, kind), {})
+        return sum(v.get(b, 0) for b in near) / (len(near) ** 0.5 * sum(n * n for n in v.values()) ** 0.5) if v and near else 0.0
+
+    want = {i: [(number(t), max(types(number(t)), key=lambda k: cosine(c, k, buckets(t))))] for i, t, c in rows}
+    assert got == want and {k for v in want.values() for _, k in v} == {"passport-number", "drivers-license-number"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") or not by_column
+    declined = Policy({"identifiers": policy.identifiers, "config": {"analysis": {"spanDisambiguation": False}}})
+    same = Redactor(declined).redact(df, disambiguation=how).select("i", "filtered_text").exceptAll(Redactor(policy).redact(df).select("i", "filtered_text"))
+    assert same.count() == 0
+
+
 def test_disambiguation(spark):
     schema = "doc_id long, context string, filter_type string, character_start int, character_end int, ordinal int, window array<string>"
     rows = [(i, "c", t, 0, 9, 0, [w, "x"]) for i, (t, w) in enumerate([("ssn", "social"), ("phone", "call")] * 3)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
 
@@ -227,6 +228,8 @@ def _value(span: dict, seed: int, today: date, lists: dict[str, list[str]], gene
     return (span["replacement"], span["applied"]) if value is None else (value, kind in ("RANDOM_REPLACE", "FPE_ENCRYPT_REPLACE", "GENERATE") or value != token)
 
 
+#: How `todo` names a replacement that a generator makes.
+GENERATED = '"kind": "GENERATE"'
 #: What the making of a replacement reads of a span, and what it gives.
 _ASKED = ("todo", "text", "pattern", "filter_type", "classification", "context", "character_start", "replacement", "applied")
 _MADE = "struct<replacement:string,applied:boolean>"
@@ -241,33 +244,58 @@ def _filled(spans: Column, made: Column) -> Column:
     return F.zip_with(spans, made, lambda x, m: F.when(m.isNull(), x).otherwise(x.withField("replacement", m["replacement"]).withField("applied", m["applied"]).withField("todo", F.lit(None).cast("string"))))
 
 
-def fill(df: DataFrame, spans: str, seed: str, today: date, lists: dict[str, list[str]], generate=None, base: int = 0, secret: bytes = b"") -> DataFrame:
-    """df with the replacements that `todo` asks for, made from a secret and the row's seed, so that a task computed again gives the same.
+@dataclass(frozen=True)
+class Making:
+    """What replacements are made with. Those of scope CONTEXT come from the secret, `base`, the context and the token alone."""
 
-    Replacements of scope CONTEXT are made from the secret, `base`, the context and the token alone.
-    """
+    today: date
+    lists: dict[str, list[str]]
+    generate: Callable | None = None
+    base: int = 0
+    secret: bytes = b""
+
+    def of(self, span: dict | None, seed: int) -> dict | None:
+        if span is None:
+            return None
+        replacement, applied = _value(span, seed, self.today, self.lists, self.generate, self.base, self.secret)
+        return {"replacement": replacement, "applied": applied}
+
+
+def make(df: DataFrame, spans: str, seed: str, how: Making) -> DataFrame:
+    """df with `__made`: the replacements that `todo` asks for (null for the other spans), from a secret and the row's seed, so that a task
+
+    computed again gives the same."""
 
     @F.pandas_udf(f"array<{_MADE}>")
     def run(asked: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([[_made(x, int(s), today, lists, generate, base, secret) for x in row] if row is not None else None for row, s in zip(asked, seeds, strict=True)])
+        return pd.Series([[how.of(x, int(s)) for x in row] if row is not None else None for row, s in zip(asked, seeds, strict=True)])
 
-    made = S.settled(df.withColumn("__made", run(_asked(F.col(spans)), F.col(seed))), "__made")
-    return made.withColumn(spans, _filled(F.col(spans), F.col("__made"))).drop("__made")
+    return S.settled(df.withColumn("__made", run(_asked(F.col(spans)), F.col(seed))), "__made")
 
 
-def fill_each(df: DataFrame, spans: str, seeds: Column, today: date, lists: dict[str, list[str]], generate=None, base: int = 0, secret: bytes = b"") -> DataFrame:
-    """As fill, for an array of spans for each element of an array of texts, and their seeds."""
+def make_each(df: DataFrame, spans: str, seeds: Column, how: Making) -> DataFrame:
+    """As make, for an array of spans for each element of an array of texts, and their seeds."""
 
     @F.pandas_udf(f"array<array<{_MADE}>>")
     def run(asked: pd.Series, all_seeds: pd.Series) -> pd.Series:
-        return pd.Series([[[_made(x, int(s), today, lists, generate, base, secret) for x in own] for own, s in zip(row, row_seeds, strict=True)] if row is not None else None for row, row_seeds in zip(asked, all_seeds, strict=True)])
+        return pd.Series([[[how.of(x, int(s)) for x in own] for own, s in zip(row, row_seeds, strict=True)] if row is not None else None for row, row_seeds in zip(asked, all_seeds, strict=True)])
+
+    return S.settled(df.withColumn("__made", run(F.transform(F.col(spans), _asked), seeds)), "__made")
+
+
+def generated(spans: Column, made: Column) -> Column:
+    """The values of one text that a generator of the caller's made."""
+    asked = F.zip_with(spans, made, lambda x, m: F.when(F.contains(x["todo"], F.lit(GENERATED)) & (m["replacement"] != x["replacement"]), m["replacement"]))
+    return F.filter(asked, lambda t: t.isNotNull())
+
 
-    made = S.settled(df.withColumn("__made", run(F.transform(F.col(spans), _asked), seeds)), "__made")
-    return made.withColumn(spans, F.zip_with(F.col(spans), F.col("__made"), _filled)).drop("__made")
+def filled(spans: Column, made: Column, rejected: Column | None = None) -> Column:
+    """spans with their replacements; generated ones among `rejected` give way to the span's fallback."""
+    if rejected is None:
+        return _filled(spans, made)
 
+    def checked(x: Column, m: Column) -> Column:
+        bad = F.contains(x["todo"], F.lit(GENERATED)) & F.array_contains(rejected, m["replacement"])
+        return F.when(bad, F.struct(x["replacement"].alias("replacement"), x["applied"].alias("applied")).cast(_MADE)).otherwise(m)
 
-def _made(span: dict | None, seed: int, today: date, lists: dict[str, list[str]], generate, base: int, secret: bytes) -> dict | None:
-    if span is None:
-        return None
-    replacement, applied = _value(span, seed, today, lists, generate, base, secret)
-    return {"replacement": replacement, "applied": applied}
+    return _filled(spans, F.zip_with(spans, made, checked))

@@ -311,7 +311,13 @@ class Redactor:
         df = S.settled(df.withColumn("__found", F.transform("__found", lambda spans: self._globally_kept(S.resolved(spans)))), "__found")
         if self._asks():
             seeds = F.transform(F.col(texts), lambda p: F.xxhash64(F.lit(self.seed), p["text"]))
-            df = S.settled(kernel.fill_each(df, "__found", seeds, self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed, self.secret), "__found")
+            df = kernel.make_each(df, "__found", seeds, self._making())
+            rejected = None
+            if self._generates():
+                spans = F.flatten(F.zip_with("__found", "__made", kernel.generated))
+                df, rejected = self._unsafe(df, spans), F.col("__unsafe")
+            done = F.zip_with("__found", "__made", lambda x, m: kernel.filled(x, m, rejected))
+            df = S.settled(df.withColumn("__found", done), "__found").drop("__made", "__unsafe")
         return df
 
     def redact(
@@ -342,12 +348,31 @@ class Redactor:
             df = disambiguate(df)
         df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans")))), "spans")
         if self._asks():
-            df = S.settled(kernel.fill(df, "spans", "__row", self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed, self.secret), "spans")
+            df = kernel.make(df, "spans", "__row", self._making())
+            rejected = None
+            if self._generates():
+                df, rejected = self._unsafe(df, kernel.generated(F.col("spans"), F.col("__made"))), F.col("__unsafe")
+            df = S.settled(df.withColumn("spans", kernel.filled(F.col("spans"), F.col("__made"), rejected)), "spans").drop("__made", "__unsafe")
         df = df.withColumn("filtered_text", S.replaced(F.col(text), F.col("spans"))).withColumn("tokens", F.coalesce(S.token_count(F.col(text)), F.lit(0).cast("long")))
         if incremental:
             df = df.withColumn("incremental_redactions", S.steps(F.col(text), F.col("spans")))
         return df.drop("__row", "__kernel")
 
+    def _making(self) -> kernel.Making:
+        return kernel.Making(self.as_of or date.today(), self.resources.terms, self.resources.generate, self.seed, self.secret)
+
+    def _generates(self) -> bool:
+        return self.resources.generate is not None and any(s.get("generator") for k, o in self.policy.filters() for s in self.policy.strategies(k, o))
+
+    def _unsafe(self, df: DataFrame, values: Column) -> DataFrame:
+        """df with `__unsafe`: those of its generated values in which this policy's own detectors find something, or ran out of time."""
+        texts = F.transform(F.array_distinct(values), lambda t: F.struct(t.alias("text")))
+        kept = df.withColumn("__texts", texts).withColumnsRenamed({"__found": "__before", "__kernel": "__kernel_before", "regex_timeouts": "__late"})
+        seen = self.detect_each(S.settled(kept, "__texts"), "__texts")
+        found = F.filter(F.zip_with("__texts", "__found", lambda t, f: F.when((F.size(f) > 0) | (F.size("regex_timeouts") > 0), t["text"])), lambda t: t.isNotNull())
+        out = S.settled(seen.withColumn("__unsafe", found), "__unsafe").drop("__texts", "__found", "regex_timeouts")
+        return out.withColumnsRenamed({"__before": "__found", "__kernel_before": "__kernel", "__late": "regex_timeouts"})
+
     def _asks(self) -> bool:
         kinds = {"RANDOM_REPLACE", "FPE_ENCRYPT_REPLACE", "SHIFT", "TRUNCATE_TO_YEAR", "RELATIVE"}
         return any({s.get("strategy"), str(s.get("fallbackStrategy", "")).upper()} & kinds or s.get("generator") for k, o in self.policy.filters() for s in self.policy.strategies(k, o))

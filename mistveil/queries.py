@@ -11,7 +11,7 @@ from .functions import spans as S
 from .functions import strategies, validators
 from .operators import catalog, context, dictionary, disambiguation, evaluation, generators, splitting, tables
 from .plans.policy import STRATEGY_KEYS, Policy, from_text
-from .plans.redactor import Redactor, explain, explode_spans, redact
+from .plans.redactor import Redactor, Resources, explain, explode_spans, redact
 from .session import spread
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,6 +423,22 @@ def random_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("text").alias("token")).agg(F.count("*").alias("n_rows"), F.count_distinct("replacement").cast("int").alias("n_values"))
 
 
+@_query(
+    "SELECT c_custkey, 'sold to ' || CASE c_custkey % 3 WHEN 1 THEN 'party ' || c_custkey ELSE '<id>' END || ' ' || '<ssn>' AS filtered_text FROM customer"
+)
+def generated_rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements by a generator that gives an identifier for a third of the tokens, and the token itself for another: both fall back."""
+
+    def generate(generator: str, token: str, label: str | None) -> str:
+        n = int(token.split("#")[1])
+        return (f"ssn {n % 900 + 1:03}-45-{n % 9000 + 1000}", f"party {n}", f" {token.upper()} ")[n % 3]
+
+    strategy = {"strategy": "MAP_REPLACE", "generator": "names", "fallbackStrategy": "STATIC_REPLACE", "staticReplacement": "<id>"}
+    policy = Policy({"identifiers": {"ssn": {"ssnFilterStrategies": [{"redactionFormat": "<ssn>"}]}, "identifiers": [{"pattern": r"Customer#\d+", "identifierFilterStrategies": [strategy]}]}})
+    rows = _docs(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("sold to Customer#"), F.col("c_custkey").cast("string"), F.lit(" 123-45-6789")).alias("text"))
+    return redact(rows, policy, resources=Resources(generate=generate)).select("c_custkey", "filtered_text")
+
+
 #: Two spans of each order, and a third on the range of the first: (start, end, confidence, type).
 _RELATED = "'A' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN ', ' WHEN 1 THEN '  ' WHEN 2 THEN ' and ' ELSE ',,' END || 'B'"
 

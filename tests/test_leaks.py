@@ -140,3 +140,34 @@ def test_mac_is_hmac(spark):
         assert got == hmac.new(key, b"1:7" + b"3:tok", hashlib.sha256).digest()
     with pytest.raises(ValueError):
         Redactor(Policy({"identifiers": {"ssn": {}}}), secret="short")
+
+
+def test_generated_values_are_searched(spark):
+    """No value of a generator that holds what the policy looks for, fails, is blank or repeats the token gets out; in texts and in cells."""
+    made = {"A1": "mail me@x.org", "A2": "Bob", "A3": " ", "A4": "a4", "A5": None, "A6": "12-345"}
+
+    def generate(generator, token, label):
+        if token == "A7":
+            raise RuntimeError("no service")
+        return made[token]
+
+    strategy = {"strategy": "MAP_REPLACE", "generator": "g", "mappings": {"A8": "known@x.org"}}
+    policy = Policy({"identifiers": {"emailAddress": {}, "identifiers": [{"pattern": r"\bA\d\b", "identifierFilterStrategies": [strategy]}, {"pattern": r"12-\d+"}]}})
+    texts = [f"see A{i} here" for i in range(1, 9)] + ["A1 A2 A6", None, ""]
+    resources = Resources(generate=generate)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    tag = "{{{REDACTED-identifier}}}"
+    want = [f"see {x} here" for x in (tag, "Bob", tag, tag, tag, tag, tag, "known@x.org")] + [f"{tag} Bob {tag}", None, ""]
+    out = redact(rows, policy, resources=resources)
+    assert [r.filtered_text for r in sorted(out.collect(), key=lambda r: r.i)] == want
+    assert out.columns == ["i", "text", "spans", "regex_timeouts", "filtered_text", "tokens"]
+    cells = tables.redact_columns(rows.withColumn("other", F.col("text")), policy, ["text", "other"], resources=resources)
+    assert [(r.text, r.other) for r in sorted(cells.collect(), key=lambda r: r.i)] == [(w, w) for w in want]
+
+
+@pytest.mark.parametrize(("token", "form"), [("2021-03-04", r"\d{4}-\d\d-\d\d"), ("03-04-2021", r"\d\d-\d\d-\d{4}"), ("3-4-21", r"\d{1,2}-\d{1,2}-\d{4}"), ("March 4, 2021", r"[A-Z][a-z]+ \d\d, \d{4}"), ("4 Sept 2021", r"[A-Z][a-z]+ \d\d, \d{4}"), ("3/4/2021", r"\d{4}-\d\d-\d\d")])
+def test_random_dates_keep_the_form(token, form):
+    from mistveil.functions import anonymize
+
+    assert all(re.fullmatch(form, anonymize.anonymize("date", token, str(i), secret=b"s")) for i in range(50))
+    assert anonymize.anonymize("numeric", "12345", "k") == "00000"

@@ -17,7 +17,7 @@ SPAN = (
 )
 #: Longest word that counts as context, and what a context term adds to a confidence.
 LONGEST_WORD, BOOST = 64, 0.05
-#: Characters on each side of a span that can hold its context.
+#: Characters on each side of a span that are read first for its context; all of them are where these hold too few words.
 NEARBY = 4096
 
 
@@ -65,8 +65,13 @@ def boosted(confidence: Column, text: Column, start: Column, end: Column, terms:
         return confidence
     words = lambda t: F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
     nearest = lambda w: F.reverse(F.slice(w, F.lit(1), F.lit(window)))
-    before = _near(nearest(F.reverse(words(F.substring(text, F.greatest(start - NEARBY, F.lit(0)) + 1, F.least(start, F.lit(NEARBY)))))))
-    after = F.reverse(_near(nearest(words(F.substring(text, end + 1, F.lit(NEARBY))))))
+
+    def enough(some: Column, all_read: Column, whole: Column) -> Column:  # one word more than is asked for: the last one may be cut
+        return F.when(all_read | (F.size(some) > window), some).otherwise(words(whole))
+
+    left, right = F.substring(text, F.greatest(start - NEARBY, F.lit(0)) + 1, F.least(start, F.lit(NEARBY))), F.substring(text, end + 1, F.lit(NEARBY))
+    before = _near(nearest(F.reverse(enough(words(left), start <= NEARBY, F.substring(text, F.lit(1), start)))))
+    after = F.reverse(_near(nearest(enough(words(right), F.length(text) - end <= NEARBY, F.substring(text, end + 1, F.length(text))))))
     side = lambda w: F.array_join(F.transform(w, _normal), " ")
     line = F.concat(F.lit(" "), side(before), F.lit(" \n "), side(after), F.lit(" "))
     phrases = [" ".join(w for w in (p.strip(".,:;!?-").lower() for p in t.split()) if w) for t in terms]
@@ -150,10 +155,22 @@ def replaced(text: Column, spans: Column) -> Column:
 
 
 def steps(text: Column, spans: Column) -> Column:
-    """For each span the text after its replacement, with the SHA-256 of that text: array<struct<hash, span, text>>."""
-    upto = F.transform(F.sequence(F.lit(1), F.size(spans)), lambda i: F.struct(F.get(spans, i - 1).alias("span"), replaced(text, F.slice(spans, F.lit(1), i)).alias("text")))
-    whole = F.transform(upto, lambda x: F.struct(F.sha2(x["text"], 256).alias("hash"), x["span"].alias("span"), x["text"].alias("text")))
-    return F.when(F.size(spans) > 0, whole).otherwise(none_of(f"struct<hash:string,span:{SPAN},text:string>"))
+    """For each span the text after its replacement, with the SHA-256 of that text: array<struct<hash, span, text>>.
+
+    Each text is made from the one before it.
+    """
+    step_type = f"struct<hash:string,span:{SPAN},text:string>"
+    zero = F.struct(F.lit(0).alias("shift"), text.alias("text"), none_of(step_type).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        value = F.coalesce(x["replacement"], F.lit(""))
+        start, end = x["character_start"] + acc["shift"], x["character_end"] + acc["shift"]
+        now = F.concat(F.substring(acc["text"], F.lit(1), start), value, F.substring(acc["text"], end + 1, F.length(acc["text"])))
+        moved = (acc["shift"] + F.length(value) - (x["character_end"] - x["character_start"])).cast("int")
+        # the text is read from a one-element array, so that it is made once
+        return F.get(F.transform(F.array(now), lambda t: F.struct(moved.alias("shift"), t.alias("text"), F.array_append(acc["out"], F.struct(F.sha2(t, 256).alias("hash"), x.alias("span"), t.alias("text")).cast(step_type)).alias("out"))), F.lit(0))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: acc["out"])).otherwise(none_of(step_type))
 
 
 def shifted(spans: Column, offset: Column, start: str = "character_start", end: str = "character_end") -> Column:

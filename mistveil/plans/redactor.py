@@ -106,6 +106,12 @@ def _other_filter(key: str, options: dict, resources: Resources) -> _Filter | No
     return _Filter(key, options, name, (), confidences, [classification] * n, [None] * n, [False] * n, (), [], False, more["trims"], more["drops"], None, search)
 
 
+def _refuse_clashes(df: DataFrame, *results: str) -> None:
+    """Input columns are never overwritten: those with the name of a result (in any case) are an error."""
+    if taken := sorted({c for c in df.columns if c.lower() in results}):
+        raise ValueError(f"the columns {', '.join(taken)} have the names of results; rename or drop them first")
+
+
 class Redactor:
     """A policy, ready to be applied to any number of DataFrames (batch or streaming)."""
 
@@ -279,6 +285,7 @@ class Redactor:
 
     def detect(self, df: DataFrame, text: str = "text", context: str | Column = "none", windows: bool = False) -> DataFrame:
         """df with `spans` (each filter's, before they are resolved) and `regex_timeouts`."""
+        _refuse_clashes(df, "spans", "regex_timeouts")
         c = F.lit(context) if isinstance(context, str) else context
         searches = [f.search for f in self.filters if f.search is not None]
         df = df.withColumn("__row", F.xxhash64(F.lit(self.seed), F.col(text)))
@@ -331,6 +338,7 @@ class Redactor:
         DataFrame with `spans` to one with fewer of them. With splitting on, long texts are searched piece by piece and changed
         as a whole, within their row.
         """
+        _refuse_clashes(df, "spans", "tokens", "filtered_text", "regex_timeouts", *(["incremental_redactions"] if incremental else []))
         if self.policy.config("analysis").get("spanDisambiguation", True) is False:
             disambiguation = disambiguate = None
         windows = disambiguation is not None or disambiguate is not None

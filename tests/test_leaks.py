@@ -171,3 +171,29 @@ def test_random_dates_keep_the_form(token, form):
 
     assert all(re.fullmatch(form, anonymize.anonymize("date", token, str(i), secret=b"s")) for i in range(50))
     assert anonymize.anonymize("numeric", "12345", "k") == "00000"
+
+
+def test_columns_are_not_overwritten(spark):
+    df = spark.createDataFrame([("a@b.org", "mine")], "text string, Tokens string")
+    with pytest.raises(ValueError, match="Tokens"):
+        redact(df, Policy({"identifiers": {"emailAddress": {}}}))
+    assert redact(df.withColumnRenamed("Tokens", "other"), Policy({"identifiers": {"emailAddress": {}}})).first().other == "mine"
+
+
+def test_context_has_no_bound(spark):
+    policy = Policy({"identifiers": {"emailAddress": {}}})
+    word = "x" * 63
+    texts = ["mail" + " " * 5000 + "a@b.org", "a@b.org" + " " * 5000 + "email", "email " + f"{word} " * 4 + "a@b.org", "email" + f" {word}" * 5 + " a@b.org", "e-mail" + " \n" * 40_000 + "a@b.org . . ."]
+    got = [r.spans[0].confidence for r in sorted(redact(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), policy).collect(), key=lambda r: r.i)]
+    assert got == [0.9, 0.95, 0.95, 0.9, 0.95]
+
+
+def test_steps_follow_each_other(spark):
+    policy = Policy({"identifiers": {"emailAddress": {"emailAddressFilterStrategies": [{"strategy": "STATIC_REPLACE", "staticReplacement": "é🎉"}]}}})
+    texts = ["a@b.org, 🎉 c@d.org and e@f.org.", "none", "", None, "a@b.org"]
+    for r in redact(spark.createDataFrame([(t,) for t in texts], "text string"), policy, incremental=True).collect():
+        now = r.text
+        for s in r.incremental_redactions or []:
+            now = now.replace(s.span.text, "é🎉", 1)
+            assert s.text == now and s.hash == hashlib.sha256(now.encode()).hexdigest()
+        assert now == r.filtered_text and len(r.incremental_redactions or []) == len(r.spans or [])

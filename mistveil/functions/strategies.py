@@ -43,13 +43,27 @@ def _abbreviated(token: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
 
 
+#: Entries of a list that a plan holds as literals at most; larger ones are joined as tables.
+LITERALS = 20_000
+
+
+def check_literals(n: int, what: str, instead: str) -> None:
+    if n > LITERALS:
+        raise ValueError(f"{what}: {n} entries are too many for a plan (at most {LITERALS}); join them as a table by {instead}")
+
+
+def literal_map(pairs: dict, what: str, instead: str) -> Column:
+    check_literals(len(pairs), what, instead)
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
 def _mapped(options: dict, token: Column, mappings: dict[str, str]) -> Column:
-    """The mapped value, or null. A literal map; large ones belong in a table (`operators.dictionary.map_tokens`)."""
+    """The mapped value, or null."""
     exact = bool(options.get("caseSensitive", False))
     pairs = {(k if exact else k.lower()): v for k, v in mappings.items()}
     if not pairs:
         return F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    table = literal_map(pairs, "a mapping", "operators.dictionary.map_tokens")
     return F.try_element_at(table, token if exact else F.lower(token))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import anonymize, dates, fpe
 from ..functions import spans as S
 from ..functions.spans import MATCH
+from .terms import TermTrie
+from .terms import normal as _normal
 
 #: Milliseconds that one pattern may take for one text.
 BUDGET_MS = 1000
@@ -45,10 +47,6 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _normal(text: str) -> str:
-    return " ".join(text.split()).lower() if text.strip() == text else " ".join(f"x{text}x".split())[1:-1].lower()
-
-
 class PatternSearch:
     """Matches of a pattern; group: which part counts. Flags `s` (dot matches line feeds) is off, as for the built-in patterns."""
 
@@ -74,29 +72,37 @@ class PatternSearch:
 
 
 class TermSearch:
-    """Word n-grams that are in a set of terms, the longest first, as they are or without marks at their ends."""
+    """Word n-grams that are in a list of terms, the longest first, as they are or without marks at their ends.
+
+    The list becomes a trie of flat arrays; `shared` sends it to the executors once, so that neither plans nor tasks hold the terms.
+    """
 
     def __init__(self, label: str, terms: list[str]):
-        self.label = label
-        self.terms = frozenset(_normal(t) for t in terms)
-        self.most = max((len(t.split()) for t in terms), default=0)
+        self.label, self.terms = label, terms
+        self._sent = None
+
+    def shared(self, spark) -> TermSearch:
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(TermTrie.of(self.terms))
+        return self
+
+    def __getstate__(self):
+        return {"label": self.label, "_sent": self._sent, "terms": self.terms if self._sent is None else None}
+
+    @property
+    def trie(self) -> TermTrie:
+        if self._sent is not None:
+            return self._sent.value
+        if "_trie" not in self.__dict__:
+            self._trie = TermTrie.of(self.terms)
+        return self._trie
 
     def __call__(self, text: str) -> list[dict]:
-        words, out = word_spans(text), []
-        for n in range(self.most, 0, -1):
-            for i in range(len(words) - n + 1):
-                s, e = words[i][0], words[i + n - 1][1]
-                if _normal(text[s:e]) not in self.terms:
-                    a, b = s, e
-                    while a < b and not text[a].isalnum():
-                        a += 1
-                    while b > a and not text[b - 1].isalnum():
-                        b -= 1
-                    if (a, b) == (s, e) or _normal(text[a:b]) not in self.terms:
-                        continue
-                    s, e = a, b
-                out.append({"s": s, "e": e, "t": text[s:e], "p": 0})
-        return out
+        return self.trie.search([text])[0]
+
+    def all(self, texts: list[str]) -> list[list[dict]]:
+        """The matches of many texts, which are walked together."""
+        return self.trie.search(texts)
 
 
 class FuzzySearch:
@@ -161,15 +167,31 @@ class FuzzySearch:
         return [x for own in found for x in own]
 
 
-def _searched(text: str | None, searches: list[Callable[[str], list[dict]]]) -> dict:
-    own, late = [], []
-    for s in searches:
-        try:
-            own.append(s(text or ""))
-        except TimeoutError:
-            own.append([])
-            late.append(s.label)
-    return {"found": own, "timeouts": late}
+#: Characters of texts that are searched together.
+TOGETHER = 1 << 20
+
+
+def _searched(texts: list[str | None], searches: list[Callable[[str], list[dict]]]) -> list[dict]:
+    """FOUND of each text."""
+    out = [{"found": [], "timeouts": []} for _ in texts]
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= TOGETHER or i == len(texts) - 1:
+            part, some = out[begin : i + 1], [x or "" for x in texts[begin : i + 1]]
+            for s in searches:
+                if hasattr(s, "all"):
+                    for x, found in zip(part, s.all(some), strict=True):
+                        x["found"].append(found)
+                    continue
+                for x, text in zip(part, some, strict=True):
+                    try:
+                        x["found"].append(s(text))
+                    except TimeoutError:
+                        x["found"].append([])
+                        x["timeouts"].append(s.label)
+            begin, size = i + 1, 0
+    return out
 
 
 def search_each(texts: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
@@ -177,7 +199,7 @@ def search_each(texts: Column, searches: list[Callable[[str], list[dict]]]) -> C
 
     @F.pandas_udf(f"array<{FOUND}>")
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([[_searched(t, searches) for t in row] if row is not None else [] for row in rows])
+        return pd.Series([_searched(list(row), searches) if row is not None else [] for row in rows])
 
     return run(texts)
 
@@ -187,7 +209,7 @@ def search(text: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
 
     @F.pandas_udf(FOUND)
     def run(texts: pd.Series) -> pd.DataFrame:
-        done = [_searched(t, searches) for t in texts]
+        done = _searched(list(texts), searches)
         return pd.DataFrame({"found": [x["found"] for x in done], "timeouts": [x["timeouts"] for x in done]})
 
     return run(text)

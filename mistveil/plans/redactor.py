@@ -156,7 +156,7 @@ class Redactor:
 
     def _population(self, token: Column) -> Column:
         zips = self.resources.zips
-        table = F.create_map(*[F.lit(x) for kv in zips.items() for x in kv]) if zips else None
+        table = strategies.literal_map(zips, "Resources.zips", "operators.dictionary.known_zips") if zips else None
         return F.try_element_at(table, token) if table is not None else F.lit(None).cast("int")
 
     def _valid(self, name: str, x: Column, options: dict) -> Column:
@@ -169,6 +169,7 @@ class Redactor:
             "date": lambda: x["always_valid"] | validators.date(t, x["pattern"]),
             "ein-prefix": lambda: F.substring(t, 1, 2).isin(catalog.EIN_PREFIXES),
             "itin": lambda: F.substring(validators.digits(t), 4, 2).rlike("^(5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])$"),
+            # the list of top-level domains is short
             "tld": lambda: F.array_contains(F.array(*[F.lit(w) for w in self.resources.tlds]).cast("array<string>"), F.lower(F.regexp_extract(t, r"\.([A-Za-z]+)\.?$", 1))),
             "zip": lambda: self._population(F.substring(t, 1, 5)).isNotNull(),
         }
@@ -181,6 +182,8 @@ class Redactor:
         patterns = [catalog.java(p["pattern"] if isinstance(p, dict) else p) for p in options.get("ignoredPatterns", [])]
         pick = lambda values, p, kind: F.lit(values[0]).cast(kind) if len(set(values)) == 1 else F.get(F.array(*[F.lit(v).cast(kind) for v in values]), p)
 
+        strategies.check_literals(len(ignored), f"ignored terms of {f.key}", "operators.dictionary.without_terms")
+
         def dropped(t: Column) -> Column:
             out = F.lower(t).isin(sorted(ignored)) if ignored else F.lit(False)
             for p in patterns:
@@ -254,6 +257,7 @@ class Redactor:
         for s in self.policy.data.get("ignored", []):
             (exact if s.get("caseSensitive", False) else folded).update(self._ignored([s]))
         folded = {t.lower() for t in folded}
+        strategies.check_literals(len(exact) + len(folded), "ignored terms", "operators.dictionary.without_terms")
         for words, fold in ((exact, lambda t: t), (folded, F.lower)):
             if words:
                 spans = self._without(spans, sorted(words), fold)
@@ -283,11 +287,16 @@ class Redactor:
         found = F.flatten(F.array(*parts)) if parts else S.none_of(S.SPAN)
         return F.coalesce(found, S.none_of(S.SPAN))
 
+    def _searches(self, df: DataFrame) -> list:
+        """The searches of the filters that have one, with their lists sent to the executors."""
+        found = [f.search for f in self.filters if f.search is not None]
+        return [s.shared(df.sparkSession) if hasattr(s, "shared") else s for s in found]
+
     def detect(self, df: DataFrame, text: str = "text", context: str | Column = "none", windows: bool = False) -> DataFrame:
         """df with `spans` (each filter's, before they are resolved) and `regex_timeouts`."""
         _refuse_clashes(df, "spans", "regex_timeouts")
         c = F.lit(context) if isinstance(context, str) else context
-        searches = [f.search for f in self.filters if f.search is not None]
+        searches = self._searches(df)
         df = df.withColumn("__row", F.xxhash64(F.lit(self.seed), F.col(text)))
         if searches:
             df = S.settled(df.withColumn("__kernel", kernel.search(F.col(text), searches)), "__kernel")
@@ -300,7 +309,7 @@ class Redactor:
         All within the row: nothing is exploded, keyed or joined.
         """
         c = F.lit(context) if isinstance(context, str) else context
-        searches = [f.search for f in self.filters if f.search is not None]
+        searches = self._searches(df)
         if searches:
             df = S.settled(df.withColumn("__kernel", kernel.search_each(F.transform(F.col(texts), lambda p: p["text"]), searches)), "__kernel")
 

@@ -423,6 +423,20 @@ def random_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("text").alias("token")).agg(F.count("*").alias("n_rows"), F.count_distinct("replacement").cast("int").alias("n_values"))
 
 
+@_query(
+    "SELECT l_orderkey, l_linenumber, 'part ' || l_partkey || ' (' || CASE WHEN l_suppkey % 2 = 0 THEN '<s>' ELSE printf('Supplier No %d', l_suppkey) END || '), by ' || CASE WHEN l_suppkey % 3 = 0 THEN printf('SUPPLIER%d', l_suppkey)"
+    " ELSE '<s>' END || '.' AS filtered_text FROM lineitem"
+)
+def terms_in_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary filter with a list of terms of one and three words: those of a third or half of all suppliers aren't in it."""
+    keys = [r[0] for r in _docs(spark, sf_dir, "supplier").select("s_suppkey").collect()]  # a policy's list is given on the driver
+    terms = [f"supplier no {k}" for k in keys if k % 2 == 0] + [f"Supplier{k}" for k in keys if k % 3]
+    policy = Policy({"identifiers": {"dictionaries": [{"terms": terms, "customFilterStrategies": [{"redactionFormat": "<s>"}]}]}})
+    text = F.expr("printf('part %d (Supplier  No %d), by SUPPLIER%d.', l_partkey, l_suppkey, l_suppkey)")
+    out = redact(spread(_docs(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", text.alias("text")), policy)
+    return out.select("l_orderkey", "l_linenumber", F.replace("filtered_text", F.lit("Supplier  No"), F.lit("Supplier No")).alias("filtered_text"))
+
+
 @_query(
     "SELECT c_custkey, 'sold to ' || CASE c_custkey % 3 WHEN 1 THEN 'party ' || c_custkey ELSE '<id>' END || ' ' || '<ssn>' AS filtered_text FROM customer"
 )

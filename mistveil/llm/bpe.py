@@ -17,6 +17,8 @@ from .shared import cut, small_batches
 
 #: Code points of a chunk, and of its overlap with the next. Texts of at most one chunk are encoded where they are read.
 CHUNK, OVERLAP = 32_768, 512
+#: How much wider overlaps are where one holds no boundary that both scans share.
+WIDER = 16
 #: A match that starts so near the end of a chunk, or touches it, could go on differently in the whole text.
 _UNSURE = 4
 
@@ -41,22 +43,22 @@ def boundaries(text: str, pattern, low: int, high: int) -> list[int]:
     return [m.end() for m in pattern.finditer(text) if low <= m.end() <= high and not text[m.end() - 1].isspace()]
 
 
-def stitch(chunks: list[tuple[int, int, list[int], list[int]]]) -> list[int]:
-    """Positions of one text at which it may be cut: for each pair of neighbours, their first common match boundary.
+def stitch(chunks: list[tuple[int, int, list[int], list[int]]]) -> tuple[list[int], bool]:
+    """Positions of one text at which it may be cut: for each pair of neighbours, their first common match boundary; and whether all pairs had one.
 
     chunks: (start, end, boundaries near the start, sure boundaries near the end), in order. From the first true boundary on,
     a scan depends on what follows only; so where the scan of a chunk, true from its own first cut on, and that of the next
-    chunk share a boundary, they agree from there. Where a pair shares none, the next scan can't be trusted and the text isn't
-    cut until one pair of scans agrees that descends from a true one: the rest of the text stays in one piece.
+    chunk share a boundary, they agree from there. Where a pair shares none (a run without a boundary is longer than the
+    overlap), the next scan can't be trusted, and the text has to be scanned again with wider overlaps.
     """
     cuts = []
     for (_, _, _, tail), (_, _, head, _) in zip(chunks, chunks[1:], strict=False):
         after = cuts[-1] if cuts else 0
         common = sorted(x for x in set(tail) & set(head) if x > after)
         if not common:
-            break
+            return cuts, False
         cuts.append(common[0])
-    return cuts
+    return cuts, True
 
 
 def _digest(ids: list[int], pieces: list[bytes], digits: list[str]) -> tuple[int, str, str]:
@@ -108,8 +110,27 @@ def _scan(path: str, pattern: str, overlap: int):
 def _cuts(rows: pd.DataFrame) -> pd.DataFrame:
     """Cuts of one document, from the boundaries in its overlaps."""
     rows = rows.sort_values("start")
-    cuts = stitch(list(zip(rows["start"], rows["end"], map(list, rows["head"]), map(list, rows["tail"]), strict=True)))
-    return pd.DataFrame({"row": [rows["row"].iloc[0]], "cuts": [cuts]})
+    cuts, whole = stitch(list(zip(rows["start"], rows["end"], map(list, rows["head"]), map(list, rows["tail"]), strict=True)))
+    return pd.DataFrame({"row": [rows["row"].iloc[0]], "cuts": [cuts], "whole": [whole]})
+
+
+def cut_places(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """row, cuts of each text of long (doc_id, row, text).
+
+    Texts in which some overlap holds no common boundary are scanned again with wider ones, until those are wide enough, at the
+    latest when one chunk holds the text; so a piece is longer than two chunks only where a run without a boundary is.
+    """
+    out, left = None, long
+    while True:
+        chunks = left.mapInArrow(_split(chunk, overlap), "doc_id long, row long, start long, n long, text string").hint("rebalance")
+        scanned = chunks.mapInPandas(_scan(path, pattern, overlap), "doc_id long, row long, start long, n long, end long, head array<long>, tail array<long>")
+        cuts = cut(scanned.groupBy("row").applyInPandas(_cuts, "row long, cuts array<long>, whole boolean"), "cuts")
+        done = cuts.where("whole").select("row", "cuts")
+        out = done if out is None else out.unionByName(done)
+        if not cuts.where("not whole").limit(1).count():
+            return out
+        left = left.join(cuts.where("not whole").select("row"), "row", "left_semi").select("doc_id", "row", "text")
+        overlap, chunk = overlap * WIDER, max(chunk, 4 * overlap * WIDER)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +188,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHU
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = rows.where(~is_long).mapInArrow(_whole(path, pattern), _RESULT)
     long = cut(rows.where(is_long).select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "long-texts")
-    chunks = long.mapInArrow(_split(chunk, overlap), "doc_id long, row long, start long, n long, text string").hint("rebalance")
-    scanned = chunks.mapInPandas(_scan(path, pattern, overlap), "doc_id long, row long, start long, n long, end long, head array<long>, tail array<long>")
-    cuts = scanned.groupBy("row").applyInPandas(_cuts, "row long, cuts array<long>")
+    cuts = cut_places(long, path, pattern, chunk, overlap)
     pieces = long.join(cuts, "row").select("doc_id", "row", "text", "cuts").mapInArrow(_slices, "doc_id long, row long, k long, text string").hint("rebalance")
     encoded = pieces.mapInArrow(_encoded(path, pattern), "doc_id long, row long, k long, ids binary")
     return short.unionByName(encoded.groupBy("row").applyInPandas(_joined(path, pattern), _RESULT))

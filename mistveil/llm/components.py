@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Scratch
 
 #: Rounds after which something must be wrong: each round at least halves the longest path.
 MOST_ROUNDS = 60
@@ -35,15 +35,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes without edges don't come back. Loops and repeated edges are allowed, null ends are dropped, an empty table gives no
     rows. Edges stay distributed: only a count and a checksum of each round reach the driver. Each round is written to the
-    shared folder, so a lost executor repeats one round at most.
+    shared folder, so a lost executor repeats one round at most, and the round before it is deleted; the result reads the last one.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     mark = _mark(now)
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        now = cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        before, now = now, scratch.cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
         last, mark = mark, _mark(now)
+        scratch.drop(before)
         if mark == last:
             break
     else:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import Owner
+
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -17,6 +20,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose result is written, and whose scratch tables are deleted before it is returned."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Owner(spark) as owner:
+            return owner.result(query(spark, sf_dir), query.__name__)
+
+    return run
+
+
+@_alone
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rp_forest import near_duplicates
 
@@ -41,6 +56,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_documents(spark, sf_dir))
 
 
+@_alone
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -53,12 +69,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
 
+@_alone
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+@_alone
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +91,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+@_alone
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 

@@ -29,8 +29,57 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Those that own the scratch tables made now, the innermost last.
+_OWNERS: list[Owner] = []
+
+
+class Owner:
+    """Owns every scratch path that is made while its block runs, and deletes all but those it is told to keep when the block ends.
+
+    Operators whose result reads several tables don't know when these are done with; their caller does: it writes the result
+    (`result`) and lets the rest go. Without an owner such tables stay until the shared folder is cleared.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._kept = spark, [], set()
+
+    def __enter__(self) -> Owner:
+        _OWNERS.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNERS.remove(self)
+        for path in self._paths:
+            if path not in self._kept:
+                delete(self.spark, path)
+        if _OWNERS:  # what is kept belongs to whoever asked for it
+            _OWNERS[-1]._paths += self._kept
+
+    def own(self, path: str) -> None:
+        self._paths.append(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; nothing else is needed for it from then on."""
+        path = new_path(self.spark, name)
+        self._kept.add(path)
+        return write(df, path)
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written, and all that led to it deleted at once."""
+        before, path = self._paths, new_path(self.spark, name)
+        out = write(df, path)
+        for old in before:
+            if old != path:
+                delete(self.spark, old)
+        self._paths = [path]
+        return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].own(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -109,4 +109,25 @@ def test_byte_bpe(spark, docs):
 
 
 def test_stitch_stops_where_scans_disagree():
-    assert bpe.stitch([(0, 10, [], [8, 9]), (7, 17, [8, 9], [15]), (14, 20, [16], [])]) == [8]
+    assert bpe.stitch([(0, 10, [], [8, 9]), (7, 17, [8, 9], [15]), (14, 20, [16], [])]) == ([8], False)
+    assert bpe.stitch([(0, 10, [], [8, 9]), (7, 17, [8, 9], [])]) == ([8], True)
+
+
+def test_runs_without_a_boundary(spark):
+    """A text of 1 MB with 2,000 blanks in an overlap, and one with a word of 40,000 letters: cut on both sides of these, encoded as a whole."""
+    import public_tokenizers
+    import tiktoken
+
+    words = "some words, and more of them; " * 40_000
+    texts = [words[:32_200] + " " * 2000 + words[:1_000_000], words[:50_000] + "a" * 40_000 + words[:300_000], words[:100_000]]
+    long = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, row long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    cuts = {r.row: r.cuts for r in bpe.cut_places(long, path, public_tokenizers.PATTERN, bpe.CHUNK, bpe.OVERLAP).collect()}
+    assert cuts.keys() == {0, 1, 2}
+    longest = {i: max(b - a for a, b in zip([0, *c], [*c, len(texts[i])], strict=True)) for i, c in cuts.items()}
+    assert longest[0] < 3 * bpe.CHUNK and longest[1] < 20 * bpe.CHUNK and longest[2] < 2 * bpe.CHUNK
+    encoding = bpe.codec(path, public_tokenizers.PATTERN)[0]
+    assert isinstance(encoding, tiktoken.Encoding)
+    for i, c in cuts.items():
+        parts = [texts[i][a:b] for a, b in zip([0, *c], [*c, len(texts[i])], strict=True)]
+        assert [x for p in parts for x in encoding.encode_ordinary(p)] == encoding.encode_ordinary(texts[i])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mistveil.llm import langid, line_dedup, near_copies, packing, repetition
-from mistveil.llm.shared import cut
+from mistveil.llm.shared import Owner
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read back as the next one's input."""
+    """All stages over documents, each written to the shared folder and read back as the next one's input; only the last one's rows are left there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Owner(spark) as owner:
+        for name, stage in STAGES[:-1]:
+            docs = owner.only(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return owner.result(stage(spark, docs, sf_dir), name)

@@ -215,6 +215,51 @@ def search(text: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
     return run(text)
 
 
+_JUDGED = "struct<ignored:array<struct<ordinal:int,text:string>>,timeouts:array<string>>"
+#: Verdicts that a task remembers: a text is judged once by a pattern, however often it comes.
+_REMEMBERED = 100_000
+
+
+def judge(asked: Column, patterns: dict[int, list[str]], budget_ms: int = BUDGET_MS) -> Column:
+    """Of an array of (ordinal, text), those that a pattern of that ordinal matches anywhere; and the patterns that ran out of time.
+
+    A text that a pattern has no verdict on within its budget isn't ignored. A pattern that runs out of time on a few texts of a task isn't
+    tried on further ones there: they aren't ignored either, and the pattern is named for them too.
+    """
+    late_texts = 5
+
+    @F.pandas_udf(_JUDGED)
+    def run(rows: pd.Series) -> pd.DataFrame:
+        import regex
+
+        compiled = {p: regex.compile(p) for own in patterns.values() for p in own}
+        spent: dict[str, int] = dict.fromkeys(compiled, 0)
+
+        @lru_cache(maxsize=_REMEMBERED)
+        def verdict(pattern: str, text: str) -> bool | None:
+            if spent[pattern] >= late_texts:
+                return None
+            try:
+                return compiled[pattern].search(text, timeout=budget_ms / 1000) is not None
+            except TimeoutError:
+                spent[pattern] += 1
+                return None
+
+        ignored, late = [], []
+        for row in rows:
+            hit, slow = [], []
+            for x in row if row is not None else []:
+                found = [(p, verdict(p, x["text"])) for p in patterns.get(x["ordinal"], [])]
+                if any(v for _, v in found):
+                    hit.append(x)
+                slow += [f"ignored pattern '{p}'" for p, v in found if v is None]
+            ignored.append(hit)
+            late.append(list(dict.fromkeys(slow)))
+        return pd.DataFrame({"ignored": ignored, "timeouts": late})
+
+    return run(asked)
+
+
 @lru_cache(maxsize=1024)
 def _parsed(todo: str) -> dict:
     return json.loads(todo)

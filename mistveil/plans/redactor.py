@@ -126,6 +126,7 @@ class Redactor:
             raise PolicyError(errors)
         self.policy, self.resources, self.seed, self.as_of = policy, resources or Resources(), seed, as_of
         secret = secret or policy.secret("crypto", "key")
+        self.budget_ms = budget_ms
         self.lasting, self.secret = secret is not None, keyed.given(secret) if secret else keyed.fresh()
         if wrong := self._unmet():
             raise ValueError("; ".join(wrong))
@@ -179,16 +180,12 @@ class Redactor:
         options = f.options
         size = int(options.get("windowSize", 0)) or WINDOW
         ignored = {t.lower() for t in [*self._ignored(options.get("ignored")), *self._lines(options.get("ignoredFiles"))]}
-        patterns = [catalog.java(p["pattern"] if isinstance(p, dict) else p) for p in options.get("ignoredPatterns", [])]
         pick = lambda values, p, kind: F.lit(values[0]).cast(kind) if len(set(values)) == 1 else F.get(F.array(*[F.lit(v).cast(kind) for v in values]), p)
 
         strategies.check_literals(len(ignored), f"ignored terms of {f.key}", "operators.dictionary.without_terms")
 
         def dropped(t: Column) -> Column:
-            out = F.lower(t).isin(sorted(ignored)) if ignored else F.lit(False)
-            for p in patterns:
-                out = out | t.rlike(p)
-            return out
+            return F.lower(t).isin(sorted(ignored)) if ignored else F.lit(False)
 
         mappings: dict[str, str] = {}
         for s in self.policy.strategies(f.key, options):
@@ -226,14 +223,15 @@ class Redactor:
         if f.trims:
             posts = self.policy.config("postFilters")
             out = S.trimmed(out, posts.get("removeTrailingNewLines", True), posts.get("removeTrailingPeriods", True), posts.get("removeTrailingSpaces", True))
-            if ignored or patterns:
+            if ignored:
                 out = F.filter(out, lambda x: ~dropped(x["text"]))
         for name in [] if f.valid_first else f.valid:
             out = self._keep(out, name, options)
         if f.key == "identifiers" and options.get("validator"):
             check = validators.named(options["validator"]["name"], options["validator"].get("params"))
             out = F.filter(out, lambda x: F.coalesce(check(x["text"]), F.lit(False)))
-        return S.resolved(out) if f.drops and not single else out
+        # what patterns will take out must not have pushed another span aside
+        return S.resolved(out) if f.drops and not single and not options.get("ignoredPatterns") else out
 
     def _keep(self, spans: Column, name: str, options: dict) -> Column:
         return F.filter(spans, lambda x: self._valid(name, x, options))
@@ -261,17 +259,35 @@ class Redactor:
         for words, fold in ((exact, lambda t: t), (folded, F.lower)):
             if words:
                 spans = self._without(spans, sorted(words), fold)
-        for p in self.policy.data.get("ignoredPatterns", []):
-            spans = self._unlike(spans, catalog.java(p["pattern"]))
         return spans
 
     @staticmethod
-    def _without(spans: Column, words: list[str], fold) -> Column:
-        return F.filter(spans, lambda x: ~fold(x["text"]).isin(words))
+    def _patterns(given) -> list[str]:
+        return [p["pattern"] if isinstance(p, dict) else p for p in given or []]
+
+    def _without_ignored(self, df: DataFrame, name: str, nested: bool, own: bool) -> DataFrame:
+        """df without those of its spans (column name; nested: an array of spans for each text) that ignored patterns match.
+
+        own: the patterns of single filters, else those of the policy. They are judged under a time budget, each text of a row once.
+        """
+        ordinal = (lambda x: x["ordinal"]) if own else (lambda x: F.lit(-1))
+        given = {i: self._patterns(f.options.get("ignoredPatterns")) for i, f in enumerate(self.filters)} if own else {-1: self._patterns(self.policy.data.get("ignoredPatterns"))}
+        given = {k: v for k, v in given.items() if v}
+        if not given:
+            return df
+        ask = lambda x: F.struct(ordinal(x).cast("int").alias("ordinal"), x["text"].alias("text"))
+        df = S.settled(df, name)
+        flat = F.flatten(F.col(name)) if nested else F.col(name)
+        asked = F.array_distinct(F.transform(F.filter(flat, lambda x: ordinal(x).isin(list(given))), ask))
+        df = S.settled(df.withColumn("__judged", kernel.judge(asked, given, self.budget_ms)), "__judged")
+        kept = lambda spans: F.filter(spans, lambda x: ~F.array_contains(F.col("__judged.ignored"), ask(x)))
+        late = F.array_distinct(F.concat("regex_timeouts", "__judged.timeouts"))
+        out = df.withColumn(name, F.transform(name, kept) if nested else kept(F.col(name))).withColumn("regex_timeouts", late)
+        return out.drop("__judged")
 
     @staticmethod
-    def _unlike(spans: Column, pattern: str) -> Column:
-        return F.filter(spans, lambda x: ~x["text"].rlike(pattern))
+    def _without(spans: Column, words: list[str], fold) -> Column:
+        return F.filter(spans, lambda x: ~fold(x["text"]).isin(words))
 
     # ---- DataFrames ----
 
@@ -301,7 +317,8 @@ class Redactor:
         if searches:
             df = S.settled(df.withColumn("__kernel", kernel.search(F.col(text), searches)), "__kernel")
         df = df.withColumn("spans", self._found(F.col(text), c, F.col("__row"), F.col("__kernel.found") if searches else None, windows))
-        return df.withColumn("regex_timeouts", F.col("__kernel.timeouts") if searches else S.none_of("string"))
+        df = df.withColumn("regex_timeouts", F.col("__kernel.timeouts") if searches else S.none_of("string"))
+        return self._without_ignored(df, "spans", False, True)
 
     def detect_each(self, df: DataFrame, texts: str, context: str | Column = "none", windows: bool = False) -> DataFrame:
         """df with `__found`: an array of spans for each element of `texts` (an array of structs with a field `text`), and `regex_timeouts`.
@@ -319,12 +336,13 @@ class Redactor:
 
         df = S.settled(df.withColumn("__found", F.transform(F.col(texts), one)), "__found")
         late = F.array_distinct(F.flatten(F.transform("__kernel", lambda k: k["timeouts"]))) if searches else S.none_of("string")
-        return df.withColumn("regex_timeouts", late).drop("__kernel")
+        return self._without_ignored(df.withColumn("regex_timeouts", late).drop("__kernel"), "__found", True, True)
 
     def redact_each(self, df: DataFrame, texts: str) -> DataFrame:
         """df with `__found`: the resolved spans, with their replacements, of each element of `texts` (array of structs with `text`)."""
-        df = self.detect_each(df, texts).drop("regex_timeouts")
+        df = self.detect_each(df, texts)
         df = S.settled(df.withColumn("__found", F.transform("__found", lambda spans: self._globally_kept(S.resolved(spans)))), "__found")
+        df = self._without_ignored(df, "__found", True, False).drop("regex_timeouts")
         if self._asks():
             seeds = F.transform(F.col(texts), lambda p: F.xxhash64(F.lit(self.seed), p["text"]))
             df = kernel.make_each(df, "__found", seeds, self._making())
@@ -364,6 +382,7 @@ class Redactor:
         if disambiguate is not None:
             df = disambiguate(df)
         df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans")))), "spans")
+        df = self._without_ignored(df, "spans", False, False)
         if self._asks():
             df = kernel.make(df, "spans", "__row", self._making())
             rejected = None

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import hmac
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,27 @@ def test_steps_follow_each_other(spark):
             now = now.replace(s.span.text, "é🎉", 1)
             assert s.text == now and s.hash == hashlib.sha256(now.encode()).hexdigest()
         assert now == r.filtered_text and len(r.incremental_redactions or []) == len(r.spans or [])
+
+
+@pytest.mark.parametrize("place", ["policy", "filter"])
+def test_ignored_patterns_have_a_budget(spark, place):
+    """A pattern that backtracks without end costs its budget, is named, and ignores nothing."""
+    bad, good = r"^(a|aa)+$", "^b+@"
+    texts = ["a" * 40 + "@x.org b@x.org", "c@x.org", None, ""] + ["a" * (41 + i) + "@x.org" for i in range(30)]
+    patterns = [{"pattern": bad}, {"pattern": good}]
+    data = {"identifiers": {"emailAddress": {"ignoredPatterns": patterns if place == "filter" else []}}, "ignoredPatterns": patterns if place == "policy" else []}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    began = time.time()
+    out = {r.i: r for r in Redactor(Policy(data), budget_ms=200).redact(rows).collect()}
+    assert time.time() - began < 30
+    assert [s.text for s in out[0].spans] == ["a" * 40 + "@x.org"] and out[0].regex_timeouts == [f"ignored pattern '{bad}'"]
+    assert [s.text for s in out[1].spans] == ["c@x.org"] and out[1].regex_timeouts == [] and out[3].regex_timeouts == []
+    cells = tables.redact_columns(rows.select("i", "text"), Policy({**data, "ignoredPatterns": [{"pattern": good}]}), ["text"])
+    assert "b@x.org" in next(r.text for r in cells.collect() if r.i == 0)
+
+
+def test_ignored_spans_push_none_aside(spark):
+    """A span that a filter's pattern takes out doesn't hide a shorter one of the same filter."""
+    policy = Policy({"identifiers": {"identifiers": [{"pattern": r"x\d+"}], "creditCard": {"onlyValidCreditCardNumbers": False, "ignoredPatterns": ["^9"]}}})
+    got = redact(spark.createDataFrame([("9111 1111 1111 1111 x12",), ("4111 1111 1111 1111",)], "text string"), policy).collect()
+    assert [[s.text for s in r.spans] for r in got] == [["x12"], ["4111 1111 1111 1111"]]

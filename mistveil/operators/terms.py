@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,9 +22,26 @@ def normal(text: str) -> str:
     return " ".join(text.split()).lower() if text.strip() == text else " ".join(f"x{text}x".split())[1:-1].lower()
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """64 bits for each word."""
-    return np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words), np.uint64)
+def _hash(word: str) -> int:
+    """64 bits for a word."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+#: Forms of a word in a text: as it is, without marks before it, without marks after it, without both.
+WHOLE, BEGUN, ENDED, BARE = range(4)
+
+
+@lru_cache(maxsize=200_000)
+def _forms(raw: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
+    """The forms of a word in lower case, and their hashes."""
+    a, b = 0, len(raw)
+    while a < b and not raw[a].isalnum():
+        a += 1
+    while b > a and not raw[b - 1].isalnum():
+        b -= 1
+    forms = (raw.lower(), raw[a:].lower(), raw[:b].lower(), raw[a:b].lower())
+    hashes = {f: _hash(f) for f in forms}
+    return forms, tuple(hashes[f] for f in forms)
 
 
 def _edge(node: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
@@ -49,7 +67,7 @@ class TermTrie:
         forms = sorted({normal(t) for t in terms} - {""})
         split = [f.split(" ") for f in forms]
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-        words, lengths = _hashes(list(vocabulary)), np.array([len(ws) for ws in split], np.int64)
+        words, lengths = np.array([_hash(w) for w in vocabulary], np.uint64), np.array([len(ws) for ws in split], np.int64)
         most = int(lengths.max(initial=0))
         node, names, ends = np.full(len(split), ROOT), [], []
         for k in range(most):
@@ -88,30 +106,30 @@ class TermTrie:
         if not spans or not self.most:
             return out
         owner = np.array(owner)
-        raw = [texts[i][s:e] for i, (s, e) in zip(owner.tolist(), spans, strict=True)]
-        lead, tail = ([next((k for k, c in enumerate(x) if c.isalnum()), len(x)) for x in ws] for ws in (raw, [w[::-1] for w in raw]))
-        ends = [len(w) - t for w, t in zip(raw, tail, strict=True)]
-        low = [w.lower() for w in raw]
-        forms = {"whole": low, "begun": [w[a:].lower() for w, a in zip(raw, lead, strict=True)], "ended": [w[:b].lower() for w, b in zip(raw, ends, strict=True)], "bare": [w[a:b].lower() for w, a, b in zip(raw, lead, ends, strict=True)]}
-        hashed = {k: _hashes(v) for k, v in forms.items()}
+        words = [_forms(texts[i][s:e]) for i, (s, e) in zip(owner.tolist(), spans, strict=True)]
+        hashed = np.array([h for _, h in words], np.uint64)
         hits: dict[tuple[int, int], bool] = {}  # (first word, number of words) to whether marks at the ends are left out
-        for first, final, bare in (("whole", "whole", False), ("begun", "ended", True)):
+        for begin, end, bare in ((WHOLE, WHOLE, False), (BEGUN, ENDED, True)):
             start, node = np.arange(len(spans)), np.full(len(spans), ROOT)
+            if bare:  # only where some mark is left out
+                one = hashed[:, BARE] != hashed[:, WHOLE]
             for n in range(1, self.most + 1):
                 last = start + n - 1
                 inside = (last < len(spans)) & (owner[np.minimum(last, len(spans) - 1)] == owner[start])
                 start, node, last = start[inside], node[inside], last[inside]
                 if not len(start):
                     break
-                close = _edge(node, hashed["bare" if n == 1 and bare else final][last])
-                at = self._find(close)
-                ending = np.flatnonzero((at >= 0) & (self.term[at] >= 0))
-                for j in ending.tolist():
+                final = BARE if n == 1 and bare else end
+                at = self._find(_edge(node, hashed[last, final]))
+                ending = (at >= 0) & (self.term[at] >= 0)
+                for j in np.flatnonzero(ending & one[start] if bare and n == 1 else ending).tolist():
                     i, k = int(start[j]), int(last[j])
-                    words = [forms["bare" if n == 1 and bare else first][i], *(low[x] for x in range(i + 1, k)), *([forms[final][k]] if n > 1 else [])]
-                    if " ".join(words) == self._text(int(self.term[at[j]])):
+                    form = [words[i][0][final if n == 1 else begin], *(words[x][0][WHOLE] for x in range(i + 1, k)), *([words[k][0][final]] if n > 1 else [])]
+                    if " ".join(form) == self._text(int(self.term[at[j]])):
                         hits.setdefault((i, n), bare)
-                on = _edge(node, hashed[first if n == 1 else "whole"][last])
+                if n == self.most:
+                    break
+                on = _edge(node, hashed[last, begin if n == 1 else WHOLE])
                 alive = self._find(on) >= 0
                 start, node = start[alive], on[alive]
         for (i, n), bare in sorted(hits.items(), key=lambda h: (-h[0][1], h[0][0])):

@@ -182,7 +182,9 @@ def _searched(texts: list[str | None], searches: list[Callable[[str], list[dict]
             for s in searches:
                 if hasattr(s, "all"):
                     for x, found in zip(part, s.all(some), strict=True):
-                        x["found"].append(found)
+                        late = isinstance(found, TimeoutError)
+                        x["found"].append([] if late else found)
+                        x["timeouts"] += [s.label] * late
                     continue
                 for x, text in zip(part, some, strict=True):
                     try:
@@ -327,6 +329,12 @@ class Making:
         replacement, applied = _value(span, seed, self.today, self.lists, self.generate, self.base, self.secret)
         return {"replacement": replacement, "applied": applied}
 
+    def prepare(self, spans) -> None:
+        """Let a generator that can make many values together make those of a batch."""
+        if hasattr(self.generate, "prepare"):
+            asked = [(_parsed(x["todo"]), x) for x in spans if x is not None]
+            self.generate.prepare([(a["generator"], x["text"], x["classification"]) for a, x in asked if a["kind"] == "GENERATE"])
+
 
 def make(df: DataFrame, spans: str, seed: str, how: Making) -> DataFrame:
     """df with `__made`: the replacements that `todo` asks for (null for the other spans), from a secret and the row's seed, so that a task
@@ -335,6 +343,7 @@ def make(df: DataFrame, spans: str, seed: str, how: Making) -> DataFrame:
 
     @F.pandas_udf(f"array<{_MADE}>")
     def run(asked: pd.Series, seeds: pd.Series) -> pd.Series:
+        how.prepare([x for row in asked if row is not None for x in row])
         return pd.Series([[how.of(x, int(s)) for x in row] if row is not None else None for row, s in zip(asked, seeds, strict=True)])
 
     return S.settled(df.withColumn("__made", run(_asked(F.col(spans)), F.col(seed))), "__made")
@@ -345,6 +354,7 @@ def make_each(df: DataFrame, spans: str, seeds: Column, how: Making) -> DataFram
 
     @F.pandas_udf(f"array<array<{_MADE}>>")
     def run(asked: pd.Series, all_seeds: pd.Series) -> pd.Series:
+        how.prepare([x for row in asked if row is not None for own in row for x in own])
         return pd.Series([[[how.of(x, int(s)) for x in own] for own, s in zip(row, row_seeds, strict=True)] if row is not None else None for row, row_seeds in zip(asked, all_seeds, strict=True)])
 
     return S.settled(df.withColumn("__made", run(F.transform(F.col(spans), _asked), seeds)), "__made")

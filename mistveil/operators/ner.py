@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
-import urllib.request
 from collections.abc import Callable, Sequence
 
+from .remote import Client, NoAnswer
+
 _WORD = re.compile(r"\w+(?:[-_]\w+)*|\S")
 
 
@@ -60,15 +60,75 @@ class ModelSearch:
 
 
 class RemoteSearch:
-    """POST {endpoint}/find with {"text", "labels"}; answers are [{"start", "end", "label", "score"}]."""
-
-    def __init__(self, label: str, endpoint: str, labels: Sequence[str] = (), thresholds: dict[str, float] | None = None, bearer: str | None = None, timeout_s: float = 30):
-        self.label, self.endpoint, self.labels, self.thresholds, self.bearer, self.timeout = label, endpoint.rstrip("/"), list(labels), thresholds or {}, bearer, timeout_s
+    """POST {endpoint}/find with {"text", "labels"}; answers are [{"start", "end", "label", "score"}].
+
+    The texts of a batch are asked for together, equal ones once, `connections` at a time. on_failure: for a text without an answer `error` fails the
+    job (a value left in clear would be worse), `report` gives no spans and names the search in `regex_timeouts`.
+    """
+
+    def __init__(
+        self, label: str, endpoint: str, labels: Sequence[str] = (), thresholds: dict[str, float] | None = None, bearer: str | None = None, timeout_s: float = 30, connections: int = 4, attempts: int = 5,
+        pause_s: float = 0.2, on_failure: str = "error", threshold: float = 0.0,
+    ):
+        if on_failure not in ("error", "report"):
+            raise ValueError(f"unknown on_failure '{on_failure}'")
+        self.label, self.labels, self.thresholds, self.threshold, self.on_failure = label, list(labels), thresholds or {}, threshold, on_failure
+        self.client = Client(endpoint, bearer, timeout_s, connections, attempts, pause_s)
+
+    @classmethod
+    def of(cls, options: dict) -> RemoteSearch:
+        """The search that a policy's entry describes."""
+        how = options["phEyeConfiguration"]
+        name = options.get("id") or how["endpoint"]
+        return cls(f"ner {name}", how["endpoint"], how.get("labels", ["Person"]), options.get("thresholds"), how.get("bearerToken"), float(how.get("timeout", 30)), min(30, int(how.get("maxIdleConnections", 30))), threshold=float(how.get("threshold", 0.5)))
 
     def __call__(self, text: str) -> list[dict]:
-        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.bearer}"} if self.bearer else {})
-        request = urllib.request.Request(f"{self.endpoint}/find", json.dumps({"text": text, "labels": self.labels}).encode(), headers)
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            found = json.load(answer)
-        good = [x for x in found if (not self.labels or x["label"] in self.labels) and x["score"] >= self.thresholds.get(x["label"], 0)]
+        found = self.all([text])[0]
+        if isinstance(found, NoAnswer):
+            raise found
+        return found
+
+    def all(self, texts: list[str]) -> list[list[dict] | NoAnswer]:
+        different = list(dict.fromkeys(t for t in texts if t.strip()))
+        answers = dict(zip(different, self.client.post_all("/find", [{"text": t, "labels": self.labels} for t in different]), strict=True))
+        if self.on_failure == "error" and (failed := [a for a in answers.values() if isinstance(a, NoAnswer)]):
+            raise RuntimeError(f"{self.label}: {len(failed)} of {len(answers)} texts have no answer ({failed[0]})")
+        return [self._matches(t, answers.get(t, [])) for t in texts]
+
+    def _matches(self, text: str, found) -> list[dict] | NoAnswer:
+        if isinstance(found, NoAnswer):
+            return found
+        good = [x for x in found if (not self.labels or x["label"] in self.labels) and x["score"] >= self.thresholds.get(x["label"], self.threshold)]
         return [{"s": x["start"], "e": x["end"], "t": text[x["start"] : x["end"]], "p": 0} for x in good]
+
+
+class RemoteGenerator:
+    """Replacements from a language model behind {endpoint}/api/generate, for `Resources.generate`; generators: those of a policy, by name.
+
+    A prompt may hold {token} and {label}. Tokens of a batch are asked for together, equal ones once a task. Without an answer the strategy's
+    fallback is used.
+    """
+
+    def __init__(self, generators: dict[str, dict], connections: int = 4, attempts: int = 3, pause_s: float = 0.2):
+        self.generators = generators
+        self.clients = {n: Client(g["endpoint"], None, float(g.get("timeoutMs", 30_000)) / 1000, connections, attempts, pause_s) for n, g in generators.items()}
+        self._known: dict[tuple, str | None] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}}
+
+    def prepare(self, asked: Sequence[tuple[str, str, str | None]]) -> None:
+        """Ask for (generator, token, label) that aren't known yet."""
+        if len(self._known) > 100_000:
+            self._known.clear()
+        for name in {n for n, _, _ in asked}:
+            new = [x for x in dict.fromkeys(asked) if x[0] == name and x not in self._known]
+            g = self.generators[name]
+            prompt = g.get("prompt") or "Give one realistic replacement for the {label} '{token}'. Answer with the replacement only."
+            bodies = [{"model": g.get("model", ""), "prompt": prompt.replace("{label}", label or "value").replace("{token}", token), "stream": False} for _, token, label in new]
+            for x, answer in zip(new, self.clients[name].post_all("/api/generate", bodies), strict=True):
+                self._known[x] = None if isinstance(answer, NoAnswer) else str(answer.get("response", "")).strip() or None
+
+    def __call__(self, generator: str, token: str, label: str | None) -> str | None:
+        self.prepare([(generator, token, label)])
+        return self._known[generator, token, label]

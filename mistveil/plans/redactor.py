@@ -17,6 +17,7 @@ from ..functions import spans as S
 from ..functions import keyed, strategies, validators
 from ..operators import catalog, kernel, phones, splitting
 from ..operators.disambiguation import Disambiguation, learn, settle
+from ..operators.ner import RemoteSearch
 from .policy import Policy
 
 #: Words of context on each side, where a filter doesn't say.
@@ -88,8 +89,10 @@ def _other_filter(key: str, options: dict, resources: Resources) -> _Filter | No
         more["trims"] = False
     elif key == "pheyes":
         search = resources.searches.get(options.get("id", ""))
+        if search is None and options.get("phEyeConfiguration", {}).get("endpoint"):
+            search = RemoteSearch.of(options)
         if search is None:
-            raise ValueError("a pheyes filter needs a search of its id in Resources.searches")
+            raise ValueError("a pheyes filter needs an endpoint, or a search of its id in Resources.searches")
         more["trims"] = False
     else:
         files = [t for path in options.get("files", []) for t in resources.files[path]]

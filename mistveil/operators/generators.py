@@ -91,10 +91,17 @@ KINDS = (
 ).split()
 
 
+def beside(df: DataFrame, key: str, columns: dict[str, str], seed: int = 0, lists=None) -> DataFrame:
+    """df with made-up columns (name to kind), drawn by the seed and the row's key (a whole number): equal keys get equal values."""
+    named = df.withColumn("id", F.col(key).cast("long")) if key != "id" else df
+    out = named.select("*", *[column(kind, seed, name, lists).alias(name) for name, kind in columns.items()])
+    return out if key == "id" else out.drop("id")
+
+
 def table(spark: SparkSession, rows: int, columns: dict[str, str], seed: int = 0, lists=None, partitions: int | None = None) -> DataFrame:
     """rows lines of the given columns (name to kind); the same seed gives the same table, whatever its partitions."""
     base = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
-    return base.select(*[column(kind, seed, name, lists).alias(name) for name, kind in columns.items()])
+    return beside(base, "id", columns, seed, lists).drop("id")
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote_all: bool = False) -> None:

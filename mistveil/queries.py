@@ -406,7 +406,9 @@ def map_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def generated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.table(spark, 1000, {k.replace("-", "_"): k for k in generators.KINDS}, seed=3)
+    """A made-up value of each kind for every customer: one row each, of the form of its kind."""
+    keys = _docs(spark, sf_dir, "customer").select("c_custkey")
+    return generators.beside(keys, "c_custkey", {k.replace("-", "_"): k for k in generators.KINDS}, seed=3)
 
 
 @_query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '{{{{{{REDACTED-email-address}}}}}}', 'g') AS filtered_text FROM documents")
@@ -540,12 +542,12 @@ def date_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     " UNION ALL SELECT 'itin', count(*), count(*) FROM orders UNION ALL SELECT 'date', count(*), count(*) FROM orders UNION ALL SELECT 'vin', count(*), count(*) FROM orders"
 )
 def generated_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many made-up rows as there are orders: values of each kind that hold its checksum or its form."""
+    """Made-up values for every order: those of each kind that hold its checksum or its form."""
     kinds = {
         "credit-card": lambda c: validators.luhn(c) & (F.length(c) == 16), "canada-sin": lambda c: validators.luhn(c) & (F.length(c) == 9), "ssn": lambda c: c.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"),
         "itin": lambda c: c.rlike(r"^9\d\d-(5\d|6[0-5])-\d{4}$"), "date": lambda c: F.try_to_timestamp(c, F.lit("MM/dd/yyyy")).isNotNull(), "vin": lambda c: c.rlike("^[A-HJ-NPR-Z0-9]{17}$"),
     }
-    made = generators.table(spark, _docs(spark, sf_dir, "orders").count(), {k.replace("-", "_"): k for k in kinds}, seed=5)
+    made = generators.beside(_docs(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", {k.replace("-", "_"): k for k in kinds}, seed=5)
     counted = made.agg(F.count("*").alias("n"), *[F.count_if(test(F.col(k.replace("-", "_")))).alias(k.replace("-", "_")) for k, test in kinds.items()])
     return counted.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k.replace("-", "_")).alias("n_valid")) for k in kinds])).alias("x")).select("x.kind", "n", "x.n_valid")
 

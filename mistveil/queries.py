@@ -564,19 +564,26 @@ def bic_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: By detector: its options, the value that each customer's text holds, and when it is found. Both engines read the expressions.
 _DETECTED = {
     "age": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('%d metres', c_custkey % 100) ELSE printf('%d years old', c_custkey % 100) END", "c_custkey % 3 <> 0"),
+    "bankRoutingNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN '021000021' ELSE printf('02100002%d', 2 + c_custkey % 8) END", "c_custkey % 2 = 0"),
     "bitcoinAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN concat('bc1', md5(concat(c_custkey, ''))) ELSE concat('bd1', md5(concat(c_custkey, ''))) END", "c_custkey % 2 = 0"),
     "canadaSin": ({}, "printf('046 454 28%d', c_custkey % 10)", "c_custkey % 10 = 6"),
+    "creditCard": ({}, "CASE WHEN c_custkey % 2 = 0 THEN '4111 1111 1111 1111' ELSE printf('4111 1111 1111 111%d', 2 + c_custkey % 8) END", "c_custkey % 2 = 0"),
     "currency": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('$%d.%02d', c_custkey, c_custkey % 100) WHEN c_custkey % 3 = 1 THEN printf('%d EUR', c_custkey) ELSE printf('%d points', c_custkey) END", "c_custkey % 3 <> 2"),
+    "date": ({"onlyValidDates": True}, "printf('%02d/%02d/2001', c_custkey % 12 + 1, c_custkey % 31 + 1)", "c_custkey % 31 + 1 <= day(last_day(make_date(2001, CAST(c_custkey % 12 + 1 AS INT), 1)))"),
     "driversLicense": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('A%07d', c_custkey) ELSE printf('a%07d', c_custkey) END", "c_custkey % 2 = 0"),
     "ein": ({"onlyValidPrefixes": True}, "printf('%02d-%07d', c_custkey % 100, c_custkey * 13 % 10000000)", "c_custkey % 100 NOT IN (0, 7, 8, 9, 17, 18, 19, 28, 29, 49, 69, 70, 78, 79, 89, 96, 97)"),
+    "emailAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('u%d@example.org', c_custkey) ELSE printf('u%d at example.org', c_custkey) END", "c_custkey % 2 = 0"),
     "ibanCode": ({}, "printf('DE%02d500105175407324931', c_custkey % 100)", "c_custkey % 100 = 98 - CAST('500105175407324931131400' AS HUGEINT) % 97"),
+    "ipAddress": ({}, "CASE WHEN c_custkey % 3 = 0 THEN printf('10.%d.%d.7', c_custkey % 256, c_custkey % 200) WHEN c_custkey % 3 = 1 THEN printf('fe80::%x', 1 + c_custkey % 60000) ELSE printf('10.%d.%d', c_custkey % 256, 300 + c_custkey % 200) END", "c_custkey % 3 < 2"),
     "itin": ({"onlyValidRanges": True}, "printf('9%02d-%02d-%04d', c_custkey * 7 % 100, c_custkey % 100, c_custkey * 3 % 10000)", "c_custkey % 100 BETWEEN 50 AND 65 OR c_custkey % 100 BETWEEN 70 AND 88 OR c_custkey % 100 IN (90, 91, 92, 94, 95, 96, 97, 98, 99)"),
     "macAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('aa:bb:%02x:%02x:00:ff', c_custkey % 256, c_custkey * 3 % 256) ELSE printf('aa:bb:%02x:%02x:00', c_custkey % 256, c_custkey * 3 % 256) END", "c_custkey % 2 = 0"),
     "passportNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('C%08d', c_custkey) ELSE printf('CCC%08d', c_custkey) END", "c_custkey % 2 = 0"),
     "phoneNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('(212) 555-%04d', c_custkey % 10000) ELSE printf('(212) 55-%04d', c_custkey % 10000) END", "c_custkey % 2 = 0"),
     "phoneNumberExtension": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('ext. %d', c_custkey) ELSE printf('room %d', c_custkey) END", "c_custkey % 2 = 0"),
+    "stateAbbreviation": ({}, "CASE WHEN c_custkey % 2 = 0 THEN 'TX' ELSE 'ZZ' END", "c_custkey % 2 = 0"),
     "streetAddress": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('%d Main Street', c_custkey) ELSE printf('%d Main Gate', c_custkey) END", "c_custkey % 2 = 0"),
     "trackingNumber": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('1Z%016d', c_custkey) ELSE printf('2Z%016d', c_custkey) END", "c_custkey % 2 = 0"),
+    "url": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('https://example.org/a?b=%d', c_custkey) ELSE printf('example.org/a?b=%d', c_custkey) END", "c_custkey % 2 = 0"),
     "vin": ({}, "CASE WHEN c_custkey % 2 = 0 THEN printf('ABC%014d', c_custkey) ELSE printf('IBC%014d', c_custkey) END", "c_custkey % 2 = 0"),
     "zipCode": ({"requireDelimiter": True}, "CASE WHEN c_custkey % 2 = 0 THEN printf('%05d-%04d', c_custkey, c_custkey) ELSE printf('%09d', c_custkey) END", "c_custkey % 2 = 0"),
 }
@@ -597,6 +604,19 @@ for _key, (_options, _value, _found) in _DETECTED.items():
     _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
 
 
+@_query(
+    "SELECT c_custkey, 'see ' || CASE c_custkey % 3 WHEN 0 THEN '<' || (c_custkey + 100000) || '>' ELSE '[R]' END AS marked, CASE c_custkey % 3 WHEN 0 THEN 'red' ELSE '#00ff00' END AS color FROM customer"
+)
+def strategy_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour of the strategy that was chosen, as its span carries it."""
+    strategies_of = [{"condition": 'token startswith "A"', "redactionFormat": "[R]", "color": "#00ff00"}, {"strategy": "SAME", "color": "red"}]
+    policy = _policy(identifiers=[{"pattern": r"\b[AB]\d{6,}\b", "identifierFilterStrategies": strategies_of}])
+    text = F.expr("concat('see ', CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE 'A' END, c_custkey + 100000)")
+    found = redact(_docs(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), policy)
+    marked = F.regexp_replace("filtered_text", r"B(\d+)", "<$1>")
+    return found.select("c_custkey", marked.alias("marked"), F.get("spans", F.lit(0))["color"].alias("color"))
+
+
 #: Numbers of 20 countries with a plus, and five that no country gives out; numbers as written at home, of three regions, and others.
 _INTERNATIONAL = (
     "CASE c_custkey % 25 WHEN 0 THEN printf('+44 20 7946 %04d', c_custkey % 10000) WHEN 1 THEN printf('+33 1 42 68 53 %02d', c_custkey % 100) WHEN 2 THEN printf('+49 30 9%05d', c_custkey)"
@@ -622,6 +642,8 @@ for _name, _options, _value, _found in (("international", {}, _INTERNATIONAL, "c
 #: By detector, the shape of its random values as SQL of the found value: letters and digits as x.
 _SHAPE = "regexp_replace({}, '[A-Za-z0-9]', 'x', 'g')"
 _ANONYMIZED = {
+    "bankRoutingNumber": _SHAPE, "creditCard": "'xxxx-xxxx-xxxx-xxxx'", "currency": "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '$' END || " + _SHAPE, "date": "'xxxx-xx-xx'", "emailAddress": "'xxxxxxxxxx@xxxx.xxx'",
+    "ipAddress": "CASE WHEN c_custkey % 3 = 0 THEN 'x.x.x.x' ELSE rtrim(repeat('xxxx:', 8), ':') END", "passportNumber": "'xx:xx:xx:xx:xx:xx'", "stateAbbreviation": _SHAPE, "url": "'xxxxx://xxx.xxxxxxxxxx.xxx'",
     "age": _SHAPE, "bitcoinAddress": "repeat('x', 32)", "canadaSin": _SHAPE, "driversLicense": _SHAPE, "ein": _SHAPE, "ibanCode": "repeat('x', 22)", "itin": _SHAPE, "macAddress": "'xx:xx:xx:xx:xx:xx'",
     "phoneNumber": _SHAPE, "phoneNumberExtension": _SHAPE, "trackingNumber": _SHAPE, "vin": _SHAPE, "zipCode": "'xxxxx'",
 }

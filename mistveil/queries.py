@@ -604,6 +604,32 @@ for _key, (_options, _value, _found) in _DETECTED.items():
     _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
 
 
+def _packed_sql(parts: str, most: int) -> str:
+    """SQL for pieces of the parts of a text, joined by blanks as long as they are no longer than `most`."""
+    return (
+        f"WITH t AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations), w AS (SELECT *, {parts} AS parts FROM t),"
+        " p AS (SELECT conv_id, turn, text, list_reduce(list_prepend({'done': []::VARCHAR[], 'line': ''}, list_transform(parts, lambda x: {'done': []::VARCHAR[], 'line': x})),"
+        f" lambda a, x: CASE WHEN a.line <> '' AND length(a.line) + 1 + length(x.line) > {most} THEN {{'done': list_append(a.done, a.line), 'line': x.line}}"
+        " ELSE {'done': a.done, 'line': CASE WHEN a.line = '' THEN x.line ELSE a.line || ' ' || x.line END} END) AS r FROM w),"
+        f" q AS (SELECT conv_id, turn, CASE WHEN length(text) >= {most} THEN list_append(r.done, r.line) ELSE [text] END AS pieces FROM p)"
+        " SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS piece, pieces[i] AS text, CAST(coalesce(list_sum(list_transform(pieces[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS piece_start FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM q)"
+    )
+
+
+def _splitting(method: str, most: int) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+        found = rows.select("conv_id", "turn", F.posexplode(splitting.pieces_of(F.col("text"), method, most, 0)).alias("piece", "p"))
+        return found.select("conv_id", "turn", "piece", "p.text", F.col("p.offset").alias("piece_start"))
+
+    query.__name__ = f"splits_{method}"
+    return query
+
+
+_query(_packed_sql("string_split(text, ' ')", 200))(_splitting("width", 200))
+_query(_packed_sql(r"string_split(regexp_replace(text, '([.?!])\s', '\1' || chr(1), 'g'), chr(1))", 300))(_splitting("characters", 300))
+
+
 @_query(
     "SELECT c_custkey, 'see ' || CASE c_custkey % 3 WHEN 0 THEN '<' || (c_custkey + 100000) || '>' ELSE '[R]' END AS marked, CASE c_custkey % 3 WHEN 0 THEN 'red' ELSE '#00ff00' END AS color FROM customer"
 )

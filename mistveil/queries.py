@@ -604,6 +604,21 @@ for _key, (_options, _value, _found) in _DETECTED.items():
     _query(f"SELECT c_custkey, 'see ' || CASE WHEN {_found} THEN '[R]' ELSE {_value} END || ' there' AS filtered_text FROM customer")(_detect)
 
 
+@_query(
+    "WITH t AS (SELECT conv_id, turn, text, replace(text, 'lich', '[R]') AS f, string_split(text, 'lich') AS g FROM conversations),"
+    " p AS (SELECT *, coalesce(sum(length(f) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM t),"
+    " s AS (SELECT conv_id, turn, f, len(g) - 1 AS n, len(regexp_split_to_array(text, '\s+')) AS k, coalesce(list_sum(list_transform(range(1, len(g)), lambda j: begin + 4 * (j - 1) + list_sum(list_transform(g[1:j], lambda x: length(x))))), 0) AS places FROM p)"
+    " SELECT conv_id, trim(string_agg(f, chr(10) ORDER BY turn)) AS filtered_text, CAST(sum(n) AS BIGINT) AS n_spans, CAST(sum(places) AS BIGINT) AS places, CAST(sum(k) AS BIGINT) AS tokens FROM s GROUP BY conv_id"
+)
+def pieces_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation redacted one by one and put together: text, spans at their places, tokens."""
+    policy = _policy(identifiers=[{"pattern": "lich", "identifierFilterStrategies": [{"redactionFormat": "[R]"}]}])
+    turns = redact(spread(_docs(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), policy)
+    whole = splitting.combine(turns, "conv_id", "turn")
+    places = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["character_start"])
+    return whole.select("conv_id", "filtered_text", F.size("spans").cast("long").alias("n_spans"), places.alias("places"), "tokens")
+
+
 def _packed_sql(parts: str, most: int) -> str:
     """SQL for pieces of the parts of a text, joined by blanks as long as they are no longer than `most`."""
     return (

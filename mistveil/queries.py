@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .functions import strategies, validators
 from .operators import catalog, context, dictionary, disambiguation, evaluation, generators, splitting, tables
 from .plans.policy import STRATEGY_KEYS, Policy, from_text
 from .plans.redactor import Redactor, Resources, explain, explode_spans, redact
-from .session import spread
+from .session import shared_folder, spread
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -417,6 +418,24 @@ def redact_email_in_shuffled_pieces(spark: SparkSession, sf_dir: str) -> DataFra
     return redact(_docs(spark, sf_dir).repartition(7), policy).select("doc_id", "filtered_text")
 
 
+@_query(
+    "SELECT c_mktsegment AS context, c_name AS token, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'late ' WHEN c_custkey % 5 = 0 THEN 'put ' WHEN c_custkey % 3 <> 0 THEN 'first ' ELSE 'second ' END || c_custkey AS replacement FROM customer"
+)
+def context_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of (segment, customer) after two writes, a put, a cleared context, another write and a compaction: what each reader gets."""
+    rows = _docs(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("context"), F.col("c_name").alias("token"), "c_custkey")
+    valued = lambda word, which: rows.where(which).select("context", "token", F.concat(F.lit(word), F.col("c_custkey").cast("string")).alias("replacement"))
+    table = context.ContextTable(spark, f"{shared_folder(spark)}/contexts-{uuid.uuid4().hex}")
+    table.add(valued("first ", "c_custkey % 3 <> 0"))
+    table.add(valued("second ", "true"))
+    table.put(valued("put ", "c_custkey % 5 = 0"))
+    table.clear("MACHINERY")
+    table.add(valued("late ", "true"))
+    table.compact()
+    table.vacuum(older_seconds=0)  # nobody else reads this one
+    return table.read()
+
+
 @_query("SELECT concat('Clerk#', o_custkey) AS token, count(*) AS n_rows, 1 AS n_values FROM orders GROUP BY o_custkey")
 def random_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random replacements of scope CONTEXT: a token gets one value in all rows."""

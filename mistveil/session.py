@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,14 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     whole = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(2 * cores) if size < cores * whole else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="mistveil-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +12,6 @@ NIF_PREFIXES, NIR_SUBSTITUTES = {"X": "0", "Y": "1", "Z": "2"}, {"2A": "19", "2B
 DIHEDRAL = "0123456789 1234067895 2340178956 3401289567 4012395678 5987604321 6598710432 7659821043 8765932104 9876543210".replace(" ", "")
 VERHOEFF = "0123456789 1576283094 5803796142 8916043527 9453126870 4286573901 2793806415 7046913258".replace(" ", "")
 DAMM = "0317598642 7092154863 4206871359 1750983426 6123045978 3674209581 5869720134 8945362017 9438617205 2581436790".replace(" ", "")
-COUNTRIES = (
-    "AD AE AF AG AI AL AM AO AQ AR AS AT AU AW AX AZ BA BB BD BE BF BG BH BI BJ BL BM BN BO BQ BR BS BT BV BW BY BZ CA CC CD CF CG CH CI CK CL"
-    " CM CN CO CR CU CV CW CX CY CZ DE DJ DK DM DO DZ EC EE EG EH ER ES ET FI FJ FK FM FO FR GA GB GD GE GF GG GH GI GL GM GN GP GQ GR GS GT GU"
-    " GW GY HK HM HN HR HT HU ID IE IL IM IN IO IQ IR IS IT JE JM JO JP KE KG KH KI KM KN KP KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC"
-    " MD ME MF MG MH MK ML MM MN MO MP MQ MR MS MT MU MV MW MX MY MZ NA NC NE NF NG NI NL NO NP NR NU NZ OM PA PE PF PG PH PK PL PM PN PR PS PT"
-    " PW PY QA RE RO RS RU RW SA SB SC SD SE SG SH SI SJ SK SL SM SN SO SR SS ST SV SX SY SZ TC TD TF TG TH TJ TK TL TM TN TO TR TT TV TW TZ UA"
-    " UG UM US UY UZ VA VC VE VG VI VN VU WF WS YE YT ZA ZM ZW"
-).split()
 
 
 def digits(t: Column) -> Column:
@@ -129,9 +122,14 @@ def personalausweis(t: Column) -> Column:
     return F.coalesce((F.length(s) == 10) & s.rlike("[0-9]$") & ~F.array_contains(v, -1) & (_weighted(v, [7, 3, 1] * 3) % 10 == F.substring(s, 10, 1).try_cast("int")), F.lit(False))
 
 
+def countries() -> list[str]:
+    """The two-letter country codes of ISO 3166, as the JVM knows them."""
+    return sorted(SparkContext._active_spark_context._jvm.java.util.Locale.getISOCountries())
+
+
 def bic(t: Column) -> Column:
     s = F.upper(F.trim(t))
-    return s.rlike(r"^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\z") & F.substring(s, 5, 2).isin(COUNTRIES)
+    return s.rlike(r"^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\z") & F.substring(s, 5, 2).isin(countries())
 
 
 def verhoeff(t: Column) -> Column:

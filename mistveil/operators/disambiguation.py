@@ -114,7 +114,7 @@ def _contested(spans: DataFrame, key: str) -> DataFrame:
 
 def train(spans: DataFrame, size: int = 512, stop_words: bool | Collection[str] = True, algorithm: str = "murmur3", key: str = "doc_id") -> DataFrame:
     """context, filter_type, bucket, n from exploded spans (key, context, filter_type, range, window) that no other type contests."""
-    own = _contested(spans, key).where("types = 1").withColumn("__s", F.monotonically_increasing_id())
+    own = _contested(spans, key).where("types = 1").withColumn("__s", F.struct(key, "character_start", "character_end"))
     return _buckets(own, size, stop_words, algorithm, "__s", "context", "filter_type").groupBy("context", "filter_type", "bucket").agg(F.count("*").cast("double").alias("n"))
 
 

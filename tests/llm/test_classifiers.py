@@ -58,6 +58,42 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """Each word is in just as many labelled texts as it takes to be known, so one text left out would lose words; 5,200 texts."""
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5][:5200]
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(i, f"{word(k // toxicity.LEAST_TEXTS)} {'bad' if k % 2 else 'good'}", "en", k % 2) for k, i in enumerate(ids)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.train(table.drop("toxic"), table.select("doc_id", "toxic"))
+    buckets = [toxicity.word_buckets(word(k).encode())[0] for k in range(5200 // toxicity.LEAST_TEXTS)]
+    assert all(model.row[b] > 0 for b in buckets)
+    scores = model.scores([b"bad", b"good"])
+    assert scores[0] > 0.5 > scores[1]
+    again = toxicity.train(table.drop("toxic").union(table.drop("toxic")).repartition(7), table.select("doc_id", "toxic"))  # how rows lie, or that they lie twice, changes nothing
+    assert again.offset == model.offset and again.slope == model.slope and all((a == b).all() for a, b in zip(again.responses, model.responses, strict=True))
+
+
+def test_toxicity_thresholds_and_windows():
+    rng = np.random.default_rng(4)
+    z, clean, toxic = np.sort(rng.normal(size=60)), rng.integers(0, 5, 60), rng.integers(0, 5, 60)
+    cut = toxicity._best_cut(z, clean, toxic, 0.3)
+    wrong = lambda c: 0.3 * toxic[z < c].sum() / toxic.sum() + 0.7 * clean[z >= c].sum() / clean.sum()
+    assert abs(wrong(cut) - min(wrong(c) for c in [*z, z[-1] + 1])) < 1e-12
+    model = toxicity._new_model(rng.normal(size=50).astype(np.float32))
+    embedding, filters, *_ = toxicity._parts_of(model)
+    docs = [rng.integers(0, 51, n).astype(np.int32) for n in (0, 1, 2, 40, toxicity.STEP + 5, 7)]
+    top, words = toxicity._tops(embedding, filters, docs)
+    for d, t, w in zip(docs, top, words, strict=True):
+        x, slot = np.concatenate([d if len(d) else [0], [0, 0]]).astype(int), 0
+        for width in toxicity.WIDTHS:
+            v = sum(embedding[x[k : len(x) - 2 + k]] @ filters[slot + k] for k in range(width))
+            columns = slice((width - 1) * toxicity.FILTERS, width * toxicity.FILTERS)
+            assert np.allclose(v.max(axis=0), t[columns], atol=1e-5)
+            own = w[columns, :width]
+            assert np.allclose(np.einsum("fks,ksf->f", embedding[own], filters[slot : slot + width]), t[columns], atol=1e-5)
+            slot += width
+
+
 def plain_counts(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen, dup = set(), 0

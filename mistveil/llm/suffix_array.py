@@ -64,12 +64,26 @@ def _mix(pos: np.ndarray, words: np.ndarray, length: int, lane: int) -> np.ndarr
     """64 bits for the `length` bytes from each position."""
     m, h = _MULTIPLIERS[lane], np.full(len(pos), lane + 1, np.uint64)
     for o in [*range(0, length - 8, 8), length - 8]:
-        h ^= words[pos + o]
+        h ^= words[o:][pos]
         h *= m
         h ^= h >> np.uint64(29)
     return h
 
 
+def _mix_both(pos: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """_mix of both lanes; the words are read once."""
+    (m, n), h, g = _MULTIPLIERS, np.full(len(pos), 1, np.uint64), np.full(len(pos), 2, np.uint64)
+    for o in [*range(0, length - 8, 8), length - 8]:
+        w = words[o:][pos]
+        h ^= w
+        h *= m
+        h ^= h >> np.uint64(29)
+        g ^= w
+        g *= n
+        g ^= g >> np.uint64(29)
+    return h, g
+
+
 def _words(data: bytes) -> np.ndarray:
     """The 8 bytes from each position, as one number."""
     return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
@@ -204,8 +218,9 @@ def _answers(judge: Callable[[list[bytes]], np.ndarray], width: int):
 def _met_twice(data: list[bytes]) -> np.ndarray:
     """Samples whose name another chunk has too."""
     keys = np.frombuffer(b"".join(data), np.uint64)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
     out = np.zeros(len(keys), bool)
     out[order[1:]] |= same
     out[order[:-1]] |= same
@@ -215,17 +230,26 @@ def _met_twice(data: list[bytes]) -> np.ndarray:
 _SUFFIX = np.dtype([("key", "<u8"), ("check", "<u4")])
 
 
+def _sorted_keys(first: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys in two parts: an order that sorts them (equal ones in any order), which of them in that order differ from the one before, and the first place of each distinct one."""
+    order = np.argsort(first)
+    a, b = first[order], check[order]
+    same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    if (same & other).any():  # equal in 64 bits of 96: rank by all of them
+        order = np.lexsort((check, first))
+        a, b = first[order], check[order]
+        same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    new = np.ones(len(order), bool)
+    new[1:] = ~same | other
+    return order, new, np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+
+
 def _not_first(data: list[bytes]) -> np.ndarray:
     """Suffixes that an earlier chunk has too."""
     keys = np.frombuffer(b"".join(data), _SUFFIX)
-    first, check = keys["key"], keys["check"]
-    order = np.argsort(first, kind="stable")
-    same = (first[order][1:] == first[order][:-1]) & (check[order][1:] == check[order][:-1])
-    if (first[order][1:] == first[order][:-1]).sum() != same.sum():  # equal in 64 bits of 96: rank by all of them
-        order = np.lexsort((check, first))
-        same = (first[order][1:] == first[order][:-1]) & (check[order][1:] == check[order][:-1])
-    out = np.zeros(len(keys), bool)
-    out[order[1:]] = same
+    _, _, firsts = _sorted_keys(np.ascontiguousarray(keys["key"]), keys["check"])
+    out = np.ones(len(keys), bool)
+    out[firsts] = False
     return out
 
 
@@ -298,18 +322,14 @@ def _suffixes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _turn(words, pos, first, turn: int, turns: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the suffixes whose turn it is: positions, distinct keys in order, each position's key, and the first position of each key."""
     chosen = pos[(first * np.uint64(turns)) >> np.uint64(32) == turn]
-    full = np.empty(len(chosen), _SUFFIX)
-    full["key"], full["check"] = _mix(chosen, words, sizes.length, 0), _mix(chosen, words, sizes.length, 1) >> np.uint64(32)
-    order = np.argsort(full["key"], kind="stable")
-    key, check = full["key"][order], full["check"][order]
-    if ((key[1:] == key[:-1]) & (check[1:] != check[:-1])).any():
-        order = np.lexsort((check, full["key"]))
-        key, check = full["key"][order], full["check"][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    key, check = _mix_both(chosen, words, sizes.length)
+    check = (check >> np.uint64(32)).astype("<u4")
+    order, new, firsts = _sorted_keys(key, check)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    return chosen, full[order[new]], number, order[new]
+    distinct = np.empty(len(firsts), _SUFFIX)
+    distinct["key"], distinct["check"] = key[firsts], check[firsts]
+    return chosen, distinct, number, firsts
 
 
 def _suffix_blocks(sizes: Sizes, n_buckets: int, turn: int, turns: int):

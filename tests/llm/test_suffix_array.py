@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from mistveil.llm import suffix_array
@@ -66,6 +67,24 @@ def test_difference_cover():
     assert shifts == set(range(suffix_array.PERIOD))
 
 
+def test_keys_are_hashed_and_sorted_once():
+    """Both hashes in one pass, and keys that are equal in 64 of their 96 bits, against plain loops."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 400, np.uint8).tobytes()
+    words, pos = suffix_array._words(data), rng.permutation(300)
+    for lane, h in enumerate(suffix_array._mix_both(pos, words, 100)):
+        assert (h == suffix_array._mix(pos, words, 100, lane)).all()
+    for n, different in ((0, 1), (1, 1), (500, 40), (500, 1)):
+        first, check = rng.integers(0, 40, n).astype(np.uint64), rng.integers(0, different, n).astype(np.uint32)
+        order, new, firsts = suffix_array._sorted_keys(first, check)
+        keys = list(zip(first.tolist(), check.tolist()))
+        assert [keys[i] for i in order] == sorted(keys) or different == 1 and sorted(order.tolist()) == list(range(n))
+        assert [keys[i] for i in firsts] == sorted(set(keys)) and all(keys.index(keys[i]) == i for i in firsts.tolist()) and new.sum() == len(set(keys))
+        full = np.empty(n, suffix_array._SUFFIX)
+        full["key"], full["check"] = first, check
+        assert suffix_array._not_first([full[:200].tobytes(), full[200:].tobytes()]).tolist() == [keys.index(k) < i for i, k in enumerate(keys)]
+
+
 def test_small_chunks_and_buckets(spark, rows):
     """Pieces of long documents, many chunks, buckets and turns give what one dictionary gives."""
     want = check(spark, rows, chunk=1000, bucket=64, share=0.2)

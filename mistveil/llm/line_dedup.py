@@ -23,7 +23,6 @@ SIMILARITY = (4, 5)
 #: order of the tokens gives the same matches, so the table's size is fixed, one byte for each cell.
 RARITY_CELLS = 1 << 20
 _HASH_BITS, _SINGLE = 56, 1
-_SPACES = r"[ \t\n\x0B\f\r]+"
 #: Classes of copies, or lists, with at least this part of all rows are joined by broadcast (there are this many at most).
 HOT_PARTS = 10_000
 _NULL_ID = -(1 << 63)
@@ -44,14 +43,25 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _rarity(scratch: Scratch, rows: DataFrame) -> Column:
-    """The rarity table of all words of all texts, an array of RARITY_CELLS numbers: 0 for an empty cell, _SINGLE for one word met once, or more.
+def _hashed(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """doc, at, k1, k2, hashes of every line with a word: its set of words as sorted hashes (64 bits stand for a word), and two hashes of that set.
+
+    All that follows works on these, so texts are split and words hashed once.
+    """
+    lines = rows.select("doc", "copy", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+    hashes = F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))
+    hashes = F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))  # what stands between two blanks
+    lines = lines.where("trim(LEADING ' ' FROM line) <> ''").select("doc", _place("copy", "line_no").alias("at"), hashes.alias("hashes"))
+    return scratch.cut(lines.select("doc", "at", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes"), "line-hashes", dictionary=False)
+
+
+def _rarity(scratch: Scratch, lines: DataFrame) -> Column:
+    """The rarity table of all words of all `lines` (of `_hashed`), an array of RARITY_CELLS numbers: 0 for an empty cell, _SINGLE for one word of one line, or more.
 
     It is built natively, in two steps, written, and read as a scalar subquery.
     """
-    spark, step = rows.sparkSession, 2048
-    words = rows.select(F.explode(F.split(F.lower("text"), _SPACES)).alias("word")).where("word <> ''")
-    counts = words.groupBy(_cell(F.xxhash64("word")).alias("cell")).agg(F.count("*").alias("n"))
+    spark, step = lines.sparkSession, 2048
+    counts = lines.select(F.explode("hashes").alias("h")).groupBy(_cell(F.col("h")).alias("cell")).agg(F.count("*").alias("n"))
     value = F.least(F.lit(127), F.ceil(3 * F.log2(F.col("n"))) + _SINGLE)
     every = spark.range(RARITY_CELLS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("byte").alias("value"))
     cells = counts.select("cell", value.cast("byte").alias("value")).unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
@@ -64,11 +74,6 @@ def _cell(h: Column) -> Column:
     return h.bitwiseAND(F.lit(RARITY_CELLS - 1)).cast("int")
 
 
-def _once(value: Column) -> Column:
-    """value, computed once for each row: a generator of one row keeps the optimizer from repeating it where it is used."""
-    return F.explode(F.array(value))
-
-
 def _least_overlap(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * num / F.lit(float(den)) - F.lit(1e-9)).cast("int")
 
@@ -137,49 +142,57 @@ def _place(copy: str, line_no: str) -> Column:
     return F.shiftleft(F.col(copy), 32).bitwiseOR(F.col(line_no).cast("long"))
 
 
-def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """doc, at, kind, first_doc, first_at of the lines that match an earlier one; rows: doc, copy, text."""
-    rows = rows.where("text is not null")
-    rarity = _rarity(scratch, rows)
-    lines = rows.select("doc", "copy", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+def _coded(lines: DataFrame, rarity: Column, num: int, den: int) -> DataFrame:
+    """What is compared of `lines` (doc, at, hashes): doc, at, n, skipped, sketch, half, lo, hi, prefix. skipped >= 0: those that may be similar to another; the rest is null elsewhere.
+
+    Plain projections, without a generator between them: Spark compiles what is no higher-order function only there.
+    """
 
     def code(h: Column) -> Column:
-        """The cell's value, then 56 bits of the token's hash."""
-        return F.shiftleft(F.get(F.col("cells"), _cell(h)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        """The cell's value, then 56 bits of the token's hash. By its type it is never null, so Spark sorts codes as plain numbers."""
+        return F.coalesce(F.shiftleft(F.get(F.col("cells"), _cell(h)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)), F.lit(0).cast("long"))
 
-    coded = lines.select("doc", _place("copy", "line_no").alias("at"), _words(F.col("line")).alias("words"), rarity.alias("cells"))
-    coded = coded.select("doc", "at", F.sort_array(F.array_distinct(F.transform("words", lambda w: code(F.xxhash64(w))))).alias("codes"))
+    coded = lines.select(*_LINE, "hashes", rarity.alias("cells")).select(*_LINE, F.sort_array(F.transform("hashes", code)).alias("codes"))
     n = F.size("codes")
-    rare = F.transform(F.slice("codes", F.lit(1), F.floor((n + 1) / 2).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
-    coded = coded.select("doc", "at", _once(F.struct("codes", rare.alias("rare"))).alias("x")).select("doc", "at", "x.*").where("size(codes) > 0")
-    # words met only once come first, and aren't shared; where there are more of them than may differ, and for the shortest lines, only the same set matches
+    # words of one line only come first, and aren't shared; where there are more of them than may differ, and for the shortest lines, only the same set matches
+    prefix = F.when(n * (den - num) >= num, F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1))
     single = F.array_position(F.transform("prefix", lambda x: x >= F.lit((_SINGLE + 1) << _HASH_BITS)), True)
+    coded = coded.select(*_LINE, "codes", prefix.alias("prefix")).select(*_LINE, "codes", "prefix", (single - 1).cast("int").alias("skipped"))
+    met = lambda c: F.when(F.col("skipped") >= 0, c)
+    rare = F.transform(F.slice("codes", F.lit(1), F.floor((n + 1) / 2).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
     parity = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     half = F.when(n > _MANY, parity(F.filter("codes", lambda x: x.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
-    prefix = F.when(n * (den - num) >= num, F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1))
-    whole = coded.select("doc", "at", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), parity("codes").alias("sketch"), half.alias("half"), F.array_min("rare").alias("lo"), F.array_max("rare").alias("hi"), prefix.alias("prefix"))
-    met = lambda c: F.when(F.col("skipped") >= 0, F.col(c)).alias(c)
-    lines = scratch.cut(
-        whole.withColumn("skipped", (single - 1).cast("int")).select("doc", "at", "k1", "k2", "n", "skipped", met("sketch"), met("half"), met("lo"), met("hi"), F.when(F.col("skipped") >= 0, F.slice("prefix", F.col("skipped") + 1, F.size("prefix"))).alias("prefix")), "lines"
-    )
-    total = lines.count()
+    shared_prefix = F.slice("prefix", F.col("skipped") + 1, F.size("prefix"))
+    out = coded.select(*_LINE, n.alias("n"), "skipped", met(parity("codes")).alias("sketch"), met(half).alias("half"), met(rare).alias("rare"), met(shared_prefix).alias("prefix"))
+    return out.select(*_LINE, "n", "skipped", "sketch", "half", F.array_min("rare").alias("lo"), F.array_max("rare").alias("hi"), "prefix")
+
+
+def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """doc, at, kind, first_doc, first_at of the lines that match an earlier one; rows: doc, copy, text."""
+    rows = rows.where("text is not null")
+    hashed = _hashed(scratch, rows)
+    total = hashed.count()
 
     # lines with the same token set: all but the first of each set are repeats
     sets = ["k1", "k2"]
-    copied = scratch.cut(lines.groupBy(*sets).agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc")).where("copies > 1"), "copied-sets")
-    members = scratch.cut(_join_copies(lines.select(*sets, "doc", "at"), copied, sets, total), "copied-lines")
+    copied = scratch.cut(hashed.groupBy(*sets).agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc")).where("copies > 1"), "copied-sets")
+    members = scratch.cut(_join_copies(hashed.select(*sets, "doc", "at"), copied, sets, total), "copied-lines")
     first = scratch.cut(members.where("doc = first_doc").groupBy(*sets).agg(F.min("at").alias("first_at"), F.min("copies").alias("copies")), "first-lines")
     repeats = _join_copies(members.drop("copies"), first, sets, total).where("doc <> first_doc or at <> first_at")
     repeats = scratch.cut(repeats.select(*_LINE, F.lit("repeat").alias("kind"), *_FIRST), "line-repeats")
     scratch.drop(copied, members, first)
 
-    kept = lines.where("skipped >= 0")
+    # only the first line of each set is counted and coded
+    firsts = hashed.select(*_LINE, "hashes")
     n_repeats = repeats.count()
     if n_repeats:
-        kept = kept.join(small(repeats.select(*_LINE), n_repeats), _LINE, "left_anti")
+        firsts = firsts.join(small(repeats.select(*_LINE), n_repeats), _LINE, "left_anti")
     if n_repeats > shared.SMALL_ROWS:
-        whole, kept = lines, scratch.cut(kept, "first-lines")
-        scratch.drop(whole)
+        firsts = scratch.cut(firsts, "first-lines")
+        scratch.drop(hashed)
+    lines = scratch.cut(_coded(firsts, _rarity(scratch, firsts), num, den), "lines")
+    kept = lines.where("skipped >= 0")
+    scratch.drop(hashed, firsts)
 
     # one early line for each of two token hashes
     keyed = kept.select("doc", "at", "n", "sketch", "half", F.explode(F.array("lo", "hi")).alias("key"))
@@ -210,7 +223,7 @@ def _matches(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame
         & (_odd(n_of("x"), n_of("y"), *[F.col(f"{side}.{c}") for c in ("sketch", "half") for side in "xy"]) * (num + den) <= both * (den - num))
     )
     pairs = scratch.cut(x.join(y, match).select("x.doc", "x.at", F.col("y.doc").alias("first_doc"), F.col("y.at").alias("first_at")).distinct(), "line-pairs")
-    scratch.drop(lines, kept)
+    scratch.drop(lines)
     late = _verified(scratch, pairs, rows, num, den)
     similar = early.unionByName(late).groupBy(*_LINE).agg(F.min(F.struct(*_FIRST)).alias("f")).select(*_LINE, F.lit("similar").alias("kind"), "f.first_doc", "f.first_at")
     return repeats.unionByName(similar)

@@ -94,11 +94,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 ONE_GROUP = 1 << 30
 
 
-def write(df: DataFrame, path: str, one_group: bool = False) -> DataFrame:
-    """one_group: each file has a single row group, so that one task reads all of it, in the order written."""
+def write(df: DataFrame, path: str, one_group: bool = False, dictionary: bool = True) -> DataFrame:
+    """one_group: each file has a single row group, so that one task reads all of it, in the order written. Without a dictionary, hashes are written faster."""
     spark, schema = df.sparkSession, df.schema
     with shuffles_freed(spark):
-        out = df.write.option("compression", "zstd")
+        out = df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower())
         (out.option("parquet.block.size", ONE_GROUP) if one_group else out).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -134,9 +134,9 @@ class Scratch:
         for df in [x for x, _ in self._paths.values()]:
             self.drop(df)
 
-    def cut(self, df: DataFrame, name: str, one_group: bool = False) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, one_group: bool = False, dictionary: bool = True) -> DataFrame:
         path = new_path(self.spark, name)
-        out = write(df, path, one_group)
+        out = write(df, path, one_group, dictionary)
         self._paths[id(out)] = (out, path)
         return out
 

@@ -95,3 +95,11 @@ def test_very_long_line_and_clashing_columns(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.repeated_lines(docs).count() == 0 and line_dedup.remove_lines(docs).count() == 0
+
+
+def test_words_are_counted_and_coded_once_for_each_set(spark, monkeypatch):
+    seen, real = [], line_dedup._rarity
+    monkeypatch.setattr(line_dedup, "_rarity", lambda scratch, lines: seen.append(lines.select("hashes").collect()) or real(scratch, lines))
+    rows = [(i, f"alpha beta beta gamma delta\n\n  \nGAMMA\talpha  delta beta\nown{i} line of this row") for i in range(4)]
+    check(spark, rows)
+    assert sorted(len(r.hashes) for r in seen[0]) == [4, 5, 5, 5, 5]

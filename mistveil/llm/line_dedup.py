@@ -150,16 +150,17 @@ def _coded(lines: DataFrame, rarity: Column, num: int, den: int) -> DataFrame:
 
     def code(h: Column) -> Column:
         """The cell's value, then 56 bits of the token's hash. By its type it is never null, so Spark sorts codes as plain numbers."""
-        return F.coalesce(F.shiftleft(F.get(F.col("cells"), _cell(h)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)), F.lit(0).cast("long"))
+        return F.coalesce(F.shiftleft(F.get(F.col("cells"), h.bitwiseAND(F.lit(RARITY_CELLS - 1))).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)), F.lit(0).cast("long"))
 
     coded = lines.select(*_LINE, "hashes", rarity.alias("cells")).select(*_LINE, F.sort_array(F.transform("hashes", code)).alias("codes"))
     n = F.size("codes")
     # words of one line only come first, and aren't shared; where there are more of them than may differ, and for the shortest lines, only the same set matches
     prefix = F.when(n * (den - num) >= num, F.slice("codes", F.lit(1), n - _least_overlap(n, num, den) + 1))
     single = F.array_position(F.transform("prefix", lambda x: x >= F.lit((_SINGLE + 1) << _HASH_BITS)), True)
-    coded = coded.select(*_LINE, "codes", prefix.alias("prefix")).select(*_LINE, "codes", "prefix", (single - 1).cast("int").alias("skipped"))
+    rarer = F.slice("codes", F.lit(1), F.shiftright(n + 1, 1))
+    coded = coded.select(*_LINE, "codes", prefix.alias("prefix"), rarer.alias("rarer")).select(*_LINE, "codes", "prefix", "rarer", (single - 1).cast("int").alias("skipped"))
     met = lambda c: F.when(F.col("skipped") >= 0, c)
-    rare = F.transform(F.slice("codes", F.lit(1), F.floor((n + 1) / 2).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    rare = F.transform("rarer", lambda x: x.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
     parity = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     half = F.when(n > _MANY, parity(F.filter("codes", lambda x: x.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
     shared_prefix = F.slice("prefix", F.col("skipped") + 1, F.size("prefix"))

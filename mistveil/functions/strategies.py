@@ -104,7 +104,8 @@ def one(options: dict, name: str, token: Column, classification: Column, seed: C
     elif kind == "CRYPTO_REPLACE" and policy.secret("crypto", "key"):
         key = F.unhex(F.lit(policy.secret("crypto", "key")))
         nonce = F.substring(keyed.mac(keyed.subkey(secret, "nonce"), seed, token), 1, 12)
-        value = F.concat(F.lit("{{"), F.base64(F.aes_encrypt(F.encode(token, "UTF-8"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce)), F.lit("}}"))
+        sealed = F.base64(F.aes_encrypt(F.encode(token, "UTF-8"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce))
+        value = F.concat(F.lit("{{"), F.translate(sealed, "\r\n", ""), F.lit("}}"))  # Spark breaks base64 into lines of 76 characters
     elif kind == "FPE_ENCRYPT_REPLACE" and policy.secret("fpe", "key"):
         value, todo = plain, ask(fpe_key=policy.secret("fpe", "key"), fpe_tweak=policy.secret("fpe", "tweak"))
     elif kind in ("RANDOM_REPLACE", "SHIFT", "TRUNCATE_TO_YEAR", "RELATIVE") and (kind == "RANDOM_REPLACE" or name == "date"):

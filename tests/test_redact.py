@@ -1,10 +1,12 @@
 """Detectors, strategies and the planner: cases as data, all run by one plan for each policy."""
 
+import base64
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from mistveil import queries as registered
 from mistveil.plans.policy import Policy, PolicyError, PolicyStore, from_text
 from mistveil.plans.redactor import Redactor, Resources, explain, explode_spans, redact
 
@@ -123,6 +125,16 @@ def test_slow_pattern_runs_out_of_time(spark):
     assert r["spans"] == [] and len(r["regex_timeouts"]) == 1
 
 
+def test_long_tokens_are_encrypted_in_one_line(spark, tmp_path):
+    long = "x" * 200 + "@example.org"
+    spark.createDataFrame([(1, f"to {long} or a@example.org")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registered.queries()["crypto_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted(r["decrypted"] for r in rows) == ["a@example.org", long]
+    crypto = {"key": "000102030405060708090a0b0c0d0e0f"}
+    text = run(spark, {"emailAddress": {"emailAddressFilterStrategies": [{"strategy": "CRYPTO_REPLACE"}]}}, [long], crypto=crypto)[0][0]
+    assert len(text.splitlines()) == 1 and len(base64.b64decode(text.strip("{}"), validate=True)) == 12 + len(long) + 16
+
+
 def test_cards_without_boundaries(spark):
     got = run(spark, {"creditCard": {"onlyWordBoundaries": False}}, ["x4121742025464465y"])
     assert got[0][0] == f"x{tag('credit-card')}y"

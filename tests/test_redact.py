@@ -135,6 +135,12 @@ def test_long_tokens_are_encrypted_in_one_line(spark, tmp_path):
     assert len(text.splitlines()) == 1 and len(base64.b64decode(text.strip("{}"), validate=True)) == 12 + len(long) + 16
 
 
+def test_both_ends_of_a_range_of_zip_codes(spark):
+    texts = ["see 09998-9998 there", "see 10000-10000 there", "see 100000-100000 there"]
+    got = [g[0] for g in run(spark, {"zipCode": {"requireDelimiter": True}}, texts)]
+    assert got == [f"see {tag('zip-code')} there", f"see {tag('zip-code')}-{tag('zip-code')} there", texts[2]]
+
+
 def test_cards_without_boundaries(spark):
     got = run(spark, {"creditCard": {"onlyWordBoundaries": False}}, ["x4121742025464465y"])
     assert got[0][0] == f"x{tag('credit-card')}y"

@@ -11,9 +11,16 @@ from ..functions import spans as S
 PIECE = "struct<text:string,offset:int>"
 
 
-def newline(text: str) -> list[str]:
-    out = [x.strip("".join(map(chr, range(33)))) for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
-    return [x for x in out if x]
+#: What lines lose at their ends: what Java's trim takes off, and what SQL's does (category Zs).
+CONTROLS = "".join(map(chr, range(33)))
+SEPARATORS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def newline(text: str, returns: bool = True, ends: str = CONTROLS) -> list[str]:
+    """Lines without `ends` around them, empty ones left out. returns: whether a carriage return breaks a line too."""
+    if returns:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return [x for x in (line.strip(ends) for line in text.split("\n")) if x]
 
 
 def width(text: str, threshold: int) -> list[str]:
@@ -55,8 +62,11 @@ def located(text: str, pieces: list[str], overlap: int = 0) -> list[tuple[str, i
     return out
 
 
-def pieces_of(text: Column, method: str, threshold: int, overlap: int) -> Column:
-    """array<PIECE> of a text; texts up to the threshold, and those whose pieces can't be placed, are one piece."""
+def pieces_of(text: Column, method: str, threshold: int, overlap: int, **lines) -> Column:
+    """array<PIECE> of a text; texts up to the threshold, and those whose pieces can't be placed, are one piece; blank ones beyond it have none.
+
+    lines: how `newline` finds its lines.
+    """
     if method not in ("newline", "width", "characters", "character"):
         raise ValueError(f"unknown splitting method '{method}'")
 
@@ -69,9 +79,9 @@ def pieces_of(text: Column, method: str, threshold: int, overlap: int) -> Column
                 continue
             found = None
             if len(t) >= threshold:
-                own = newline(t) if method == "newline" else width(t, threshold) if method == "width" else characters(t, threshold)
+                own = newline(t, **lines) if method == "newline" else width(t, threshold) if method == "width" else characters(t, threshold)
                 found = located(t, own, overlap)
-            out.append([{"text": p, "offset": o} for p, o in (found or [(t, 0)])])
+            out.append([{"text": p, "offset": o} for p, o in ([(t, 0)] if found is None else found)])
         return pd.Series(out)
 
     return split(text)

@@ -8,9 +8,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from mistveil import queries as registered
 from mistveil.operators import context, dictionary, disambiguation, evaluation, generators, splitting, tables
 from mistveil.plans.policy import Policy
-from mistveil.plans.redactor import Redactor, explode_spans
+from mistveil.plans.redactor import Redactor, explode_spans, redact
 from mistveil.sources import documents
 from mistveil.streaming.redact import consistent_stream, redact_stream
 
@@ -24,6 +25,18 @@ def test_dictionaries_by_joins(spark):
     assert {(r.text, r.distance) for r in fuzzy.collect()} == {("asprin", 1), ("asirin", 1), ("aspirin", 0)}
 
 
+def test_lines_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["a\r\nb\r\n", "", " \n ", "\n\n", "\t\n a", "\u00a0a\u3000\nb", "a\u2028b\x85", "\x00\n\x1f a", None, "one\r", "\u2003", " x y \n\n z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(tuple(r) for r in registered.queries()["split_newline"](spark, str(tmp_path)).collect())
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows == sorted(duckdb.sql(registered.oracle_sql()["split_newline"]).fetchall()) and len(rows) == 7
+    blank = Policy({"identifiers": {"emailAddress": {}}, "config": {"splitting": {"enabled": True, "threshold": 0}}})
+    assert [tuple(r) for r in redact(spark.createDataFrame([("",), (" \n",), ("a@b.co",)], "text string"), blank).select("filtered_text", F.size("spans")).collect()] == [("", 0), (" \n", 0), ("{{{REDACTED-email-address}}}", 1)]
+
+
 def test_evaluation(spark):
     rows = lambda *x: spark.createDataFrame([(d, s, s + 2) for d, s in x], "doc_id long, character_start int, character_end int")
     r = evaluation.evaluate(rows((1, 0), (1, 5)), rows((1, 0), (2, 0))).first()

@@ -104,20 +104,19 @@ def window_of(text: Column, start: Column, end: Column, size: int) -> Column:
 
 def trimmed(spans: Column, newlines: bool = True, periods: bool = True, spaces: bool = True) -> Column:
     """Spans without trailing line breaks, then periods, then spaces; what becomes empty goes. Replacements stay as they are."""
-    for on, ends in ((newlines, r"[\r\n]+$"), (periods, r"\.+$"), (spaces, r" +$")):
-        if not on:
-            continue
+    cuts = [ends for on, ends in ((newlines, r"\r\n"), (periods, r"\."), (spaces, " ")) if on]
+    if not cuts:
+        return spans
 
-        def cut(x: Column, ends: str = ends) -> Column:
-            short = F.regexp_replace(x["text"], ends.replace("$", r"\z"), "")
-            return x.withField("text", short).withField("character_end", (x["character_end"] - F.length(x["text"]) + F.length(short)).cast("int"))
+    def cut(x: Column) -> Column:
+        short = x["text"]
+        for ends in cuts:
+            short = F.regexp_replace(short, rf"[{ends}]+\z", "")
+        end = (x["character_end"] - F.length(x["text"]) + F.length(short)).cast("int")
+        # most spans end otherwise, and stay as they are
+        return F.when(x["text"].rlike(rf"[{''.join(cuts)}]\z"), x.withField("text", short).withField("character_end", end)).otherwise(x)
 
-        spans = F.filter(F.transform(spans, _unary(cut)), lambda x: x["character_end"] > x["character_start"])
-    return spans
-
-
-def _unary(f):
-    return lambda x: f(x)
+    return F.filter(F.transform(spans, cut), lambda x: x["character_end"] > x["character_start"])
 
 
 def _earlier(a: Column, b: Column) -> Column:
@@ -130,8 +129,11 @@ def _earlier(a: Column, b: Column) -> Column:
     return out
 
 
-def resolved(spans: Column) -> Column:
-    """Greedy choice of spans that don't overlap; the result is in order of the text."""
+def resolved(spans: Column, held: bool = False) -> Column:
+    """Greedy choice of spans that don't overlap; the result is in order of the text.
+
+    held: spans are a column or a variable, not an expression that would be computed for each use; one span alone is then left as it is.
+    """
     ranked = F.array_sort(spans, _earlier)
 
     def step(kept: Column, x: Column) -> Column:
@@ -139,7 +141,8 @@ def resolved(spans: Column) -> Column:
         return F.when(clash, kept).otherwise(F.array_append(kept, x))
 
     kept = F.aggregate(ranked, none_of(SPAN), step)
-    return F.array_sort(kept, lambda a, b: F.when(a["character_start"] < b["character_start"], -1).when(a["character_start"] > b["character_start"], 1).otherwise(0))
+    in_order = F.array_sort(kept, lambda a, b: F.when(a["character_start"] < b["character_start"], -1).when(a["character_start"] > b["character_start"], 1).otherwise(0))
+    return F.when(F.size(spans) < 2, spans).otherwise(in_order) if held else in_order
 
 
 def replaced(text: Column, spans: Column) -> Column:

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from .terms import normal as _normal
 #: Milliseconds that one pattern may take for one text.
 BUDGET_MS = 1000
 FOUND = f"struct<found:array<array<{MATCH}>>,timeouts:array<string>>"
+_MATCHES = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("t", pa.string()), ("p", pa.int32())]))
 
 
 def levenshtein(a: str, b: str, most: int) -> int:
@@ -104,6 +107,17 @@ class TermSearch:
         """The matches of many texts, which are walked together."""
         return self.trie.search(texts)
 
+    def column(self, texts: list[str]) -> pa.Array:
+        """The same as a column."""
+        parts = []
+        for begin, end in _together(texts):
+            own = texts[begin:end]
+            owner, s, e = self.trie.places(own)
+            t = [own[i][x:y] for i, x, y in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True)]
+            whole = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(t, pa.string()), pa.array(np.zeros(len(s), np.int32))], fields=list(_MATCHES.value_type))
+            parts.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(own) + 1)), pa.int32()), whole).cast(_MATCHES))
+        return pa.concat_arrays(parts) if parts else pa.array([], _MATCHES)
+
 
 class FuzzySearch:
     """Terms as written (p 0), and n-grams of as many words within an edit distance of a term (p 1).
@@ -171,37 +185,62 @@ class FuzzySearch:
 TOGETHER = 1 << 20
 
 
-def _searched(texts: list[str | None], searches: list[Callable[[str], list[dict]]]) -> list[dict]:
-    """FOUND of each text."""
-    out = [{"found": [], "timeouts": []} for _ in texts]
-    begin, size = 0, 0
+def _together(texts: list[str]) -> list[tuple[int, int]]:
+    """Runs of texts that are searched together."""
+    out, begin, size = [], 0, 0
     for i, t in enumerate(texts):
-        size += len(t or "")
+        size += len(t)
         if size >= TOGETHER or i == len(texts) - 1:
-            part, some = out[begin : i + 1], [x or "" for x in texts[begin : i + 1]]
-            for s in searches:
-                if hasattr(s, "all"):
-                    for x, found in zip(part, s.all(some), strict=True):
-                        late = isinstance(found, TimeoutError)
-                        x["found"].append([] if late else found)
-                        x["timeouts"] += [s.label] * late
-                    continue
-                for x, text in zip(part, some, strict=True):
-                    try:
-                        x["found"].append(s(text))
-                    except TimeoutError:
-                        x["found"].append([])
-                        x["timeouts"].append(s.label)
+            out.append((begin, i + 1))
             begin, size = i + 1, 0
     return out
 
 
+def _searched(texts: list[str | None], searches: list[Callable[[str], list[dict]]]) -> list[dict]:
+    """FOUND of each text."""
+    out, given = [{"found": [], "timeouts": []} for _ in texts], [x or "" for x in texts]
+    for begin, end in _together(given):
+        part, some = out[begin:end], given[begin:end]
+        for s in searches:
+            if hasattr(s, "all"):
+                for x, found in zip(part, s.all(some), strict=True):
+                    late = isinstance(found, TimeoutError)
+                    x["found"].append([] if late else found)
+                    x["timeouts"] += [s.label] * late
+                continue
+            for x, text in zip(part, some, strict=True):
+                try:
+                    x["found"].append(s(text))
+                except TimeoutError:
+                    x["found"].append([])
+                    x["timeouts"].append(s.label)
+    return out
+
+
+def _column(texts: list[str | None], searches: list[Callable[[str], list[dict]]]) -> pa.Array:
+    """FOUND of each text as a column; lists of terms give theirs without an object for each match."""
+    n, k = len(texts), len(searches)
+    others = _searched(texts, [s for s in searches if not hasattr(s, "column")])
+    given, columns, place = [x or "" for x in texts], [], 0
+    for s in searches:
+        if hasattr(s, "column"):
+            columns.append(s.column(given))
+        else:
+            columns.append(pa.array([x["found"][place] for x in others], _MATCHES))
+            place += 1
+    in_rows = pa.concat_arrays(columns).take(pa.array(np.arange(n * k).reshape(k, n).T.ravel())) if k > 1 else columns[0]
+    found = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), in_rows)
+    return pa.StructArray.from_arrays([found, pa.array([x["timeouts"] for x in others], pa.list_(pa.string()))], ["found", "timeouts"])
+
+
 def search_each(texts: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
     """A FOUND for each text of an array."""
 
     @F.pandas_udf(f"array<{FOUND}>")
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([_searched(list(row), searches) if row is not None else [] for row in rows])
+        own = [list(row) if row is not None else [] for row in rows]
+        done = iter(_searched([t for row in own for t in row], searches))
+        return pd.Series([[next(done) for _ in row] for row in own], dtype=object)
 
     return run(texts)
 
@@ -209,10 +248,9 @@ def search_each(texts: Column, searches: list[Callable[[str], list[dict]]]) -> C
 def search(text: Column, searches: list[Callable[[str], list[dict]]]) -> Column:
     """FOUND: the matches of each search, in order, and the labels of those that ran out of time."""
 
-    @F.pandas_udf(FOUND)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = _searched(list(texts), searches)
-        return pd.DataFrame({"found": [x["found"] for x in done], "timeouts": [x["timeouts"] for x in done]})
+    @F.arrow_udf(FOUND)
+    def run(texts: pa.Array) -> pa.Array:
+        return _column(texts.to_pylist(), searches)
 
     return run(text)
 

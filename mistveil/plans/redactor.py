@@ -220,7 +220,8 @@ class Redactor:
         seen = F.filter(raw, lambda m: ~dropped(m["t"]) & m["t"].rlike(r"(?U)\S"))
         out = F.filter(F.transform(F.transform(seen, rated), span), lambda y: y["r"].isNotNull())
         single = f.raw is not None and len(f.confidences) == 1  # matches of one pattern neither repeat nor overlap
-        out = F.transform(out, built) if single else S.first_of_range(F.transform(out, built))
+        distinct = single or isinstance(f.search, kernel.TermSearch)  # no two of one range
+        out = F.transform(out, built) if distinct else S.first_of_range(F.transform(out, built))
         for name in f.valid if f.valid_first else []:
             out = self._keep(out, name, options)
         if f.trims:
@@ -344,7 +345,7 @@ class Redactor:
     def redact_each(self, df: DataFrame, texts: str) -> DataFrame:
         """df with `__found`: the resolved spans, with their replacements, of each element of `texts` (array of structs with `text`)."""
         df = self.detect_each(df, texts)
-        df = S.settled(df.withColumn("__found", F.transform("__found", lambda spans: self._globally_kept(S.resolved(spans)))), "__found")
+        df = S.settled(df.withColumn("__found", F.transform("__found", lambda spans: self._globally_kept(S.resolved(spans, True)))), "__found")
         df = self._without_ignored(df, "__found", True, False).drop("regex_timeouts")
         if self._asks():
             seeds = F.transform(F.col(texts), lambda p: F.xxhash64(F.lit(self.seed), p["text"]))
@@ -384,7 +385,7 @@ class Redactor:
             df = settle(df, learn(df, disambiguation) if vectors is None else vectors, disambiguation, context)
         if disambiguate is not None:
             df = disambiguate(df)
-        df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans")))), "spans")
+        df = S.settled(df.withColumn("spans", self._globally_kept(S.resolved(F.col("spans"), True))), "spans")
         df = self._without_ignored(df, "spans", False, False)
         if self._asks():
             df = kernel.make(df, "spans", "__row", self._making())

@@ -41,6 +41,20 @@ def test_against_n_grams():
         assert all(x["t"] == t[x["s"] : x["e"]] for own, t in zip(got, texts, strict=True) for x in own)
 
 
+def test_marks_alone_and_capitals_by_place():
+    """A word of marks alone isn't left out of a term; capitals whose lower case hangs on their place, or is longer than they are."""
+    for terms, text in ((["a --", "b"], "(a -- b, -- (b)"), (["οδος", "ΟΔΟΣ ab", "i̇x"], "(ΟΔΟΣ) ΟΔΟΣ ab, İx."), (["x"], "\u3000x\x1fx\u200bx"), (["𐐨 日"], "(𐐀 日)!")):
+        found = TermTrie.of(terms).search([text, "", text])
+        assert {(x["s"], x["e"]) for x in found[0]} == plain(terms, text) and found[0] == found[2] and found[1] == []
+
+
+def test_matches_as_a_column():
+    texts = ["(Ann) met ann b.", None, "", "no one", "b 12, ann"]
+    searches = [kernel.TermSearch("t", ["ann", "ann b"]), kernel.PatternSearch("p", r"\d+"), kernel.TermSearch("u", ["b"])]
+    assert kernel._column(texts, searches).to_pylist() == kernel._searched(texts, searches)
+    assert kernel._column(texts, searches[:1]).to_pylist() == kernel._searched(texts, searches[:1]) and len(kernel._column([], searches)) == 0
+
+
 def test_long_list(spark):
     """300,000 terms: found as by the join, and neither the plan nor what a task is sent grows with them."""
     terms = [f"name{i} of{i % 7}" if i % 2 else f"Word{i}" for i in range(300_000)]
